@@ -161,11 +161,14 @@ def topics(text: Column) -> Column:
         ),
         F.lower,
     )
+    def add_new(hits: Column):
+        return lambda t: F.concat(t, F.filter(hits, lambda m: ~F.array_contains(t, m)))
+
     found = phrases
     low = F.lower(text)
     for pattern in rules.DOMAIN_TERMS:
         hits = F.regexp_extract_all(low, F.lit(rules.java(pattern)), F.lit(1))
-        found = let(found, lambda t, h=hits: F.concat(t, F.filter(h, lambda m: ~F.array_contains(t, m))))
+        found = let(found, add_new(hits))
     return F.slice(found, 1, 5)
 
 
@@ -435,15 +438,13 @@ def table_text(text: Column) -> Column:
 
 def repeats_ngram(toks: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     """Some n-gram of the token array occurs twice (needs at least four tokens)."""
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), "\u0001"))
+
     hit = F.lit(False)
     for n in sizes:
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))),
-            lambda i, k=n: F.array_join(F.slice(toks, i, k), "\u0001"),
-        )
-        hit = hit | (
-            (F.size(toks) >= 2 * n) & F.exists(value_counts(grams), lambda c: c["n"] >= 2)
-        )
+        hit = hit | ((F.size(toks) >= 2 * n) & F.exists(value_counts(grams(n)), lambda c: c["n"] >= 2))
     return (F.size(toks) >= 4) & hit
 
 

@@ -221,32 +221,46 @@ def stops_stream(should_filter: Column, reason: Column, tokens: Column, query: C
 
 
 def repeated_drafts(
-    drafts: DataFrame, keys: list[str], order: list[str], block: Column, toks: str = "tokens", remembered: int = 5
+    drafts: DataFrame, keys: list[str], order: list[str], toks: str = "tokens", remembered: int = 5
 ) -> DataFrame:
-    """Add ``is_repetitive``: an n-gram inside repeats, or the start equals an earlier draft's end.
+    """Add ``is_repetitive``: an n-gram inside repeats, or the start equals a remembered draft's end.
 
-    Only drafts without an inner repeat are remembered. A draft rejected for its start is
-    remembered too here: whether it is depends on every earlier verdict, which no bounded
-    look-back can know.
+    A draft is remembered only when it was not repetitive itself, so each verdict rests on
+    all earlier ones: a true fold. The inner test runs in Spark expressions; the fold only
+    sees the first and last three tokens, in order, and keeps ``remembered`` of them.
     """
+    import pandas as pd
+
     from mnemora.functions.classify import repeats_ngram
 
     t = F.col(toks)
-    inner = drafts.withColumn("_inner", repeats_ngram(t))
-    clean = with_previous(
-        inner.filter(~F.col("_inner")),
-        keys,
-        order,
-        block,
-        F.when(F.size(t) >= 3, F.slice(t, -3, 3)).otherwise(F.array().cast("array<string>")),
-        remembered,
-        "_ends",
-    ).withColumn(
-        "is_repetitive",
-        (F.size(t) >= 3) & F.exists("_ends", lambda e: (F.size(e) == 3) & (e == F.slice(t, 1, 3))),
+    edges = drafts.select(
+        *keys,
+        *order,
+        repeats_ngram(t).alias("_inner"),
+        F.when(F.size(t) >= 3, F.array_join(F.slice(t, 1, 3), "\u0001")).alias("_head"),
+        F.when(F.size(t) >= 3, F.array_join(F.slice(t, -3, 3), "\u0001")).alias("_tail"),
     )
-    noisy = inner.filter(F.col("_inner")).withColumn("is_repetitive", F.lit(True))
-    return clean.drop("_ends", "_inner").unionByName(noisy.drop("_inner"))
+    ordered = edges.repartition(*keys).sortWithinPartitions(*keys, *order)
+    names = [*keys, *order]
+
+    def fold(frames):
+        series, ring = None, []
+        for frame in frames:
+            verdicts = []
+            for row in frame.itertuples(index=False):
+                key = tuple(row[: len(keys)])
+                if key != series:
+                    series, ring = key, []
+                inner, head, tail = row[-3:]
+                bad = bool(inner) or (head is not None and head in ring)
+                verdicts.append(bad)
+                if not bad:
+                    ring = [*ring, tail][-remembered:]
+            yield pd.concat([frame[names], pd.Series(verdicts, name="is_repetitive", index=frame.index)], axis=1)
+
+    schema = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in names) + ", is_repetitive boolean"
+    return ordered.mapInPandas(fold, schema)
 
 
 def draft_rates(df: DataFrame) -> DataFrame:
