@@ -191,9 +191,10 @@ def ring_map(items: DataFrame, levels: DataFrame, dim: int) -> DataFrame:
         "_r", F.hypot((F.col("x") - low("x")) / wide("x"), (F.col("y") - low("y")) / wide("y"))
     ).withColumn("theta", F.atan2(F.col("y") - low("y"), F.col("x") - low("x")))
     longest = {r["level"]: max(r["m"], 1e-6) for r in polar.groupBy("level").agg(F.max("_r").alias("m")).collect()}
-    count = max(1, len(longest) - 1)
+    outer = [lv for lv in sorted(longest) if lv > 0]
+    width = 0.6 / max(1, len(outer))
     share = F.col("_r") / _by_level(longest)
-    ring = F.lit(0.4) + (F.col("level") - 1) * (0.6 / count) + share * (0.6 / count)
+    ring = F.lit(0.4) + _by_level({lv: i * width for i, lv in enumerate(outer)}) + share * width
     return polar.select(
         "item_id", "level", F.when(F.col("level") == 0, share * 0.4).otherwise(ring).alias("radius"), "theta"
     )

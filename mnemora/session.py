@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -19,10 +20,24 @@ REQUIRED_CONF = {
 }
 
 
+_SHIPPED = "mnemora.shipped"
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the required runtime settings to an existing session."""
+    """Apply the required runtime settings and send this package to the Python workers, once per session."""
+    if spark.conf.get(_SHIPPED, None) == spark.sparkContext.applicationId:
+        return spark
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="mnemora-"), "mnemora"),
+        "zip",
+        root_dir=os.path.dirname(package),
+        base_dir=os.path.basename(package),
+    )
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
     return spark
 
 
@@ -32,7 +47,7 @@ def build_session(app: str = "mnemora", master: str | None = None, **extra: str)
         builder = builder.master(master)
     for key, value in {**REQUIRED_CONF, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return configure(builder.getOrCreate())
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
