@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["text_plans", "confidence_plans", "classify_plans", "search_plans"]
+FAMILIES = [
+    "text_plans",
+    "confidence_plans",
+    "classify_plans",
+    "search_plans",
+    "store_plans",
+    "conversation_plans",
+]
 
 
 def registry() -> tuple[dict, dict]:
