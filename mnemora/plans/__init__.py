@@ -11,6 +11,7 @@ FAMILIES = [
     "search_plans",
     "store_plans",
     "conversation_plans",
+    "streaming_plans",
 ]
 
 
