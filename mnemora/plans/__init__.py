@@ -12,6 +12,7 @@ FAMILIES = [
     "store_plans",
     "conversation_plans",
     "streaming_plans",
+    "model_plans",
 ]
 
 
