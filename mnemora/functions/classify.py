@@ -10,10 +10,21 @@ from mnemora.functions.arrays import let, value_counts
 from mnemora.functions.text import contains_any, matches, strip, tokens
 
 
+def leading_words(pattern: str) -> list[str]:
+    """The literals one of which every match of a rule pattern starts with."""
+    body = pattern.removeprefix(r"\b")
+    if body.startswith("("):
+        return body[1 : body.index(")")].split("|")
+    return [body.split(r"\b")[0]]
+
+
 def _first_rule(text: Column, table: list[tuple[str, str]]) -> Column:
+    """First matching rule. A plain substring test comes before each pattern: it is far cheaper
+    and settles most rows."""
     found = F.lit(None).cast("string")
     for category, pattern in reversed(table):
-        found = F.when(matches(text, pattern), category).otherwise(found)
+        hit = contains_any(text, leading_words(pattern)) & matches(text, pattern)
+        found = F.when(hit, category).otherwise(found)
     return found
 
 
@@ -22,9 +33,9 @@ def rule_category(text: Column) -> Column:
     return _first_rule(F.lower(text), rules.CATEGORY_RULES)
 
 
-def content_category(text: Column, fallback: Column | None = None) -> Column:
+def content_category(text: Column, fallback: Column | None = None, ruled: Column | None = None) -> Column:
     """Rule category, then ``fallback`` (for example a trained model's label), then plain heuristics."""
-    steps = [rule_category(text)]
+    steps = [rule_category(text) if ruled is None else ruled]
     if fallback is not None:
         steps.append(F.when(fallback != "unknown", fallback))
     steps.append(_first_rule(F.lower(text), rules.CONTENT_RULES))
@@ -61,53 +72,54 @@ def subcategory(text: Column, category: Column, rows: list[tuple[str, str, list[
     0.7 for a literal mention, 0.3 for any related term; the first best wins. Below 0.3
     the share of the name's words found in the text decides.
     """
-    low = F.lower(text)
-    by_category: dict[str, list[tuple[str, list[str]]]] = {}
-    for cat, name, terms in rows or taxonomy():
-        by_category.setdefault(cat, []).append((name, terms))
-
-    def pick(entries: list[tuple[str, list[str]]], t: Column) -> Column:
-        scored = F.array(
-            *[
-                F.struct(
-                    (
-                        F.when(F.contains(t, F.lit(name.replace("_", " "))), 0.7).otherwise(0.0)
-                        + F.when(contains_any(t, terms), 0.3).otherwise(0.0)
-                    ).alias("score"),
-                    F.lit(-i).alias("order"),
-                    F.lit(name).alias("name"),
-                )
-                for i, (name, terms) in enumerate(entries)
-            ]
+    # one constant array, filtered by category per row
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(cat).alias("category"),
+                F.lit(-i).alias("order"),
+                F.lit(name).alias("name"),
+                F.lit(name.replace("_", " ")).alias("readable"),
+                F.array(*[F.lit(t) for t in terms]).alias("terms"),
+                F.array(*[F.lit(w) for w in name.split("_")]).alias("words"),
+            )
+            for i, (cat, name, terms) in enumerate(rows or taxonomy())
+        ]
+    )
+
+    def result(score: Column, e: Column) -> Column:
+        return F.struct(score.alias("score"), e["order"].alias("order"), e["name"].alias("name"))
+
+    def mention(t: Column) -> Column:
+        return F.array_max(
+            F.transform(
+                F.filter(entries, lambda e: e["category"] == category),
+                lambda e: result(
+                    F.when(F.contains(t, e["readable"]), 0.7).otherwise(0.0)
+                    + F.when(F.exists(e["terms"], lambda w: F.contains(t, w)), 0.3).otherwise(0.0),
+                    e,
+                ),
+            )
         )
-        overlap = F.array(
-            *[
-                F.struct(
-                    (
-                        sum(
-                            (F.when(F.contains(t, F.lit(w)), 1.0).otherwise(0.0) for w in name.split("_")),
-                            F.lit(0.0),
-                        )
-                        / len(name.split("_"))
-                    ).alias("score"),
-                    F.lit(-i).alias("order"),
-                    F.lit(name).alias("name"),
-                )
-                for i, (name, _) in enumerate(entries)
-            ]
+
+    def overlap(t: Column) -> Column:
+        return F.array_max(
+            F.transform(
+                F.filter(entries, lambda e: e["category"] == category),
+                lambda e: result(F.size(F.filter(e["words"], lambda w: F.contains(t, w))) / F.size(e["words"]), e),
+            )
         )
+
+    def pick(t: Column) -> Column:
         return let(
-            F.array_max(scored),
+            mention(t),
             lambda best: F.when(best["score"] >= 0.3, best).otherwise(
-                let(F.array_max(overlap), lambda o: F.when(o["score"] > best["score"], o))
+                let(overlap(t), lambda o: F.when(o["score"] > best["score"], o))
             ),
         )
 
-    found = F.lit(None).cast("struct<score:double,order:int,name:string>")
-    for cat, entries in by_category.items():
-        found = F.when(category == cat, pick(entries, low)).otherwise(found)
     return let(
-        found,
+        let(F.lower(text), pick),
         lambda f: F.struct(f["name"].alias("name"), F.coalesce(f["score"], F.lit(0.0)).alias("score")),
     )
 
@@ -167,7 +179,9 @@ def topics(text: Column) -> Column:
     found = phrases
     low = F.lower(text)
     for pattern in rules.DOMAIN_TERMS:
-        hits = F.regexp_extract_all(low, F.lit(rules.java(pattern)), F.lit(1))
+        hits = F.when(
+            contains_any(low, leading_words(pattern)), F.regexp_extract_all(low, F.lit(rules.java(pattern)), F.lit(1))
+        ).otherwise(F.array().cast("array<string>"))
         found = let(found, add_new(hits))
     return F.slice(found, 1, 5)
 
@@ -191,8 +205,9 @@ def storage_form(text: Column, category: Column) -> Column:
 
 def enrich(df: DataFrame, text: str, ts: Column, category: Column | None = None) -> DataFrame:
     """Format a text for storage and add the stored item's metadata columns."""
-    cat = category if category is not None else content_category(F.col(text))
-    staged = df.withColumn("main_category", cat).withColumn("_sub", subcategory(F.col(text), F.col("main_category")))
+    staged = df.withColumn("_rule", rule_category(F.col(text)))
+    cat = category if category is not None else content_category(F.col(text), ruled=F.col("_rule"))
+    staged = staged.withColumn("main_category", cat).withColumn("_sub", subcategory(F.col(text), F.col("main_category")))
     staged = staged.withColumn("content", storage_form(F.col(text), F.col("main_category")))
     kept = [F.col(c) for c in df.columns if c not in ("content", "main_category")]
     return staged.select(
@@ -202,7 +217,7 @@ def enrich(df: DataFrame, text: str, ts: Column, category: Column | None = None)
         "main_category",
         F.col("_sub.name").alias("subcategory"),
         item_type(F.col("main_category")).alias("type"),
-        F.when(rule_category(F.col(text)).isNotNull(), 0.95).otherwise(0.5).alias("classification_confidence"),
+        F.when(F.col("_rule").isNotNull(), 0.95).otherwise(0.5).alias("classification_confidence"),
         F.col("_sub.score").alias("subcategory_confidence"),
         length_class(F.col("content")).alias("content_length"),
         content_hash(F.col("content")).alias("content_hash"),

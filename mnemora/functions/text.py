@@ -304,13 +304,12 @@ def first_garbage_pattern(text: Column) -> Column:
 
 def repetitive_pattern(text: Column) -> Column:
     """The first kind of repetition found, else NULL; texts under 20 characters are skipped."""
-    return (
-        F.when(F.length(text) < 20, F.lit(None))
-        .when(first_garbage_pattern(text).isNotNull(), first_garbage_pattern(text))
-        .when(repeated_characters(text), "repeated_characters")
+    later = (
+        F.when(repeated_characters(text), "repeated_characters")
         .when(duplicate_lines(text), "duplicate_lines")
         .when((F.length(text) > 200) & (F.size(repeated_phrases(text)) >= 3), "repetitive_phrases")
     )
+    return F.when(F.length(text) >= 20, F.coalesce(first_garbage_pattern(text), later))
 
 
 def overflow_patterns(text: Column) -> Column:
@@ -528,6 +527,20 @@ def without_repeated_paragraphs(text: Column) -> Column:
     )
 
 
+def may_be_repetitive(text: Column) -> Column:
+    """False only when no prefix of the text can show a repetition.
+
+    A prefix with a garbage pattern, a character run or repeated lines leaves them in the
+    text, and a phrase of three words or more that repeats in a prefix makes three words repeat.
+    """
+    return (
+        first_garbage_pattern(text).isNotNull()
+        | repeated_characters(text)
+        | duplicate_lines(text)
+        | let(words(F.lower(text)), lambda w: _may_repeat(w, F.lit(3)))
+    )
+
+
 def prefix_checkpoints(token_count: Column) -> Column:
     """Token counts at which a growing answer is checked: 40, 80, 160, then every 100."""
     grid = F.concat(

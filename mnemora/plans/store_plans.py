@@ -173,17 +173,17 @@ def safe_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def written_files(spark: SparkSession, folder: str) -> DataFrame:
-    """File blocks of every document saved to the shared folder and read back."""
-    from mnemora.sources.versions import write_files
+    """File blocks of every document, the last of a name, saved to the shared folder and read back."""
+    from mnemora.sources.versions import newest_per_name, write_files
 
     docs = inputs.documents(spark, folder)
-    named = F.concat(F.col("text"), F.lit("\n>>> FILE: "), F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt\nbody of "), F.col("lang"), F.lit("\n<<<"))
-    found = docs.select(F.explode(B.file_blocks(named)).alias("b")).select(
-        B.safe_filename(F.col("b.filename")).alias("filename"), F.col("b.content").alias("content")
+    named = F.concat(F.col("text"), F.lit("\n>>> FILE: "), F.col("source"), F.lit("_"), F.col("lang"), F.lit(".txt\nbody of "), F.col("doc_id").cast("string"), F.lit("\n<<<"))
+    found = docs.select("doc_id", F.explode(B.file_blocks(named)).alias("b")).select(
+        "doc_id", B.safe_filename(F.col("b.filename")).alias("filename"), F.col("b.content").alias("content")
     )
     where = scratch_dir(spark, "files")
-    write_files(found.repartition("filename"), where)
-    return spark.read.schema("value string, filename string").option("wholetext", True).text(where).select("filename", F.trim(F.regexp_replace("value", "\n", "")).alias("body"))
+    write_files(newest_per_name(found, "doc_id"), where)
+    return spark.read.parquet(where).select("filename", F.col("content").alias("body"))
 
 
 Q.update(
@@ -235,4 +235,4 @@ S["store_saved_and_loaded"] = with_(MEM) + "SELECT id, md5(content) AS digest, C
 S["source_attached_levels"] = with_(MEM) + "SELECT id, CASE WHEN v IS NOT NULL THEN 3 ELSE 0 END AS n_levels FROM mem"
 S["source_previews"] = "SELECT doc_id AS id, left(text, 100) AS content_preview FROM documents ORDER BY doc_id LIMIT 100"
 S["sink_safe_names"] = r"""SELECT page_id, regexp_replace(url, '[<>:"/\\|?*]', '_', 'g') AS filename FROM pages"""
-S["sink_written_files"] = "SELECT source || '_' || doc_id || '.txt' AS filename, 'body of ' || lang AS body FROM documents"
+S["sink_written_files"] = "SELECT source || '_' || lang || '.txt' AS filename, 'body of ' || max(doc_id) AS body FROM documents GROUP BY source, lang"

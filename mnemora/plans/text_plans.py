@@ -125,10 +125,13 @@ def post_processed(spark: SparkSession, folder: str) -> DataFrame:
 def stream_prefix_checks(spark: SparkSession, folder: str) -> DataFrame:
     """First checkpoint of a growing answer at which a repetition shows."""
     docs = inputs.marked_documents(spark, folder).withColumn("tok", T.tokens(_text()))
-    points = docs.select("doc_id", "tok", F.explode(T.prefix_checkpoints(F.size("tok"))).alias("at"))
-    found = points.withColumn(
-        "pattern", T.repetitive_pattern(F.array_join(F.slice("tok", F.lit(1), F.col("at")), " "))
+    docs = docs.withColumn("maybe", T.may_be_repetitive(F.array_join("tok", " ")))
+    # the long token array goes along only where a prefix has to be looked at
+    points = docs.select(
+        "doc_id", F.when(F.col("maybe"), F.col("tok")).alias("tok"), F.explode(T.prefix_checkpoints(F.size("tok"))).alias("at")
     )
+    prefix = F.array_join(F.slice("tok", F.lit(1), F.col("at")), " ")
+    found = points.withColumn("pattern", F.when(F.col("tok").isNotNull(), T.repetitive_pattern(prefix)))
     return (
         found.groupBy("doc_id")
         .agg(

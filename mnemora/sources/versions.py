@@ -68,9 +68,38 @@ def import_items_json(spark: SparkSession, path: str, vectors: DataFrame | None
     return items.join(vectors.select("id", "embedding"), "id", "left")
 
 
+def newest_per_name(blocks: DataFrame, order: str) -> DataFrame:
+    """One ``(filename, content)`` row per name: the last in ``order`` wins, combined before the shuffle."""
+    return blocks.groupBy("filename").agg(F.max_by("content", order).alias("content"))
+
+
 def write_files(blocks: DataFrame, folder: str) -> None:
-    """Save ``(filename, content)`` rows under ``folder``, one sub-folder of text per file name.
+    """Save ``(filename, content)`` rows as a table, the form that holds any number of blocks."""
+    blocks.select("filename", "content").write.mode("append").parquet(folder)
+
 
-    Names must already be safe; the newest row of a name has been chosen by the caller.
+def export_files(blocks: DataFrame, folder: str) -> DataFrame:
+    """Write every row as a file into a folder all executors mount; returns ``filename, saved``.
+
+    Each task writes its own rows. A file appears by one rename, so a retried task leaves
+    the same files. Names must be safe and unique.
     """
-    blocks.select("filename", F.col("content").alias("value")).write.mode("append").partitionBy("filename").text(folder)
+
+    def save(frames):
+        os.makedirs(folder, exist_ok=True)
+        for frame in frames:
+            saved = []
+            for name, content in zip(frame["filename"], frame["content"]):
+                part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+                try:
+                    with open(part, "w", encoding="utf-8") as f:
+                        f.write(content)
+                    os.replace(part, os.path.join(folder, name))
+                    saved.append(True)
+                except OSError:
+                    saved.append(False)
+            yield frame[["filename"]].assign(saved=saved)
+
+    return blocks.filter(F.col("filename").isNotNull()).select("filename", "content").mapInPandas(
+        save, "filename string, saved boolean"
+    )
