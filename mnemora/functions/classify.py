@@ -18,19 +18,27 @@ def leading_words(pattern: str) -> list[str]:
     return [body.split(r"\b")[0]]
 
 
+def _quick(pattern: str) -> str:
+    return rules.starting(pattern, "".join(sorted({w[0] for w in leading_words(pattern)})))
+
+
+def _mentions(text: Column, literals: list[str]) -> Column:
+    """Any of many literals occurs; a loop over a constant array keeps generated code small."""
+    return F.exists(F.array(*[F.lit(w) for w in literals]), lambda w: F.contains(text, w))
+
+
 def _first_rule(text: Column, table: list[tuple[str, str]]) -> Column:
-    """First matching rule. A plain substring test comes before each pattern: it is far cheaper
-    and settles most rows."""
+    """First matching rule. Plain substring tests settle most texts before any pattern is tried."""
     found = F.lit(None).cast("string")
     for category, pattern in reversed(table):
-        hit = contains_any(text, leading_words(pattern)) & matches(text, pattern)
-        found = F.when(hit, category).otherwise(found)
-    return found
+        found = F.when(matches(text, _quick(pattern)), category).otherwise(found)
+    literals = sorted({w for _, pattern in table for w in leading_words(pattern)})
+    return F.when(_mentions(text, literals), found)
 
 
 def rule_category(text: Column) -> Column:
     """Category of the first matching rule on the lower-cased text, else NULL."""
-    return _first_rule(F.lower(text), rules.CATEGORY_RULES)
+    return let(F.lower(text), lambda low: _first_rule(low, rules.CATEGORY_RULES))
 
 
 def content_category(text: Column, fallback: Column | None = None, ruled: Column | None = None) -> Column:
@@ -38,7 +46,7 @@ def content_category(text: Column, fallback: Column | None = None, ruled: Column
     steps = [rule_category(text) if ruled is None else ruled]
     if fallback is not None:
         steps.append(F.when(fallback != "unknown", fallback))
-    steps.append(_first_rule(F.lower(text), rules.CONTENT_RULES))
+    steps.append(let(F.lower(text), lambda low: _first_rule(low, rules.CONTENT_RULES)))
     blank = strip(text) == ""
     return F.when(blank | text.isNull(), "unknown").otherwise(F.coalesce(*steps, F.lit("unknown")))
 
@@ -168,7 +176,7 @@ def topics(text: Column) -> Column:
     """Up to five topics: capitalised phrases of 4 to 30 characters, then domain terms not yet listed."""
     phrases = F.transform(
         F.filter(
-            F.regexp_extract_all(text, F.lit(rules.java(rules.NOUN_PHRASE)), F.lit(1)),
+            F.regexp_extract_all(text, F.lit(rules.java(rules.starting(rules.NOUN_PHRASE, "A-Z"))), F.lit(1)),
             lambda m: F.length(m).between(4, 30),
         ),
         F.lower,
@@ -176,14 +184,17 @@ def topics(text: Column) -> Column:
     def add_new(hits: Column):
         return lambda t: F.concat(t, F.filter(hits, lambda m: ~F.array_contains(t, m)))
 
-    found = phrases
-    low = F.lower(text)
-    for pattern in rules.DOMAIN_TERMS:
-        hits = F.when(
-            contains_any(low, leading_words(pattern)), F.regexp_extract_all(low, F.lit(rules.java(pattern)), F.lit(1))
-        ).otherwise(F.array().cast("array<string>"))
-        found = let(found, add_new(hits))
-    return F.slice(found, 1, 5)
+    def listed(low: Column) -> Column:
+        found = phrases
+        for pattern in rules.DOMAIN_TERMS:
+            hits = F.when(
+                _mentions(low, leading_words(pattern)),
+                F.regexp_extract_all(low, F.lit(rules.java(_quick(pattern))), F.lit(1)),
+            ).otherwise(F.array().cast("array<string>"))
+            found = let(found, add_new(hits))
+        return found
+
+    return F.slice(let(F.lower(text), listed), 1, 5)
 
 
 def storage_form(text: Column, category: Column) -> Column:

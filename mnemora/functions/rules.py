@@ -237,3 +237,12 @@ FILESYSTEM_SIGNS = ["Filesystem", "Mounted on", "/dev/"]
 def java(pattern: str) -> str:
     """The pattern as Spark's regex functions need it."""
     return FLAGS + pattern
+
+
+def starting(pattern: str, first: str) -> str:
+    """The pattern with a cheap test of the first character in front of its word boundary.
+
+    The boundary test looks up Unicode properties; the character class rules out most
+    positions before it. ``first`` must hold every character a match can start with.
+    """
+    return f"(?=[{first}])" + pattern

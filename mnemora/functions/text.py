@@ -340,7 +340,7 @@ def sentences(text: Column) -> Column:
 def malformed_count(sents: Column) -> Column:
     """Sentences of five words or more without a subject-verb shape."""
     return F.size(
-        F.filter(sents, lambda s: (F.size(tokens(s)) >= 5) & ~matches(s, rules.SUBJECT_VERB))
+        F.filter(sents, lambda s: (F.size(tokens(s)) >= 5) & ~matches(s, rules.starting(rules.SUBJECT_VERB, "A-Z")))
     )
 
 
@@ -350,7 +350,7 @@ def section_quality(section: Column) -> Column:
         words(section),
         lambda w: (F.size(F.array_distinct(w)) / F.greatest(F.lit(1), F.size(w))) * 0.7
         + F.when(F.contains(section, F.lit(".")) | F.contains(section, F.lit(",")), 0.15).otherwise(0.0)
-        + F.when(matches(section, rules.CAPITALISED_WORD), 0.15).otherwise(0.0),
+        + F.when(matches(section, rules.starting(rules.CAPITALISED_WORD, "A-Z")), 0.15).otherwise(0.0),
     )
 
 
@@ -480,7 +480,7 @@ def sentence_topics(text: Column) -> Column:
         F.transform(F.split(text, r"(?U)[.!?]\s+"), lambda s: F.get(tokens(s), F.lit(0))),
         lambda w: w.isNotNull() & (F.length(w) > 3) & w.rlike(r"^\p{Lu}"),
     )
-    phrases = F.regexp_extract_all(text, F.lit(rules.java(rules.TOPIC_VERB_PHRASE)), F.lit(0))
+    phrases = F.regexp_extract_all(text, F.lit(rules.java(rules.starting(rules.TOPIC_VERB_PHRASE, "A-Z"))), F.lit(0))
     return F.slice(F.sort_array(F.array_distinct(F.concat(starts, phrases))), 1, 5)
 
 

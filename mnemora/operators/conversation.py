@@ -14,7 +14,7 @@ from mnemora.operators.series import with_previous, with_running_total
 
 
 def asks_to_continue(text: Column) -> Column:
-    return contains_any(F.lower(text), rules.CONTINUATION_PHRASES)
+    return let(F.lower(text), lambda low: contains_any(low, rules.CONTINUATION_PHRASES))
 
 
 def asks_to_exit(text: Column, literal: bool = False) -> Column:

@@ -128,10 +128,10 @@ def stream_prefix_checks(spark: SparkSession, folder: str) -> DataFrame:
     docs = docs.withColumn("maybe", T.may_be_repetitive(F.array_join("tok", " ")))
     # the long token array goes along only where a prefix has to be looked at
     points = docs.select(
-        "doc_id", F.when(F.col("maybe"), F.col("tok")).alias("tok"), F.explode(T.prefix_checkpoints(F.size("tok"))).alias("at")
+        "doc_id", F.when(F.col("maybe"), F.col("tok")).alias("shown"), F.explode(T.prefix_checkpoints(F.size("tok"))).alias("at")
     )
-    prefix = F.array_join(F.slice("tok", F.lit(1), F.col("at")), " ")
-    found = points.withColumn("pattern", F.when(F.col("tok").isNotNull(), T.repetitive_pattern(prefix)))
+    prefix = F.array_join(F.slice("shown", F.lit(1), F.col("at")), " ")
+    found = points.withColumn("pattern", F.when(F.col("shown").isNotNull(), T.repetitive_pattern(prefix)))
     return (
         found.groupBy("doc_id")
         .agg(
