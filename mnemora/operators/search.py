@@ -29,6 +29,11 @@ def _unit_rows(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-10)
 
 
+def _similarities(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Inner products, rounded so that copies of a vector tie whatever batch they were multiplied in."""
+    return np.round(queries @ items.T, 12)
+
+
 def _narrow(sims: np.ndarray, k: int) -> np.ndarray:
     """Columns that can be among any row's best k, ties included."""
     if sims.shape[1] <= k:
@@ -89,7 +94,7 @@ def level_hits(
                 vec = _unit_rows(vec)
                 for lv in levels:
                     depth = level_depth(k, lv)
-                    sims = side["queries"][lv] @ to_level(vec, lv, side["parameters"]).T
+                    sims = _similarities(side["queries"][lv], to_level(vec, lv, side["parameters"]))
                     near = _narrow(sims, depth)
                     sims, cand = sims[:, near], np.broadcast_to(ids[near], (len(sims), len(near)))
                     if lv in kept:
@@ -173,7 +178,7 @@ def blocked_hits(
             qv = _unit_rows(np.array(theirs["w"].tolist(), dtype=np.float64))
             ids, qids = mine["i"].to_numpy(), theirs["q"].to_numpy()
             for lv in levels:
-                sims = _unit_rows(to_level(qv, lv, shared.value)) @ to_level(iv, lv, shared.value).T
+                sims = _similarities(_unit_rows(to_level(qv, lv, shared.value)), to_level(iv, lv, shared.value))
                 depth = level_depth(k, lv)
                 for row in range(len(qids)):
                     near = _narrow(sims[row : row + 1], depth)
