@@ -212,14 +212,22 @@ def penalised(raw: Column, flagged: Column, penalty: Column, factor: float = 0.3
 
 
 def standard_search(
-    items: DataFrame, queries: DataFrame, dim: int, k: int = 5, min_similarity: float = 0.25, factor: float = 0.3
+    items: DataFrame,
+    queries: DataFrame,
+    dim: int,
+    k: int = 5,
+    min_similarity: float = 0.25,
+    factor: float = 0.3,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Base-level top-k: keep similarities from ``min_similarity`` on, drop tombstones, penalise, re-rank.
 
-    ``items`` has ``id, embedding, deleted, hallucination_detected, reliability_penalty``.
+    ``items`` has ``id, embedding, deleted, hallucination_detected, reliability_penalty``. Give
+    ``vectors(id, embedding)`` when they are stored apart: then only they are scanned and the
+    flags are joined to the few hits.
     """
     flags = items.select("id", "deleted", "hallucination_detected", "reliability_penalty")
-    hits, bound = level_hits(items, queries, dim, k, [0])
+    hits, bound = level_hits(items if vectors is None else vectors, queries, dim, k, [0])
     scored = attach_items(hits, flags, bound).filter((F.col("raw") >= min_similarity) & ~F.col("deleted")).withColumn(
         "similarity",
         penalised(F.col("raw"), F.col("hallucination_detected"), F.col("reliability_penalty"), factor),
@@ -409,18 +417,19 @@ def multi_level_search(
     levels: list[int] | None = None,
     factor: float = 0.3,
     verify: bool = False,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Search every level, merge, rank by reliability and promote diversity.
 
     ``items`` has ``id, content, embedding, deleted, hallucination_detected,
     hallucination_score, reliability_penalty``. Levels default to 1..3; add 0 to search
-    the base level as well.
+    the base level as well. ``vectors`` as for :func:`standard_search`.
     """
     levels = levels or [1, 2, 3]
     flags = items.select(
         "id", "deleted", "hallucination_detected", "hallucination_score", "reliability_penalty"
     )
-    hits, bound = level_hits(items, queries, dim, k, levels)
+    hits, bound = level_hits(items if vectors is None else vectors, queries, dim, k, levels)
     scored = score_level_hits(attach_items(hits, flags, bound), min_similarity, factor)
     merged = merge_levels(scored)
     if verify:

@@ -70,9 +70,15 @@ def enhanced(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("event_id", r6(V.enhance(F.col("prob"))).alias("enhanced"), r6(V.enhance(F.col("prob"), 0.5)).alias("stronger"))
 
 
+def _standard_hits(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = inputs.embeddings(spark, folder).select("id", "embedding")
+    return R.standard_search(
+        inputs.item_flags(spark, folder), inputs.label_centroids(spark, folder), DIM, K, MIN, vectors=vectors
+    )
+
+
 def standard(spark: SparkSession, folder: str) -> DataFrame:
-    store = inputs.embeddings(spark, folder).select("id", "embedding").join(inputs.item_flags(spark, folder), "id")
-    hits = R.standard_search(store, inputs.label_centroids(spark, folder), DIM, K, MIN)
+    hits = _standard_hits(spark, folder)
     return hits.select("query_id", "rank", "item_id", r6(F.col("raw_similarity")).alias("raw_similarity"), r6(F.col("similarity")).alias("similarity"), "hallucination_warning")
 
 
@@ -100,7 +106,10 @@ def verified(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def multi_level(spark: SparkSession, folder: str) -> DataFrame:
-    hits = R.multi_level_search(inputs.items(spark, folder), inputs.label_centroids(spark, folder), DIM, K, MIN, LEVELS)
+    hits = R.multi_level_search(
+        inputs.items(spark, folder), inputs.label_centroids(spark, folder), DIM, K, MIN, LEVELS,
+        vectors=inputs.embeddings(spark, folder).select("id", "embedding"),
+    )
     names = ["raw_similarity", "similarity", "rank_score"]
     return hits.select("query_id", "rank", "item_id", "level", *[r6(F.col(n)).alias(n) for n in names], "hallucination_warning")
 
@@ -134,8 +143,7 @@ def deduplicated(spark: SparkSession, folder: str) -> DataFrame:
 
 def metadata_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Metadata conditions after the search, as the hits' categories decide."""
-    store = inputs.embeddings(spark, folder).select("id", "embedding").join(inputs.item_flags(spark, folder), "id")
-    hits = R.standard_search(store, inputs.label_centroids(spark, folder), DIM, K, MIN)
+    hits = _standard_hits(spark, folder)
     cats = inputs.items(spark, folder).select(F.col("id").alias("item_id"), "main_category")
     return R.filter_by_metadata(hits.join(cats, "item_id"), {"main_category": "declarative"}).select("query_id", "rank", "item_id")
 
@@ -150,8 +158,7 @@ def metadata_prefilter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def support(spark: SparkSession, folder: str) -> DataFrame:
-    store = inputs.embeddings(spark, folder).select("id", "embedding").join(inputs.item_flags(spark, folder), "id")
-    hits = R.standard_search(store, inputs.label_centroids(spark, folder), DIM, K, MIN)
+    hits = _standard_hits(spark, folder)
     out = R.memory_support(hits)
     return out.select("query_id", "memory_count", r6(F.col("best_similarity")).alias("best_similarity"), "memory_supported")
 
@@ -159,8 +166,7 @@ def support(spark: SparkSession, folder: str) -> DataFrame:
 def memory_prompts(spark: SparkSession, folder: str) -> DataFrame:
     from mnemora.operators.conversation import memory_prompt
 
-    store = inputs.embeddings(spark, folder).select("id", "embedding").join(inputs.item_flags(spark, folder), "id")
-    hits = R.standard_search(store, inputs.label_centroids(spark, folder), DIM, K, MIN)
+    hits = _standard_hits(spark, folder)
     texts = inputs.items(spark, folder).select("id", "content", "main_category")
     bound = R.MAX_QUERY_ROWS * K
     out = memory_prompt(R.attach_items(hits, texts, bound), 0.99)
@@ -300,19 +306,24 @@ S["search_metadata_filter"] = standard_sql() + "SELECT query_id, rank, id AS ite
 S["search_metadata_prefilter"] = standard_sql("v.id IN (SELECT doc_id FROM documents WHERE lang = 'en')") + f"SELECT query_id, rank, id AS item_id, {r6s('s')} AS similarity FROM hits"
 S["search_memory_support"] = standard_sql() + f"SELECT query_id, count(*) AS memory_count, {r6s('max(s)')} AS best_similarity, max(s) > 0.3 AS memory_supported FROM hits GROUP BY query_id"
 
-SCORED = with_(
-    VEC,
-    CENTROID,
-    FLAGS,
-    matrix_sql(LEVELS),
-    level_sql(LEVELS),
-    level_sql(LEVELS, "cen", "query_id", "q", "q"),
-    f"""ls AS (SELECT q.k AS query_id, i.k AS id, q.level, list_dot_product(q.w, i.w) AS raw FROM qv q JOIN xv i USING (level)),
+def scored_sql(condition: str = "true") -> str:
+    """Hits per level with their scores; hits that fail ``condition`` have taken their slots."""
+    return with_(
+        VEC,
+        CENTROID,
+        FLAGS,
+        matrix_sql(LEVELS),
+        level_sql(LEVELS),
+        level_sql(LEVELS, "cen", "query_id", "q", "q"),
+        f"""ls AS (SELECT q.k AS query_id, i.k AS id, q.level, list_dot_product(q.w, i.w) AS raw FROM qv q JOIN xv i USING (level)),
 lr AS (SELECT *, row_number() OVER (PARTITION BY query_id, level ORDER BY raw DESC, id) AS raw_rank FROM ls),
 lb AS (SELECT l.*, f.flagged, f.score, CASE WHEN flagged THEN raw * 0.7 ELSE raw END AS base, 0.25 * power(0.8, level) AS thr
-  FROM lr l JOIN flag f USING (id) WHERE raw_rank <= floor(5 * (1 + 0.5 * level)) AND NOT deleted),
+  FROM lr l JOIN flag f USING (id) WHERE raw_rank <= floor(5 * (1 + 0.5 * level)) AND NOT deleted AND {condition}),
 scored AS (SELECT *, CASE WHEN flagged THEN base ELSE {boost('base')} END AS enhanced FROM lb WHERE raw > thr AND base > thr)""",
-)
+    )
+
+
+SCORED = scored_sql()
 # the fold over levels, one step per level
 MERGED = """,
 lv AS (SELECT query_id, id, any_value(flagged) AS flagged, 1.0 - any_value(score) AS rel,
@@ -356,7 +367,7 @@ g{i} AS (SELECT * FROM g{i - 1} UNION ALL SELECT query_id, pos, {i} FROM (SELECT
     return ",\n".join(steps)
 
 
-S["search_multi_level"] = SCORED.rstrip() + MERGED + greedy_sql(5) + f"""
+S["search_multi_level"] = scored_sql("id IN (SELECT doc_id FROM documents)").rstrip() + MERGED + greedy_sql(5) + f"""
 SELECT c.query_id, c.pick::INT AS rank, p.id AS item_id, level, {r6s('raw')} AS raw_similarity, {r6s('sim')} AS similarity, {r6s('rank_score')} AS rank_score, flagged AS hallucination_warning
 FROM chosen c JOIN pool p ON p.query_id = c.query_id AND p.pos = c.pos"""
 S["search_diversity"] = SCORED.rstrip() + MERGED + greedy_sql(4) + "\nSELECT c.query_id, c.pick::INT AS pick, p.id AS item_id FROM chosen c JOIN pool p ON p.query_id = c.query_id AND p.pos = c.pos"
@@ -398,6 +409,6 @@ S["analytics_fingerprints"] = with_(
     matrix_sql(LEVELS),
     level_sql(LEVELS),
     """top AS (SELECT id, label * 10 + 70 AS score FROM vec ORDER BY score DESC, id LIMIT 9),
-al AS (SELECT id, 0 AS level, list_transform(v, lambda x: x::FLOAT::DOUBLE)[1:50] AS w FROM vec UNION ALL SELECT k, level, w[1:50] FROM xv),
+al AS (SELECT id, 0 AS level, list_transform(v, lambda x: x::FLOAT::DOUBLE)[1:50] AS w FROM vec UNION ALL SELECT k, level, list_transform(w, lambda x: x::FLOAT::DOUBLE)[1:50] FROM xv),
 nm AS (SELECT t.id, t.score, a.level, list_transform(a.w, lambda x: x / greatest(list_max(list_transform(a.w, lambda y: abs(y))), 1e-10)) AS w FROM al a JOIN top t USING (id))""",
 ) + "SELECT id AS item_id, score, level, unnest(range(50))::INT AS pos, round(unnest(w)::DOUBLE + 1e-9, 4) AS x FROM nm"
