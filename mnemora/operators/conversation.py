@@ -28,7 +28,7 @@ def topic_shifts(
     turns: DataFrame,
     keys: list[str],
     order: list[str],
-    block: Column,
+    block: Column | None,
     text: str = "text",
     vec: str = "embedding",
     threshold: float = 0.35,
@@ -53,7 +53,7 @@ def topic_shifts(
     return judged.drop("_ring", "_skip").unionByName(passed.drop("_skip"))
 
 
-def sessions(turns: DataFrame, keys: list[str], order: list[str], block: Column, shift: str = "is_shift") -> DataFrame:
+def sessions(turns: DataFrame, keys: list[str], order: list[str], block: Column | None, shift: str = "is_shift") -> DataFrame:
     """Add ``session``: 0 at the start, one more at every shift."""
     return with_running_total(turns, keys, order, block, F.col(shift).cast("bigint"), "session")
 
@@ -373,7 +373,7 @@ def unread_text(tokens: Column, cursor: Column) -> Column:
     )
 
 
-def exchanges(turns: DataFrame, keys: list[str], order: list[str], block: Column, text: str = "text") -> DataFrame:
+def exchanges(turns: DataFrame, keys: list[str], order: list[str], block: Column | None, text: str = "text") -> DataFrame:
     """Assistant turns with the user text right before them as ``query``."""
     pair = F.struct(F.col("role").alias("role"), F.col(text).alias("text"))
     prev = F.get("_prev", F.lit(0))
@@ -385,7 +385,7 @@ def exchanges(turns: DataFrame, keys: list[str], order: list[str], block: Column
     )
 
 
-def recent_context(df: DataFrame, keys: list[str], order: list[str], block: Column, columns: list[str], keep: int = 5) -> DataFrame:
+def recent_context(df: DataFrame, keys: list[str], order: list[str], block: Column | None, columns: list[str], keep: int = 5) -> DataFrame:
     """Add ``history``: the last ``keep`` exchanges including this one, oldest first."""
     row = F.struct(*columns)
     return (

@@ -14,17 +14,31 @@ from pyspark.sql import functions as F
 TARGET_BLOCK_ROWS = 1_000_000
 
 
-def time_block(df: DataFrame, ts: str, target_rows: int = TARGET_BLOCK_ROWS) -> Column:
-    """Block number from a timestamp, wide enough for ``target_rows`` rows of all keys together.
+MAX_HOT_KEYS = 1_000_000
 
-    One aggregate over min, max and count decides the width, so no single key can
-    exceed the target at an even arrival rate.
+
+def time_blocks(
+    df: DataFrame, keys: list[str], ts: str, target_rows: int = TARGET_BLOCK_ROWS
+) -> tuple[DataFrame, Column | None]:
+    """The rows and a block number by time, or None when no series can exceed ``target_rows``.
+
+    One aggregate over min, max and count decides. Only series above the target are cut,
+    into spans that hold ``target_rows`` rows of all keys together; there can be no more
+    than ``rows / target_rows`` of them, which bounds what is broadcast.
     """
     seconds = F.unix_micros(F.col(ts).cast("timestamp"))
     low, high, rows = df.select(F.min(seconds), F.max(seconds), F.count("*")).first()
-    blocks = max(1, -(-(rows or 0) // target_rows))
-    width = max(1, ((high or 0) - (low or 0) + blocks) // blocks)
-    return F.floor((seconds - F.lit(low or 0)) / F.lit(width))
+    if rows <= target_rows:
+        return df, None
+    count = -(-rows // target_rows)
+    width = max(1, (high - low + count) // count)
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_c")).filter(F.col("_c") > target_rows)
+    hot = hot.select(*keys, F.lit(True).alias("_hot"))
+    if rows // target_rows <= MAX_HOT_KEYS:
+        hot = F.broadcast(hot)
+    span = F.floor((seconds - F.lit(low)) / F.lit(width))
+    marked = df.join(hot, keys, "left").withColumn("block", F.when(F.col("_hot"), span).otherwise(F.lit(0)))
+    return marked.drop("_hot"), F.col("block")
 
 
 def index_block(position: str, target_rows: int = TARGET_BLOCK_ROWS) -> Column:
@@ -33,9 +47,16 @@ def index_block(position: str, target_rows: int = TARGET_BLOCK_ROWS) -> Column:
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, n: int, out: str = "prev"
+    df: DataFrame, keys: list[str], order: list[str], block: Column | None, value: Column, n: int, out: str = "prev"
 ) -> DataFrame:
-    """Add ``out``: the up to ``n`` values before each row in its series, oldest first."""
+    """Add ``out``: the up to ``n`` values before each row in its series, oldest first.
+
+    ``block`` is None when every series is known to be small. Blocks are numbered from 0; a
+    series that has no other block needs nothing carried over and takes part in no summary.
+    """
+    if block is None:
+        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
+        return df.withColumn(out, F.collect_list(value).over(plain))
     held = df.withColumn("_block", block).withColumn("_value", value)
     inside = Window.partitionBy(*keys, "_block")
     ahead = inside.orderBy(*order)
@@ -43,8 +64,10 @@ def with_previous(
         "_nth", F.row_number().over(ahead)
     )
     # the last n values of every block, then what earlier blocks hand over to each block
+    cut = held.filter(F.col("_block") > 0).select(*keys).distinct()
     tails = (
-        held.withColumn("_last", F.row_number().over(inside.orderBy(*[F.col(o).desc() for o in order])))
+        held.join(cut, keys, "left_semi")
+        .withColumn("_last", F.row_number().over(inside.orderBy(*[F.col(o).desc() for o in order])))
         .filter(F.col("_last") <= n)
         .groupBy(*keys, "_block")
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("_last")).alias("p"), F.col("_value").alias("v")))).alias("_t"))
@@ -66,9 +89,12 @@ def with_previous(
 
 
 def with_running_total(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, out: str
+    df: DataFrame, keys: list[str], order: list[str], block: Column | None, value: Column, out: str
 ) -> DataFrame:
     """Add ``out``: the running sum of ``value`` up to and including each row."""
+    if block is None:
+        plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(plain))
     held = df.withColumn("_block", block).withColumn("_value", value)
     ahead = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = held.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
@@ -93,7 +119,7 @@ def with_key_values(df: DataFrame, summary: DataFrame, keys: list[str], salt_by:
 
 
 def sliding_confidence(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, value: str, window: int = 5
+    df: DataFrame, keys: list[str], order: list[str], block: Column | None, value: str, window: int = 5
 ) -> DataFrame:
     """Add ``normalized_confidence``: geometric mean of the last ``window`` values."""
     from mnemora.functions.confidence import geometric_mean
@@ -105,7 +131,7 @@ def sliding_confidence(
     )
 
 
-def declining(df: DataFrame, keys: list[str], order: list[str], block: Column, value: str) -> DataFrame:
+def declining(df: DataFrame, keys: list[str], order: list[str], block: Column | None, value: str) -> DataFrame:
     """Add ``declining``: the value fell strictly over the last three rows."""
     prev = F.col("_prev")
     return (
@@ -119,7 +145,7 @@ def declining(df: DataFrame, keys: list[str], order: list[str], block: Column, v
 
 
 def running_baseline(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, value: str, start: float, keep: float = 0.9
+    df: DataFrame, keys: list[str], order: list[str], block: Column | None, value: str, start: float, keep: float = 0.9
 ) -> DataFrame:
     """Exponential running mean per series after its last row.
 
@@ -144,7 +170,7 @@ def running_baseline(
 
 
 def confidence_patterns(
-    df: DataFrame, keys: list[str], order: list[str], block: Column, value: str, floor_third: bool = True
+    df: DataFrame, keys: list[str], order: list[str], block: Column | None, value: str, floor_third: bool = True
 ) -> DataFrame:
     """One row per series of ten values or more: pattern type, severity and the parts behind them.
 

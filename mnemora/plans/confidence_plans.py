@@ -53,8 +53,8 @@ def token_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sliding_window(spark: SparkSession, folder: str) -> DataFrame:
-    rows = inputs.confidences(spark, folder)
-    out = series.sliding_confidence(rows, KEY, ORDER, series.time_block(rows, "ts"), "prob", 5)
+    rows, block = series.time_blocks(inputs.confidences(spark, folder), KEY, "ts")
+    out = series.sliding_confidence(rows, KEY, ORDER, block, "prob", 5)
     n = F.col("normalized_confidence")
     return out.select(
         "event_id",
@@ -66,21 +66,21 @@ def sliding_window(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def patterns(spark: SparkSession, folder: str) -> DataFrame:
-    rows = inputs.confidences(spark, folder)
-    out = series.confidence_patterns(rows, KEY, ORDER, series.time_block(rows, "ts"), "prob")
+    rows, block = series.time_blocks(inputs.confidences(spark, folder), KEY, "ts")
+    out = series.confidence_patterns(rows, KEY, ORDER, block, "prob")
     names = ["mean_confidence", "drop_size", "degradation", "repetition", "severity"]
     return out.select("user_id", "n_values", "pattern_type", *[r6(F.col(n)).alias(n) for n in names])
 
 
 def patterns_parity(spark: SparkSession, folder: str) -> DataFrame:
-    rows = inputs.confidences(spark, folder)
-    out = series.confidence_patterns(rows, KEY, ORDER, series.time_block(rows, "ts"), "prob", floor_third=False)
+    rows, block = series.time_blocks(inputs.confidences(spark, folder), KEY, "ts")
+    out = series.confidence_patterns(rows, KEY, ORDER, block, "prob", floor_third=False)
     return out.select("user_id", "pattern_type", r6(F.col("degradation")).alias("degradation"), r6(F.col("severity")).alias("severity"))
 
 
 def baseline(spark: SparkSession, folder: str) -> DataFrame:
-    rows = inputs.confidences(spark, folder)
-    out = series.running_baseline(rows, KEY, ORDER, series.time_block(rows, "ts"), "prob", 0.5)
+    rows, block = series.time_blocks(inputs.confidences(spark, folder), KEY, "ts")
+    out = series.running_baseline(rows, KEY, ORDER, block, "prob", 0.5)
     return out.select("user_id", "n_values", r6(F.col("baseline")).alias("baseline"))
 
 
@@ -120,8 +120,8 @@ def indicator(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def declining(spark: SparkSession, folder: str) -> DataFrame:
-    rows = inputs.confidences(spark, folder)
-    out = series.declining(rows, KEY, ORDER, series.time_block(rows, "ts"), "prob")
+    rows, block = series.time_blocks(inputs.confidences(spark, folder), KEY, "ts")
+    out = series.declining(rows, KEY, ORDER, block, "prob")
     return out.select("event_id", "declining")
 
 

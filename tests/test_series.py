@@ -19,9 +19,10 @@ def rows(spark):
     return spark.createDataFrame(data, "k int, i bigint, v double").cache()
 
 
-@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+@pytest.mark.parametrize("size", [None, 1, 2, 7, 1000])
 def test_previous_values(rows, size):
-    out = series.with_previous(rows, ["k"], ["i"], series.index_block("i", size), F.col("v"), 4)
+    block = None if size is None else series.index_block("i", size)
+    out = series.with_previous(rows, ["k"], ["i"], block, F.col("v"), 4)
     w = Window.partitionBy("k").orderBy("i").rowsBetween(-4, -1)
     want = rows.withColumn("prev", F.collect_list("v").over(w))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))

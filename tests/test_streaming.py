@@ -40,5 +40,8 @@ def test_confidence(spark, split):
     stream = stream_table(spark, split, "conf", 1)
     got = drain(stateful.stream_confidence(stream, "user_id", ["ts", "event_id"], "prob"), "c")
     conf = spark.read.parquet(os.path.join(split, "conf.parquet"))
-    batch = series.sliding_confidence(conf, ["user_id"], ["ts", "event_id"], series.time_block(conf, "ts", 100), "prob")
+    # a target of 5 rows cuts many users' series into blocks
+    blocked, block = series.time_blocks(conf, ["user_id"], "ts", 5)
+    assert block is not None and blocked.filter("block > 0").count() > 0
+    batch = series.sliding_confidence(blocked, ["user_id"], ["ts", "event_id"], block, "prob")
     assert rounded(got.select("event_id", "normalized_confidence")) == rounded(batch.select("event_id", "normalized_confidence"))
