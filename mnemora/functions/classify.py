@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,20 +82,16 @@ def subcategory(text: Column, category: Column, rows: list[tuple[str, str, list[
     0.7 for a literal mention, 0.3 for any related term; the first best wins. Below 0.3
     the share of the name's words found in the text decides.
     """
-    # one constant array, filtered by category per row
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(cat).alias("category"),
-                F.lit(-i).alias("order"),
-                F.lit(name).alias("name"),
-                F.lit(name.replace("_", " ")).alias("readable"),
-                F.array(*[F.lit(t) for t in terms]).alias("terms"),
-                F.array(*[F.lit(w) for w in name.split("_")]).alias("words"),
-            )
-            for i, (cat, name, terms) in enumerate(rows or taxonomy())
-        ]
+    # one constant map, folded to a literal; a row looks at the entries of its category only
+    by_category: dict[str, list[dict]] = {}
+    for i, (cat, name, terms) in enumerate(rows or taxonomy()):
+        entry = {"order": -i, "name": name, "readable": name.replace("_", " "), "terms": terms, "words": name.split("_")}
+        by_category.setdefault(cat, []).append(entry)
+    table = F.from_json(
+        F.lit(json.dumps(by_category)),
+        "map<string,array<struct<order:int,name:string,readable:string,terms:array<string>,words:array<string>>>>",
     )
+    entries = F.try_element_at(table, category)
 
     def result(score: Column, e: Column) -> Column:
         return F.struct(score.alias("score"), e["order"].alias("order"), e["name"].alias("name"))
@@ -101,7 +99,7 @@ def subcategory(text: Column, category: Column, rows: list[tuple[str, str, list[
     def mention(t: Column) -> Column:
         return F.array_max(
             F.transform(
-                F.filter(entries, lambda e: e["category"] == category),
+                entries,
                 lambda e: result(
                     F.when(F.contains(t, e["readable"]), 0.7).otherwise(0.0)
                     + F.when(F.exists(e["terms"], lambda w: F.contains(t, w)), 0.3).otherwise(0.0),
@@ -113,7 +111,7 @@ def subcategory(text: Column, category: Column, rows: list[tuple[str, str, list[
     def overlap(t: Column) -> Column:
         return F.array_max(
             F.transform(
-                F.filter(entries, lambda e: e["category"] == category),
+                entries,
                 lambda e: result(F.size(F.filter(e["words"], lambda w: F.contains(t, w))) / F.size(e["words"]), e),
             )
         )

@@ -72,7 +72,7 @@ def level_hits(
     qid_type = queries.schema[query_id].dataType.simpleString()
     iid_type = items.schema[item_id].dataType.simpleString()
     schema = f"query_id {qid_type}, level int, item_id {iid_type}, raw double"
-    parameters = level_parameters(dim, max(max(levels), 1))
+    parameters = level_parameters(dim, max(levels)) if max(levels) > 0 else {}
     base = _unit_rows(np.array([r[1] for r in rows], dtype=np.float64).reshape(-1, dim))
     shared = spark.sparkContext.broadcast(
         {
@@ -154,7 +154,7 @@ def blocked_hits(
     n_items, n_queries = items.count(), queries.count()
     item_slices, query_slices = max(1, -(-n_items // cell_rows)), max(1, -(-n_queries // cell_rows))
     spark = items.sparkSession
-    shared = spark.sparkContext.broadcast(level_parameters(dim, max(max(levels), 1)))
+    shared = spark.sparkContext.broadcast(level_parameters(dim, max(levels)) if max(levels) > 0 else {})
     qid_type = queries.schema[query_id].dataType.simpleString()
     iid_type = items.schema[item_id].dataType.simpleString()
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -173,4 +173,5 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("perplexity", F.pow(F.lit(2.0), F.col("entropy")))
         .drop("_tok")
     )
-    return sliding_confidence(measured, ["conv_id"], ["turn"], index_block("turn"), "confidence", 5)
+    # few answers end up in one shuffle partition, and what follows them is heavy on the processor
+    return spread(sliding_confidence(measured, ["conv_id"], ["turn"], index_block("turn"), "confidence", 5))
