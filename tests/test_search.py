@@ -142,3 +142,11 @@ def test_lane_and_ring_maps_are_scaled(spark, folder):
     assert all(abs(r[1]) < 1e-9 and abs(r[2] - 1) < 1e-9 and abs(r[4] - r[3] - 0.2) < 1e-9 for r in flow)
     ring = {r.level: r for r in analytics.ring_map(vectors, long, 64).groupBy("level").agg(F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect()}
     assert ring[0].hi == pytest.approx(0.4) and ring[1].lo >= 0.4 and ring[2].hi == pytest.approx(1.0)
+
+
+def test_text_ids(store, queries):
+    items, asked = store[0].withColumn("id", F.concat(F.lit("item_"), "id")), queries[0].withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    hits, _ = search.level_hits(items, asked, 16, 4, [0, 2])
+    blocked = search.blocked_hits(items, asked, 16, 4, [0, 2], cell_rows=70)
+    key = lambda df: {(r.query_id, r.level, r.item_id, r.raw_rank) for r in df.collect()}
+    assert len(key(hits)) == 9 * (12 + 8) and key(hits) == key(blocked)
