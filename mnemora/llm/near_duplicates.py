@@ -25,12 +25,12 @@ from mnemora.llm.graph import components
 
 SHINGLE = 5
 PERCENT = 75  # linked when 100 * intersection >= PERCENT * union
-BANDS, ROWS = 50, 5  # a pair of similarity 0.75 shares no band with probability 1.4e-6
+BANDS, ROWS = 36, 4  # a pair of similarity 0.75 shares no band with probability 1.1e-6
 COORDINATES = BANDS * ROWS
 # A pair is verified when its sketches agree in this share: five deviations below PERCENT.
-LEAST_AGREEMENT = 0.60
-# Members of a bucket that one task compares with each other; larger buckets are cut into blocks.
-BLOCK = 1024
+LEAST_AGREEMENT = 0.57
+# Shingles of a bucket that one task compares with each other; larger buckets are cut into blocks.
+BLOCK_SHINGLES = 500_000
 STARS = 2  # hubs tried per document before what is left is compared block by block
 
 _MUL = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -141,44 +141,87 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((left == right).mean(axis=1))
 
 
-def _pairs_of_group(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components whose sketches agree, within one block or between two."""
-    sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), COORDINATES)
-    node, comp, side = (rows[c].to_numpy() for c in ("node", "component", "side"))
-    left = np.flatnonzero(side <= 1)
-    right = np.flatnonzero(side >= 1)
-    u, v = [], []
-    for i in left:
-        others = right[(comp[right] != comp[i])]
-        near = others[(sketch[others] == sketch[i]).mean(axis=1) >= LEAST_AGREEMENT]
-        u.append(np.full(len(near), node[i]))
-        v.append(node[near])
-    u, v = np.concatenate(u or [[]]), np.concatenate(v or [[]])
-    return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)}).astype("int64").drop_duplicates()
-
-
-def _open_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk rows sorted by group and compare each group; one group is held at a time."""
-    keys = ["band", "i", "j"]
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows sorted by key; one group is held at a time."""
     rest = None
     for batch in batches:
         batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
         new = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy().nonzero()[0]
-        out = [_pairs_of_group(batch.iloc[a:b]) for a, b in zip(new[:-1], new[1:], strict=True)]
+        for a, b in zip(new[:-1], new[1:], strict=True):
+            yield batch.iloc[a:b]
         rest = batch.iloc[new[-1] :] if len(new) else None
-        if out:
-            yield pd.concat(out)
     if rest is not None:
-        yield _pairs_of_group(rest)
+        yield rest
+
+
+CELL = ["band_no", "band", "i", "j"]
+CELL_ROW = "band_no int, band bigint, i int, j int, node bigint, component bigint, side int"
+
+
+def _sides(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    side = rows["side"].to_numpy()
+    return np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+
+
+def _promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each cell that have a partner in another component with an agreeing sketch.
+
+    A pair counts in the first band that it shares only, so most rows stay in few cells.
+    """
+    for rows in _groups(batches, CELL):
+        sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), COORDINATES)
+        component, band = rows["component"].to_numpy(), int(rows["band_no"].iloc[0])
+        left, right = _sides(rows)
+        wanted = np.zeros(len(rows), dtype=bool)
+        for i in left:
+            others = right[component[right] != component[i]]
+            equal = sketch[others] == sketch[i]
+            near = equal.mean(axis=1) >= LEAST_AGREEMENT
+            earlier = equal[near].reshape(-1, BANDS, ROWS).all(axis=2)[:, :band].any(axis=1)
+            found = others[near][~earlier]
+            wanted[found] = True
+            wanted[i] |= len(found) > 0
+        if wanted.any():
+            yield rows.loc[wanted, [*CELL, "node", "component", "side"]]
+
+
+def _cell_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between components within each cell, by full shingle sets; at most one less than its rows."""
+    for rows in _groups(batches, CELL):
+        sets = rows["shingles"].to_numpy()
+        sizes = np.array([len(x) for x in sets])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        held = np.zeros(codes.max() + 1, dtype=np.int64)
+        node, label = rows["node"].to_numpy(), rows["component"].to_numpy().copy()
+        left, right = _sides(rows)
+        right_side = np.zeros(len(rows), dtype=bool)
+        right_side[right] = True
+        u, v = [], []
+        for i in left:
+            own = codes[starts[i] : starts[i] + sizes[i]]
+            held[own] = 1
+            both = np.add.reduceat(held[codes], starts)
+            held[own] = 0
+            linked = right_side & (label != label[i]) & (100 * both >= PERCENT * (sizes + sizes[i] - both))
+            for k in np.flatnonzero(linked):
+                if label[k] != label[i]:
+                    u.append(node[i])
+                    v.append(node[k])
+                    label[label == label[k]] = label[i]
+        yield pd.DataFrame({"u": u, "v": v}, dtype="int64")
+
+
+def _shingles_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the given nodes, one row each."""
+    texts = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    sets = texts.mapInArrow(_sets, "node bigint, shingles array<bigint>")
+    return saved(sets.dropDuplicates(["node"]), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) that are linked, by their full shingle sets; sets are made for their ends only."""
-    ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    texts = docs.join(ends, "doc_id", "left_semi").select("doc_id", "text")
-    sets = saved(
-        texts.mapInArrow(_sets, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "sets"
-    )
+    sets = _shingles_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), docs)
     u = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     v = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
@@ -191,14 +234,46 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def _open_links(buckets: DataFrame, joined: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between members of one bucket that are still in different components.
+
+    Buckets are cut into blocks of bounded size and every two blocks meet in a cell. A first pass over
+    sketches leaves the rows that have a promising partner; only for those the full sets are sent to
+    the cells. Both passes return no more rows than they read.
+    """
+    member = buckets.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = (
+        member.groupBy("band_no", "band")
+        .agg(F.min("component").alias("a"), F.max("component").alias("z"), F.sum("n_shingles").alias("all"))
+        .where("a <> z")
+        .select("band_no", "band", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    )
+    sketch = nodes.groupBy("node").agg(F.min("sketch").alias("sketch"))
+    side = F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2)
+    cells = (
+        member.join(mixed, ["band_no", "band"])
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "side": side})
+        .select(*CELL, "node", "component", "side")
+        .join(sketch, "node")
+    )
+    promising = saved(
+        cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(_promising, CELL_ROW), "promising"
+    )
+    sets = _shingles_of(promising.select("node").distinct(), docs)
+    meeting = promising.join(sets, "node").repartition(*CELL).sortWithinPartitions(*CELL)
+    return saved(meeting.mapInPandas(_cell_links, "u bigint, v bigint").distinct(), "open-links")
+
+
 def linked_classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents of equal shingle sets are one class from the start; only its smallest doc_id goes on.
     Every band bucket links its members to its smallest one: these stars are verified first, which
     joins the members of large groups of copies in one step each. What shares a bucket and is still
-    in different components is then compared in blocks by its sketches; pairs that agree are
-    verified too. No pairs are made within a component.
+    in different components is then compared in blocks, by sketches and then by full sets. No pairs
+    are made within a component.
 
     Texts that are null, empty or without words are linked with nothing. Repeated rows fall into one
     class; rows of the same doc_id count as one document of the graph. A null doc_id is linked with
@@ -207,17 +282,16 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     marks = saved(rows.mapInArrow(_signatures, SIGNATURE), "signatures")
     named = marks.where("doc_id is not null and fingerprint is not null")
-    heads = named.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
+    # Equal sets have equal sketches, so any row of a class stands for it.
     nodes = saved(
-        named.join(heads, "fingerprint")
-        .where("doc_id = node")
-        .select("node", "bands", "sketch")
-        .dropDuplicates(["node", "bands"]),
+        named.groupBy("fingerprint").agg(
+            F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]
+        ),
         "nodes",
     )
-    spread = nodes.select(F.explode("bands").alias("band"), "node").distinct()
-    hubs = spread.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    buckets = saved(spread.join(hubs, "band"), "buckets")
+    spread = nodes.select(F.posexplode("bands").alias("band_no", "band"), "node", "n_shingles")
+    hubs = spread.groupBy("band_no", "band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    buckets = saved(spread.join(hubs.drop("n"), ["band_no", "band"]), "buckets")
 
     sketch = nodes.groupBy("node").agg(F.min("sketch").alias("sketch"))
     stars = buckets.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
@@ -229,42 +303,14 @@ def linked_classes(docs: DataFrame) -> DataFrame:
         .where(agreement("sketch", "other") >= LEAST_AGREEMENT)
         .select(F.col("node").alias("u"), F.col("hub").alias("v"))
     )
-    near = saved(near, "stars")
-    links = saved(_verified(near, docs), "links")
+    links = saved(_verified(saved(near, "stars"), docs), "links")
     joined = components(links)
-
-    member = (
-        buckets.join(joined, "node", "left")
-        .select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    )
-    mixed = member.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    cells = (
-        member.join(mixed, "band", "left_semi")
-        .join(sketch, "node")
-        .withColumn("parts", parts)
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            "band",
-            F.least("mine", "other").alias("i"),
-            F.greatest("mine", "other").alias("j"),
-            "node",
-            "component",
-            "sketch",
-            # Within one block a row is on both sides; between two, the lower block is the left side.
-            F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2).alias("side"),
-        )
-    )
-    grouped = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    open_pairs = grouped.mapInPandas(_open_pairs, "u bigint, v bigint").distinct()
-    rest = saved(open_pairs.join(near, ["u", "v"], "left_anti"), "open-pairs")
-    if not rest.isEmpty():
-        joined = components(links.union(_verified(rest, docs)))
+    more = _open_links(buckets, joined, nodes, docs)
+    if not more.isEmpty():
+        joined = components(links.union(more))
 
     classes = (
-        heads.join(joined, "node", "left")
+        nodes.join(joined, "node", "left")
         .select("fingerprint", F.coalesce("component", "node").alias("class"))
     )
     by_id = (
