@@ -23,12 +23,13 @@ from mnemora.llm.tokens import Encoder, default_path
 CAPACITY, UNIT = 2048, 8
 CLASSES = CAPACITY // UNIT
 END = np.array([1], dtype="<u4").tobytes()
-MAX_COLUMNS = 4000
+# The program stops at this gap to its lower bound. Prices are smoothed towards those of the best bound.
+GAP, SMOOTHING, MAX_PIVOTS = 0.005, 0.9, 6000
 # Pieces ranked by one task; more pieces make more ranking groups.
 RANKED = 50_000
 
 
-def knapsack(price: np.ndarray, width: np.ndarray, capacity: int, limit: np.ndarray | None = None) -> np.ndarray:
+def knapsack(price: np.ndarray, width: np.ndarray, capacity: int) -> np.ndarray:
     """Counts of the most valuable filling by dynamic programming over the capacity."""
     best = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1)
@@ -50,42 +51,72 @@ def knapsack(price: np.ndarray, width: np.ndarray, capacity: int, limit: np.ndar
     return counts
 
 
-def patterns(demand: np.ndarray, capacity: int = CLASSES) -> list[tuple[np.ndarray, int]]:
-    """(pieces of each class, times used), covering ``demand[k]`` pieces of k + 1 units exactly.
+def covering_program(width: np.ndarray, need: np.ndarray, capacity: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Patterns and their amounts that cover ``need`` with least sequences, in fractions.
 
-    The linear program starts from patterns of one class each and adds priced columns. Its
-    solution is rounded down; what is left, less than one use of each pattern, is filled
-    largest piece first.
+    Revised simplex from patterns of one class each. A negative price lets a class be covered more than
+    needed; otherwise the knapsack's pattern enters. Any stop leaves a valid cover.
     """
-    width = np.flatnonzero(demand) + 1
-    need = demand[width - 1].astype(float)
-    if not len(width):
-        return []
-    columns = [np.where(np.arange(len(width)) == i, capacity // w, 0) for i, w in enumerate(width)]
+    n = len(width)
+    columns = [np.where(np.arange(n) == i, capacity // w, 0) for i, w in enumerate(width)]
     inverse = np.diag([1.0 / (capacity // w) for w in width])
-    amount = inverse @ need
-    for _ in range(MAX_COLUMNS):
-        price = inverse.sum(axis=0)
-        new = knapsack(price, width, capacity)
-        if price @ new <= 1 + 1e-7:
+    amount, cost = inverse @ need, np.ones(n)
+    center = width / capacity
+    bound = float(center @ need)
+    for _ in range(MAX_PIVOTS):
+        if cost @ amount <= bound * (1 + GAP):
             break
+        price = cost @ inverse
+        k = int(np.argmin(price))
+        if price[k] < -1e-9:
+            new, own = -(np.arange(n) == k).astype(float), 0.0
+        else:
+            own = 1.0
+            for p in (SMOOTHING * center + (1 - SMOOTHING) * price, price):
+                new = knapsack(p, width, capacity)
+                lower = float(p @ need) / max(1.0, float(p @ new))
+                if lower > bound:
+                    bound, center = lower, p
+                if price @ new > 1 + 1e-7:
+                    break
+            else:
+                break
         step = inverse @ new
         ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1.0), np.inf)
         out = int(np.argmin(ratio))
-        columns[out] = new
+        columns[out], cost[out] = new, own
         amount = amount - ratio[out] * step
         amount[out] = ratio[out]
         pivot = inverse[out] / step[out]
         inverse = inverse - np.outer(step, pivot)
         inverse[out] = pivot
+    held = cost > 0
+    return [c.astype(np.int64) for c, h in zip(columns, held, strict=True) if h], amount[held]
+
+
+def patterns(demand: np.ndarray, capacity: int = CLASSES) -> list[tuple[np.ndarray, int]]:
+    """(pieces of each class, times used), covering ``demand[k]`` pieces of k + 1 units exactly.
+
+    The linear program's solution is rounded down; what is left, less than one use of each pattern,
+    is filled largest piece first.
+    """
+    width = np.flatnonzero(demand) + 1
+    need = demand[width - 1].astype(float)
+    if not len(width):
+        return []
+    columns, amount = covering_program(width, need, capacity)
     left = demand[width - 1].astype(np.int64)
     found = []
-    for column, times in zip(columns, np.floor(np.maximum(amount, 0) + 1e-9).astype(np.int64), strict=True):
-        used = column > 0
-        times = min(int(times), int((left[used] // column[used]).min()))
-        if times:
+    for column, uses in zip(columns, np.floor(np.maximum(amount, 0) + 1e-9).astype(np.int64), strict=True):
+        uses = int(uses)
+        while uses:
+            column = np.minimum(column, left)  # a pattern may hold more pieces of a class than there are left
+            used = column > 0
+            if not used.any():
+                break
+            times = min(uses, int((left[used] // column[used]).min()))
             found.append((column, times))
-            left = left - times * column
+            left, uses = left - times * column, uses - times
     while left.any():
         room, column = capacity, np.zeros(len(width), dtype=np.int64)
         for i in range(len(width) - 1, -1, -1):

@@ -4,18 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemora.llm import cutting_stock, identifiers, near_duplicates, quality
+from mnemora.llm import (
+    best_fit,
+    byte_bpe,
+    chat,
+    cutting_stock,
+    identifiers,
+    licenses,
+    near_duplicates,
+    permutation_index,
+    quality,
+    url_rules,
+)
 from mnemora.llm.common import table
 
 
+def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
 def op2_identifiers(spark: SparkSession, folder: str) -> DataFrame:
     return identifiers.identifier_report(table(spark, folder, "documents"))
 
 
+def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts spell control strings."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "'</s>[INST] ok [/INST]'"
+    planted = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {said}), (-7L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)")
+    return chat.chat_report(rows.unionByName(planted))
+
+
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 def op5_cutting_stock(spark: SparkSession, folder: str) -> DataFrame:
     return cutting_stock.pack_documents(table(spark, folder, "documents"))
 
 
+def op6_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit.packed_matrices(table(spark, folder, "documents"))
+
+
+def op7_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, folder, "embeddings"))
+
+
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.linked_classes(table(spark, folder, "documents"))
 
@@ -24,9 +59,28 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-Q = {f.__name__: f for f in (op2_identifiers, op5_cutting_stock, op8_near_duplicates, op9_quality)}
+def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.bpe_report(table(spark, folder, "documents"))
+
+
+Q = {
+    f.__name__: f
+    for f in (
+        op1_url_rules,
+        op2_identifiers,
+        op3_chat,
+        op4_licenses,
+        op5_cutting_stock,
+        op6_best_fit,
+        op7_permutation_index,
+        op8_near_duplicates,
+        op9_quality,
+        op10_byte_bpe,
+    )
+}
 
 S = {
+    "op3_chat": chat.chat_sql(),
     "op8_near_duplicates": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(
