@@ -187,8 +187,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def shared_words(docs: DataFrame, fold: Fold, limit: int = SHARED_WORDS) -> dict[str, str]:
-    """The tokens of the most frequent words, at most ``limit`` of them.
+def shared_words(docs: DataFrame, fold: Fold, limit: int = SHARED_WORDS) -> pa.Table:
+    """The tokens of the most frequent words, at most ``limit`` rows, kept in Arrow columns on the driver.
 
     The least count is found from the numbers of words in steps of the logarithm of the count, so
     nothing is sorted in one place.
@@ -203,10 +203,10 @@ def shared_words(docs: DataFrame, fold: Fold, limit: int = SHARED_WORDS) -> dict
             break
         least = at
     if least is None:
-        return {}
+        return pa.table({"word": pa.array([], pa.string()), "t": pa.array([], pa.string())})
     frequent = counts.where(step >= least).select("word")
     wide = frequent.repartition(max(frequent.sparkSession.sparkContext.defaultParallelism * 4, 1))
-    return {r["word"]: r["t"] for r in saved(wide.select("word", fold(F.col("word")).alias("t")), "shared-words").collect()}
+    return saved(wide.select("word", fold(F.col("word")).alias("t")), "shared-words").toArrow()
 
 
 def encoded(docs: DataFrame, path: str | None = None, limit: int = SHARED_WORDS) -> DataFrame:
@@ -220,7 +220,7 @@ def encoded(docs: DataFrame, path: str | None = None, limit: int = SHARED_WORDS)
     shared = docs.sparkSession.sparkContext.broadcast(shared_words(docs, fold, limit))
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = dict(zip(*(c.to_pylist() for c in shared.value.columns), strict=True))
         for batch in batches:
             tokens, rare = [], []
             for text in batch.column("text"):
