@@ -49,11 +49,21 @@ def to_level(vectors: np.ndarray, level: int, parameters: dict) -> np.ndarray:
 
 
 def as_matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, mask) of a list column: vectors of length ``dim`` and which rows have one."""
+    """(rows, mask) of a list column: vectors of length ``dim`` and which rows have one.
+
+    Vectors of another length are cut or padded with zeros, as queries and stored items are.
+    """
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    mask = lengths == dim
-    flat = column.filter(pa.array(mask)).flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(-1, dim), mask
+    mask = lengths > 0
+    flat = column.filter(pa.array(mask)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths = lengths[mask]
+    if (lengths == dim).all():
+        return flat.reshape(-1, dim), mask
+    rows = np.zeros((len(lengths), dim))
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    inside = at < dim
+    rows[np.repeat(np.arange(len(lengths)), lengths)[inside], at[inside]] = flat[inside]
+    return rows, mask
 
 
 def _list_array(rows: np.ndarray) -> pa.Array:

@@ -22,7 +22,7 @@ from mnemora.operators.levels import as_matrix, level_parameters, to_level
 
 MAX_QUERY_ROWS = 4096
 MAX_BROADCAST_ROWS = 500_000
-CELL_ROWS = 20_000
+CELL_ROWS = 4_000
 
 
 def _unit_rows(rows: np.ndarray) -> np.ndarray:
@@ -160,13 +160,15 @@ def blocked_hits(
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = (
         items.select(F.col(item_id).alias("i"), F.col(item_vec).alias("v"))
-        .filter(F.size("v") == dim)
+        .filter(F.size("v") > 0)
+        .withColumn("v", resize(F.col("v"), dim))
         .withColumn("is", F.pmod(F.xxhash64("i"), F.lit(item_slices)).cast("int"))
         .withColumn("qs", cells(query_slices))
     )
     right = (
         queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("w"))
-        .filter(F.size("w") == dim)
+        .filter(F.size("w") > 0)
+        .withColumn("w", resize(F.col("w"), dim))
         .withColumn("qs", F.pmod(F.xxhash64("q"), F.lit(query_slices)).cast("int"))
         .withColumn("is", cells(item_slices))
     )

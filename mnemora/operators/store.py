@@ -49,8 +49,10 @@ def duplicate_ids(items: DataFrame) -> DataFrame:
     return items.groupBy("id").agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
 
 
-def get(items: DataFrame, ids: list[str] | Column) -> DataFrame:
-    """Live items by id."""
+def get(items: DataFrame, ids: list[str] | Column | DataFrame) -> DataFrame:
+    """Live items by id; many ids come as a DataFrame with a column ``id``."""
+    if isinstance(ids, DataFrame):
+        return items.filter(~F.col("deleted")).join(ids.select("id"), "id", "left_semi")
     wanted = F.col("id").isin(ids) if isinstance(ids, list) else F.col("id") == ids
     return items.filter(wanted & ~F.col("deleted"))
 

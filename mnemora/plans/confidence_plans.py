@@ -98,9 +98,10 @@ def coloured_tokens(spark: SparkSession, folder: str) -> DataFrame:
     from mnemora.functions.text import tokens
 
     docs = inputs.documents(spark, folder).join(
-        inputs.embeddings(spark, folder).select(F.col("id").alias("doc_id"), "embedding"), "doc_id"
+        inputs.embeddings(spark, folder).select(F.col("id").alias("doc_id"), "embedding"), "doc_id", "left"
     )
     scores = F.transform("embedding", lambda x: F.abs(x.cast("double")) * 3)
+    scores = F.coalesce(scores, F.array().cast("array<double>"))
     tok = docs.select("doc_id", scores.alias("scores"), F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
     step = C.colour_step(C.confidence_at(F.col("scores"), F.col("pos")))
     return tok.groupBy("doc_id", step.alias("step")).agg(F.count("*").alias("n"))
@@ -202,9 +203,9 @@ _step = "CASE WHEN {p} >= 0.8 THEN 0 WHEN {p} >= 0.7 THEN 1 WHEN {p} >= 0.6 THEN
 _even = "CASE " + " ".join(f"WHEN prob >= {10 - i} / 10.0 THEN {i}" for i in range(10)) + " ELSE 9 END"
 S["confidence_colours"] = with_(CONF) + f"SELECT {_step.format(p='prob')} AS step, {_even} AS even_step, count(*) AS n FROM conf GROUP BY ALL"
 S["confidence_coloured_tokens"] = with_(
-    r"""dl AS (SELECT d.doc_id, e.embedding, list_filter(string_split_regex(d.text, '\s+'), lambda x: x <> '') AS l FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+    r"""dl AS (SELECT d.doc_id, e.embedding, list_filter(string_split_regex(d.text, '\s+'), lambda x: x <> '') AS l FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 tk AS (SELECT doc_id, embedding, unnest(range(len(l))) AS i FROM dl),
-cf AS (SELECT doc_id, abs(embedding[least(i + 1, len(embedding))]::DOUBLE) * 3 AS c FROM tk)"""
+cf AS (SELECT doc_id, coalesce(abs(embedding[least(i + 1, len(embedding))]::DOUBLE) * 3, 1.0) AS c FROM tk)"""
 ) + f"SELECT doc_id, {_step.format(p='c')} AS step, count(*) AS n FROM cf GROUP BY ALL"
 S["confidence_indicator"] = with_(CONF) + """SELECT event_id, floor(prob * 100)::INT AS confidence_pct, floor((1.0 - prob) * 100)::INT AS reliability_pct,
 repeat('█', floor(prob * 30)::INT) || repeat('░', 30 - floor(prob * 30)::INT) AS bar,

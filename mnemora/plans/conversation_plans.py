@@ -103,34 +103,6 @@ def generation_stats(spark: SparkSession, folder: str) -> DataFrame:
     return talk.groupBy("conv_id").agg(F.sum("n").alias("tokens"), r6(F.sum("n") / (F.max("turn") + 1)).alias("tokens_per_second"))
 
 
-def draft_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Draft counters per supplier, from shipped lines."""
-    lines = table(spark, folder, "lineitem")
-    counters = lines.groupBy("l_suppkey").agg(
-        F.count_if(F.col("l_returnflag") == "N").alias("tokens_from_draft"),
-        F.count_if(F.col("l_linestatus") == "O").alias("total_draft_tokens"),
-        F.count("*").alias("total_tokens_generated"),
-        F.count_if(F.col("l_tax") > 0.07).alias("successful_attempts"),
-        F.count_if(F.col("l_tax") > 0.05).alias("speculative_attempts"),
-    )
-    out = V.draft_rates(counters)
-    return out.select("l_suppkey", *[r6(F.col(c)).alias(c) for c in ("efficiency", "success_rate", "utilization")])
-
-
-def repeated_drafts(spark: SparkSession, folder: str) -> DataFrame:
-    """Sentences' word lengths as draft tokens, one series per conversation."""
-    talk = inputs.turns(spark, folder)
-    lengths = F.transform(F.slice(tokens(F.col("text")), 1, 4), lambda t: F.least(F.length(t), F.lit(4)).cast("string"))
-    return V.repeated_drafts(talk.withColumn("tokens", lengths), KEY, ORDER).select("conv_id", "turn", "is_repetitive")
-
-
-def shared_prefix(spark: SparkSession, folder: str) -> DataFrame:
-    docs = inputs.documents(spark, folder)
-    tok = tokens(F.col("text"))
-    other = F.transform(tok, lambda t: F.when(F.length(t) > 9, F.upper(t)).otherwise(t))
-    return docs.select("doc_id", longest_shared_prefix(tok, other).alias("accepted"))
-
-
 def query_thresholds(spark: SparkSession, folder: str) -> DataFrame:
     asked = inputs.questions(spark, folder).withColumn("category", rule_category(F.col("question")))
     out = asked.select(
@@ -240,9 +212,6 @@ Q.update(
     talk_stop_markers=stop_markers,
     talk_token_buffer=token_buffer,
     talk_generation_stats=generation_stats,
-    talk_draft_rates=draft_rates,
-    talk_repeated_drafts=repeated_drafts,
-    talk_shared_prefix=shared_prefix,
     talk_query_thresholds=query_thresholds,
     talk_hallucination=hallucination,
     talk_verdicts=verdicts,
@@ -295,27 +264,6 @@ S["talk_stop_markers"] = "SELECT conv_id, turn, md5(text) AS digest FROM convers
 S["talk_token_buffer"] = with_(r"b AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS l FROM conversations)") + """SELECT conv_id, turn, length(array_to_string(l, '')) AS n_text,
 md5(CASE WHEN turn * 10 >= len(l) THEN '' ELSE array_to_string(l[turn * 10 + 1:], '') END) AS unread, contains(array_to_string(l, ''), 'the') AS has_the FROM b"""
 S["talk_generation_stats"] = with_(r"b AS (SELECT conv_id, turn, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM conversations)") + f"SELECT conv_id, sum(n)::BIGINT AS tokens, {r6s('sum(n)::DOUBLE / (max(turn) + 1)')} AS tokens_per_second FROM b GROUP BY conv_id"
-S["talk_draft_rates"] = with_("""c AS (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'N') AS a, count(*) FILTER (WHERE l_linestatus = 'O') AS b, count(*) AS t,
-  count(*) FILTER (WHERE l_tax > 0.07) AS s, count(*) FILTER (WHERE l_tax > 0.05) AS p FROM lineitem GROUP BY 1)""") + f"""SELECT l_suppkey, {r6s('CASE WHEN b = 0 THEN 0.0 ELSE a::DOUBLE / b END')} AS efficiency,
-{r6s('CASE WHEN p = 0 THEN 0.0 ELSE s::DOUBLE / p END')} AS success_rate, {r6s('CASE WHEN t = 0 THEN 0.0 ELSE a::DOUBLE / t END')} AS utilization FROM c"""
-# a fold: each verdict depends on the earlier ones, so the recursion walks turn by turn
-S["talk_repeated_drafts"] = with_(
-    r"""RECURSIVE d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, turn,
-  list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:4], lambda x: least(length(x), 4)::VARCHAR) AS t FROM conversations),
-e AS (SELECT conv_id, r, turn, len(t) >= 4 AND array_to_string(t[1:2], ',') IN (array_to_string(t[2:3], ','), array_to_string(t[3:4], ',')) OR len(t) >= 4 AND array_to_string(t[2:3], ',') = array_to_string(t[3:4], ',') AS inner_hit,
-  CASE WHEN len(t) >= 3 THEN array_to_string(t[1:3], ',') END AS head, CASE WHEN len(t) >= 3 THEN array_to_string(t[-3:], ',') ELSE '-' END AS tail FROM d),
-w(conv_id, r, turn, bad, ring) AS (
-  SELECT conv_id, r, turn, inner_hit, CASE WHEN inner_hit THEN []::VARCHAR[] ELSE [tail] END FROM e WHERE r = 1
-  UNION ALL SELECT e.conv_id, e.r, e.turn, e.inner_hit OR coalesce(list_contains(w.ring, e.head), false),
-    CASE WHEN e.inner_hit OR coalesce(list_contains(w.ring, e.head), false) THEN w.ring ELSE list_concat(w.ring, [e.tail])[-5:] END
-  FROM w JOIN e ON e.conv_id = w.conv_id AND e.r = w.r + 1)"""
-) + "SELECT conv_id, turn, bad AS is_repetitive FROM w"
-S["talk_shared_prefix"] = with_(
-    r"""l AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS l FROM documents),
-u AS (SELECT doc_id, l, len(list_filter(l, lambda x: true)) AS n FROM l),
-m AS (SELECT doc_id, n, unnest(l) AS w, unnest(range(len(l))) AS i FROM u),
-f AS (SELECT doc_id, max(n) AS n, min(i) FILTER (WHERE length(w) > 9 AND upper(w) <> w) AS i FROM m GROUP BY doc_id)"""
-) + "SELECT l.doc_id, coalesce(f.i, f.n, 0)::BIGINT AS accepted FROM l LEFT JOIN f USING (doc_id)"
 _map = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules.LABEL_TO_DOMAIN.items())
 _nudge = {n: " + ".join(f"CASE WHEN regexp_matches(question, {quote('(?i)' + p)}) THEN {a} ELSE 0 END" for p, k, a in rules.QUERY_NUDGES if k == n) for n in ("confidence", "entropy")}
 

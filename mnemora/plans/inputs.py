@@ -86,13 +86,13 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def turns_with_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversation turns with a vector: turn number ``conv*8 + turn`` modulo the number of vectors."""
+    """Conversation turns with the vector of number ``conv*8 + turn`` modulo the number of vectors, or NULL."""
     vectors = embeddings(spark, folder).select(F.col("id").alias("_v"), "embedding")
     n = vectors.count()
     return (
         turns(spark, folder)
-        .withColumn("_v", F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(n)))
-        .join(vectors, "_v")
+        .withColumn("_v", F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(max(n, 1))))
+        .join(vectors, "_v", "left")
         .drop("_v")
     )
 

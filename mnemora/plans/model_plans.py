@@ -49,33 +49,11 @@ def chunked_map(spark: SparkSession, folder: str) -> DataFrame:
     return batching.map_in_chunks(docs, measure, "doc_id bigint, n bigint")
 
 
-def batch_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    docs = inputs.documents(spark, folder)
-    means = docs.groupBy("source").agg(F.avg(F.length("text")).alias("m"), F.sum(F.length("text")).alias("t"), F.max(F.length("text")).alias("x"))
-    return means.select(
-        "source",
-        batching.size_for_length(F.col("m")).alias("by_length"),
-        batching.size_for_memory(F.col("t"), F.col("x")).alias("by_memory"),
-    )
-
-
-def best_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as batch runs: the line number is the batch size, tax the time."""
-    lines = table(spark, folder, "lineitem")
-    runs = lines.select(
-        F.col("l_linenumber").alias("batch_size"), F.col("l_quantity").alias("items"), (F.col("l_tax") + F.lit(0.01)).alias("seconds")
-    )
-    out = analytics.best_batch_size(runs)
-    return out.select("batch_size", r6(F.col("items")).alias("items"), F.round("items_per_second", 3).alias("items_per_second"), "is_best")
-
-
 Q.update(
     model_variations=variations,
     model_learned_categories=learned_categories,
     model_embedded_turns=embedded_turns,
     batch_chunked_map=chunked_map,
-    batch_sizes=batch_sizes,
-    batch_best_size=best_batch,
 )
 
 S["model_variations"] = with_(
@@ -87,6 +65,3 @@ l AS (SELECT kind, qid, list_filter([q[1:-2], CASE WHEN NOT regexp_matches(q, '^
 ) + "SELECT kind, qid, unnest(range(len(v)))::INT AS pos, unnest(v) AS variation FROM l"
 S["model_embedded_turns"] = "SELECT conv_id, turn, 32::INT AS dim, 1.0::DOUBLE AS norm FROM conversations WHERE trim(text, ' ' || chr(10)) <> ''"
 S["batch_chunked_map"] = "SELECT doc_id, length(text) AS n FROM documents"
-S["batch_sizes"] = """SELECT source, CASE WHEN avg(length(text)) > 1000 THEN 4 WHEN avg(length(text)) > 500 THEN 8 WHEN avg(length(text)) > 200 THEN 16 ELSE 32 END AS by_length,
-greatest(1, least(32, floor(sum(length(text)) * 0.7 * 0.8 / max(length(text)))))::INT AS by_memory FROM documents GROUP BY source"""
-S["batch_best_size"] = with_("p AS (SELECT l_linenumber AS b, sum(l_quantity) AS i, sum(l_tax + 0.01) AS s FROM lineitem GROUP BY 1)") + f"SELECT b AS batch_size, {r6s('i')} AS items, round((i / s)::DOUBLE, 3) AS items_per_second, i / s = max(i / s) OVER () AS is_best FROM p"

@@ -168,8 +168,7 @@ def memory_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
     hits = _standard_hits(spark, folder)
     texts = inputs.items(spark, folder).select("id", "content", "main_category")
-    bound = R.MAX_QUERY_ROWS * K
-    out = memory_prompt(R.attach_items(hits, texts, bound), 0.99)
+    out = memory_prompt(R.attach_items(hits, texts, None), 0.99)
     return out.select("query_id", "n_high", "n_rest", F.md5("memory_text").alias("digest"), F.length("memory_text").alias("n_chars"))
 
 

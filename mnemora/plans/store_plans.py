@@ -63,8 +63,7 @@ def duplicate_ids(spark: SparkSession, folder: str) -> DataFrame:
 def get(spark: SparkSession, folder: str) -> DataFrame:
     """Items that share the id of a benchmark row, tombstones hidden."""
     wanted = table(spark, folder, "benchmark").select(F.concat(F.lit("doc"), F.col("item_id").cast("string")).alias("id"))
-    live = memory(spark, folder).filter(~F.col("deleted"))
-    return live.join(wanted, "id", "left_semi").select("id", F.md5("content").alias("digest"))
+    return store.get(memory(spark, folder), wanted).select("id", F.md5("content").alias("digest"))
 
 
 def changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,8 +150,9 @@ def saved_and_loaded(spark: SparkSession, folder: str) -> DataFrame:
     saved.save(items)
     live, levels = store.compact(items, with_levels(items, inputs.DIM, 2))
     saved.save(live, levels)
-    counts = saved.levels().groupBy("item_id").agg(F.count("*").alias("n_levels")).withColumnRenamed("item_id", "id")
-    return saved.items().join(counts, "id", "left").select("id", F.md5("content").alias("digest"), F.coalesce("n_levels", F.lit(0)).alias("n_levels"))
+    version = saved.version()
+    counts = saved.levels(version).groupBy("item_id").agg(F.count("*").alias("n_levels")).withColumnRenamed("item_id", "id")
+    return saved.items(version).join(counts, "id", "left").select("id", F.md5("content").alias("digest"), F.coalesce("n_levels", F.lit(0)).alias("n_levels"))
 
 
 def attached_levels(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,7 +25,7 @@ def topic_shifts(spark: SparkSession, folder: str) -> DataFrame:
     vectors = inputs.embeddings(spark, folder).select(F.col("id").alias("_v"), "embedding")
     n = vectors.count()
     talk = stream_table(spark, folder, "conversations").filter("role = 'user'")
-    talk = talk.withColumn("_v", F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(n))).join(vectors, "_v")
+    talk = talk.withColumn("_v", F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(max(n, 1)))).join(vectors, "_v", "left")
     out = drain(stream_topic_shifts(talk, "conv_id", "turn", threshold=0.1), "topic-shifts")
     return out.select("conv_id", "turn", "is_shift", r6(F.col("similarity")).alias("similarity"))
 
@@ -44,7 +44,7 @@ def file_blocks(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
     talk = stream_table(spark, folder, "conversations")
     text = F.concat("text", F.lit("\n>>> FILE: "), "role", F.lit(".txt\nbody "), F.col("turn").cast("string"), F.lit("\n<<<"), F.lit("\nafter "), "text")
-    rows = token_rows(talk, F.col("conv_id") * 1000 + F.col("turn"), text)
+    rows = token_rows(talk, F.concat_ws(":", "conv_id", "turn"), text)
     out = drain(stream_file_blocks(rows, "key", "pos"), "file-blocks")
     shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "display"))), lambda x: x["display"]), "")
     # one turn's tokens per group, as in its own text
@@ -83,6 +83,6 @@ win AS (SELECT event_id, exp(avg(ln(greatest(prob, 0.01))) OVER (PARTITION BY us
   sum(prob * 0.1 * power(0.9, -i)) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) * power(0.9, i) + 0.5 * power(0.9, i) AS b FROM pos)""",
 ) + f"SELECT event_id, {r6s('g')} AS normalized_confidence, {r6s('b')} AS baseline FROM win"
 S["stream_file_blocks"] = (
-    "SELECT conv_id * 1000 + turn AS key, md5(text || chr(10) || '>>> ' || 'after ' || text) AS shown, role || '.txt' AS filename, 'body ' || turn AS content FROM conversations"
+    "SELECT conv_id || ':' || turn AS key, md5(text || chr(10) || '>>> ' || 'after ' || text) AS shown, role || '.txt' AS filename, 'body ' || turn AS content FROM conversations"
 )
 S["stream_prefix_checks"] = TP.S["text_stream_prefix_checks"]

@@ -62,11 +62,12 @@ def repetitive_patterns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def duplicate_lines(spark: SparkSession, folder: str) -> DataFrame:
-    docs = inputs.marked_documents(spark, folder).select(F.col("doc_id").alias("id"), F.lit("doc").alias("kind"), "text")
-    talk = inputs.turns(spark, folder).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("turn").alias("kind"), "text"
+    """Documents by id, conversation texts by conversation and turn."""
+    docs = inputs.marked_documents(spark, folder).select(
+        F.col("doc_id").alias("id"), F.lit(None).cast("bigint").alias("turn"), F.lit("doc").alias("kind"), "text"
     )
-    return docs.unionByName(talk).select("id", "kind", T.duplicate_lines(_text()).alias("duplicated"))
+    talk = inputs.turns(spark, folder).select(F.col("conv_id").alias("id"), "turn", F.lit("turn").alias("kind"), "text")
+    return docs.unionByName(talk).select("id", "turn", "kind", T.duplicate_lines(_text()).alias("duplicated"))
 
 
 def context_overflow(spark: SparkSession, folder: str) -> DataFrame:
@@ -322,11 +323,11 @@ S["text_content_entropy"] = with_(MARKED, FULL_CONTENT) + "SELECT id AS doc_id,
 S["text_repetitive_patterns"] = with_(MARKED, PHRASES, RUNS, LINES, PATTERN) + "SELECT id AS doc_id, pattern FROM pattern"
 S["text_duplicate_lines"] = (
     with_(
-        f"src AS (SELECT doc_id AS key, 'doc' AS kind, text || CASE {_tail} ELSE '' END AS text FROM documents UNION ALL SELECT conv_id * 1000 + turn, 'turn', text FROM conversations)",
-        "docs AS (SELECT kind || ':' || key AS id, key, kind, text FROM src)",
+        f"src AS (SELECT doc_id AS key, NULL::BIGINT AS turn, 'doc' AS kind, text || CASE {_tail} ELSE '' END AS text FROM documents UNION ALL SELECT conv_id, turn, 'turn', text FROM conversations)",
+        "docs AS (SELECT kind || ':' || key || ':' || coalesce(turn, 0) AS id, key, turn, kind, text FROM src)",
         LINES,
     )
-    + "SELECT d.key AS id, d.kind, u.duplicated FROM docs d JOIN dupl u ON u.id = d.id"
+    + "SELECT d.key AS id, d.turn, d.kind, u.duplicated FROM docs d JOIN dupl u ON u.id = d.id"
 )
 S["text_context_overflow"] = with_(MARKED, PHRASES, OVERFLOW) + "SELECT id AS doc_id, len(p) > 0 AS is_overflow, array_to_string(p, ',') AS patterns FROM over"
 S["text_repeated_phrases"] = with_(DOCS, PHRASES) + "SELECT id AS doc_id, rank, n, gram AS phrase FROM phrases"

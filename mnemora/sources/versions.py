@@ -27,7 +27,9 @@ class VersionedStore:
         try:
             log = self.spark.read.schema("seq bigint, name string").parquet(self._commits)
             row = log.orderBy(F.col("seq").desc(), F.col("name").desc()).first()
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
         return row["name"] if row else None
 
@@ -44,17 +46,20 @@ class VersionedStore:
         commit.coalesce(1).write.mode("append").parquet(self._commits)
         return name
 
-    def items(self) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self._data(), "items"))
+    def items(self, version: str | None = None) -> DataFrame:
+        """Items of a version, the newest by default; ask ``version()`` once to read items and levels that belong together."""
+        return self.spark.read.parquet(os.path.join(self._data(version), "items"))
 
-    def levels(self) -> DataFrame | None:
+    def levels(self, version: str | None = None) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(os.path.join(self._data(), "levels"))
-        except AnalysisException:
+            return self.spark.read.parquet(os.path.join(self._data(version), "levels"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
-    def _data(self) -> str:
-        name = self.version()
+    def _data(self, version: str | None) -> str:
+        name = version or self.version()
         if name is None:
             raise FileNotFoundError(f"no committed version under {self.folder}")
         return os.path.join(self.folder, "data", name)

@@ -150,3 +150,14 @@ def test_text_ids(store, queries):
     blocked = search.blocked_hits(items, asked, 16, 4, [0, 2], cell_rows=70)
     key = lambda df: {(r.query_id, r.level, r.item_id, r.raw_rank) for r in df.collect()}
     assert len(key(hits)) == 9 * (12 + 8) and key(hits) == key(blocked)
+
+
+def test_vectors_of_other_lengths_are_fitted():
+    import numpy as np
+    import pyarrow as pa
+
+    from mnemora.operators.levels import as_matrix
+
+    rows, mask = as_matrix(pa.array([[1.0], None, [1.0, 2.0, 3.0], [4.0, 5.0], []], pa.list_(pa.float32())), 2)
+    assert mask.tolist() == [True, False, True, True, False]
+    assert np.array_equal(rows, [[1, 0], [1, 2], [4, 5]])
