@@ -215,8 +215,9 @@ def _cell_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _shingles_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, shingles) of the given nodes, one row each."""
     texts = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(_sets, "node bigint, shingles array<bigint>")
-    return saved(sets.dropDuplicates(["node"]), "sets")
+    # Repeats go before the sets are made: the join has dealt the rows by doc_id already.
+    sets = texts.dropDuplicates(["doc_id"]).mapInArrow(_sets, "node bigint, shingles array<bigint>")
+    return saved(sets, "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
