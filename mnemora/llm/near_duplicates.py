@@ -31,6 +31,7 @@ COORDINATES = BANDS * ROWS
 LEAST_AGREEMENT = 0.57
 # Shingles of a bucket that one task compares with each other; larger buckets are cut into blocks.
 BLOCK_SHINGLES = 500_000
+PART_SHINGLES = 2_000_000  # shingles of a star's members that one task compares with their hub
 STARS = 2  # hubs tried per document before what is left is compared block by block
 
 _MUL = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -123,16 +124,6 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text")
-        for start in range(0, len(texts), 256):
-            sets = [shingle_set(t.as_py()).view(np.int64) for t in texts[start : start + 256]]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, 256), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"]
-            )
-
-
 @F.pandas_udf(DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal coordinates of two short sketches."""
@@ -188,7 +179,7 @@ def _promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _cell_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links between components within each cell, by full shingle sets; at most one less than its rows."""
     for rows in _groups(batches, CELL):
-        sets = rows["shingles"].to_numpy()
+        sets = [shingle_set(t) for t in rows["text"]]
         sizes = np.array([len(x) for x in sets])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -212,34 +203,59 @@ def _cell_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": u, "v": v}, dtype="int64")
 
 
-def _shingles_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles) of the given nodes, one row each."""
-    texts = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    # Repeats go before the sets are made: the join has dealt the rows by doc_id already.
-    sets = texts.dropDuplicates(["doc_id"]).mapInArrow(_sets, "node bigint, shingles array<bigint>")
-    return saved(sets, "sets")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are linked, by their full shingle sets; sets are made for their ends only."""
-    sets = _shingles_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), docs)
-    u = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    v = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    return (
-        pairs.join(u, "u")
-        .join(v, "v")
-        .select("u", "v", common.alias("both"), (F.size("a") + F.size("b") - common).alias("any"))
-        .where(100 * F.col("both") >= PERCENT * F.col("any"))
-        .select("u", "v")
-    )
+def _texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes, one row each."""
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
+    # The join has dealt the rows by node already.
+    return texts.dropDuplicates(["node"])
 
 
-def _open_links(buckets: DataFrame, joined: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _star_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The members linked with their hub. Rows come sorted by star, each part's hub first."""
+    hub, held = None, None
+    for rows in batches:
+        u, v = [], []
+        for node, star, is_hub, text in zip(rows["node"], rows["hub"], rows["is_hub"], rows["text"], strict=True):
+            own = shingle_set(text)
+            if is_hub:
+                hub, held = star, own
+                continue
+            if hub != star:
+                raise ValueError(f"star {star} came without its hub")
+            both = len(np.intersect1d(own, held, assume_unique=True))
+            if 100 * both >= PERCENT * (len(own) + len(held) - both):
+                u.append(node)
+                v.append(star)
+        yield pd.DataFrame({"u": u, "v": v}, dtype="int64")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v, n_shingles of u) that are linked, by their full shingle sets.
+
+    Texts go to the hubs v, not sets: a set takes two to three times the room. The members of a large
+    star are dealt over parts of bounded size, and the hub goes to each of them.
+    """
+    size = F.sum("n_shingles")
+    parts = F.least(F.count("*"), F.ceil(size / PART_SHINGLES)).cast("int")
+    stars = pairs.groupBy("v").agg(F.greatest(parts, F.lit(1)).alias("parts"))
+    members = pairs.join(stars, "v").select(
+        F.col("u").alias("node"), F.col("v").alias("hub"),
+        F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_hub"),
+    )
+    hubs = stars.select(
+        F.col("v").alias("node"), F.col("v").alias("hub"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"),
+    )
+    meeting = members.union(hubs).join(texts, "node").repartition("hub", "part")
+    meeting = meeting.sortWithinPartitions("hub", "part", F.desc("is_hub"))
+    return meeting.select("node", "hub", "is_hub", "text").mapInPandas(_star_links, "u bigint, v bigint")
+
+
+def _open_links(buckets: DataFrame, joined: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between members of one bucket that are still in different components.
 
     Buckets are cut into blocks of bounded size and every two blocks meet in a cell. A first pass over
-    sketches leaves the rows that have a promising partner; only for those the full sets are sent to
+    sketches leaves the rows that have a promising partner; only for those the full texts are sent to
     the cells. Both passes return no more rows than they read.
     """
     member = buckets.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -262,8 +278,7 @@ def _open_links(buckets: DataFrame, joined: DataFrame, nodes: DataFrame, docs: D
     promising = saved(
         cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(_promising, CELL_ROW), "promising"
     )
-    sets = _shingles_of(promising.select("node").distinct(), docs)
-    meeting = promising.join(sets, "node").repartition(*CELL).sortWithinPartitions(*CELL)
+    meeting = promising.join(texts, "node").repartition(*CELL).sortWithinPartitions(*CELL)
     return saved(meeting.mapInPandas(_cell_links, "u bigint, v bigint").distinct(), "open-links")
 
 
@@ -293,20 +308,31 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     spread = nodes.select(F.posexplode("bands").alias("band_no", "band"), "node", "n_shingles")
     hubs = spread.groupBy("band_no", "band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     buckets = saved(spread.join(hubs.drop("n"), ["band_no", "band"]), "buckets")
+    # All that is verified later shares a bucket: one pass over the documents finds their texts.
+    texts = saved(_texts_of(buckets.select("node").distinct(), docs), "texts")
 
     sketch = nodes.groupBy("node").agg(F.min("sketch").alias("sketch"))
-    stars = buckets.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
+    stars = (
+        buckets.where("node <> hub")
+        .groupBy("node", "hub")
+        .agg(F.count("*").alias("shared"), F.max("n_shingles").alias("n_shingles"))
+    )
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "hub"))
-    first = stars.withColumn("rank", best).where(F.col("rank") <= STARS).select("node", "hub")
+    first = stars.withColumn("rank", best).where(F.col("rank") <= STARS).select("node", "hub", "n_shingles", "rank")
     near = (
         first.join(sketch, "node")
         .join(sketch.select(F.col("node").alias("hub"), F.col("sketch").alias("other")), "hub")
         .where(agreement("sketch", "other") >= LEAST_AGREEMENT)
-        .select(F.col("node").alias("u"), F.col("hub").alias("v"))
+        .select(F.col("node").alias("u"), F.col("hub").alias("v"), "n_shingles", "rank")
     )
-    links = saved(_verified(saved(near, "stars"), docs), "links")
+    near = saved(near, "stars")
+    links = near.select("u", "v").where("false")
+    for rank in range(1, STARS + 1):
+        # A further hub is tried only for members that no hub before it has taken in.
+        untaken = near.where(F.col("rank") == rank).drop("rank").join(links.select("u"), "u", "left_anti")
+        links = links.union(saved(_verified(untaken, texts), "links"))
     joined = components(links)
-    more = _open_links(buckets, joined, nodes, docs)
+    more = _open_links(buckets, joined, nodes, texts)
     if not more.isEmpty():
         joined = components(links.union(more))
 

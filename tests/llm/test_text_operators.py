@@ -94,6 +94,8 @@ def test_one_of_each_group_stays(docs):
 def test_leftovers_are_linked_in_cells(docs, monkeypatch):
     """Without stars, and with blocks of a few shingles, the cells alone find the same classes."""
     whole = sorted(near_duplicates.linked_classes(docs).collect(), key=repr)
+    monkeypatch.setattr(near_duplicates, "PART_SHINGLES", 1)  # every member meets its hub in a part of its own
+    assert sorted(near_duplicates.linked_classes(docs).collect(), key=repr) == whole
     monkeypatch.setattr(near_duplicates, "STARS", 0)
     monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 200)
     assert sorted(near_duplicates.linked_classes(docs).collect(), key=repr) == whole
