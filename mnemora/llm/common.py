@@ -11,6 +11,8 @@ from mnemora.session import configure, scratch_dir
 
 # Bounds on one Arrow batch, so that a batch of long texts fits a Python worker.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 * 1024 * 1024
+# Ids that one side of a join may have to be broadcast; more are shuffled, with the same rows as the result.
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -32,6 +34,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(ids: DataFrame) -> DataFrame:
+    """A saved table of ids, broadcast in joins if its rows, counted here, are few enough."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character kept."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from mnemora.llm.common import saved
+from mnemora.llm.common import saved, sized
 from mnemora.llm.graph import components
 
 SHINGLE = 5
@@ -205,8 +205,7 @@ def _cell_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text) of the given nodes, one row each."""
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
-    # The join has dealt the rows by node already.
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(sized(nodes), "node", "left_semi")
     return texts.dropDuplicates(["node"])
 
 
@@ -309,7 +308,8 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     hubs = spread.groupBy("band_no", "band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     buckets = saved(spread.join(hubs.drop("n"), ["band_no", "band"]), "buckets")
     # All that is verified later shares a bucket: one pass over the documents finds their texts.
-    texts = saved(_texts_of(buckets.select("node").distinct(), docs), "texts")
+    wanted = saved(buckets.select("node").distinct(), "wanted")
+    texts = saved(_texts_of(wanted, docs), "texts")
 
     sketch = nodes.groupBy("node").agg(F.min("sketch").alias("sketch"))
     stars = (
@@ -359,10 +359,11 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     null doc_id stay.
     """
     classes = saved(linked_classes(docs), "classes")
-    drop = classes.where("not kept").select(F.col("doc_id").alias("_drop")).distinct()
-    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    row = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    left = row.join(drop, row["doc_id"] == drop["_drop"], "left_anti")
-    again = left.join(repeated, "doc_id", "left_semi")
-    first = again.groupBy("doc_id").agg(F.min_by("row", F.struct("text")).alias("row")).select("row.*")
-    return left.join(repeated, "doc_id", "left_anti").select("row.*").unionByName(first)
+    drop = sized(saved(classes.where("not kept").select(F.col("doc_id").alias("_drop")).distinct(), "drop"))
+    counts = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count()
+    repeated = sized(saved(counts.where("count > 1").select("_again"), "repeated"))
+    left = docs.select(F.struct("*").alias("row")).join(drop, F.col("row.doc_id") == F.col("_drop"), "left_anti")
+    once = F.col("row.doc_id") == F.col("_again")
+    again = left.join(repeated, once, "left_semi")
+    first = again.groupBy("row.doc_id").agg(F.min_by("row", F.struct("row.text")).alias("row"))
+    return left.join(repeated, once, "left_anti").select("row.*").union(first.select("row.*"))

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from mnemora.llm import best_fit, byte_bpe, cutting_stock, identifiers, licenses, near_duplicates, quality
+from mnemora.llm import best_fit, byte_bpe, common, cutting_stock, identifiers, licenses, near_duplicates, quality
 from mnemora.llm.common import prepared
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -91,6 +91,12 @@ def test_one_of_each_group_stays(docs):
     assert ids == sorted(r["doc_id"] for r in classes.collect())
 
 
+def test_many_ids_are_shuffled(docs, monkeypatch):
+    whole = sorted(near_duplicates.keep_one_of_each(docs).collect(), key=repr)
+    monkeypatch.setattr(common, "MAX_BROADCAST_IDS", -1)
+    assert sorted(near_duplicates.keep_one_of_each(docs).collect(), key=repr) == whole
+
+
 def test_leftovers_are_linked_in_cells(docs, monkeypatch):
     """Without stars, and with blocks of a few shingles, the cells alone find the same classes."""
     whole = sorted(near_duplicates.linked_classes(docs).collect(), key=repr)
