@@ -144,31 +144,60 @@ def declining(df: DataFrame, keys: list[str], order: list[str], block: Column |
     )
 
 
-def running_baseline(
-    df: DataFrame, keys: list[str], order: list[str], block: Column | None, value: str, start: float, keep: float = 0.9
+def _folded(
+    df: DataFrame, keys: list[str], order: list[str], block: Column | None, folds: dict[str, tuple[str, float]], keep: float
 ) -> DataFrame:
-    """Exponential running mean per series after its last row.
+    """``n_values`` per series and, for each name of ``folds``, ``b = keep*b + (1-keep)*x`` over (value, start).
 
-    The recurrence ``b = keep*b + (1-keep)*x`` unrolls to a weighted sum whose weight
-    depends only on the distance to the end, so it needs no ordered fold.
+    The recurrence unrolls to a weighted sum whose weight depends only on the distance to the
+    end, so it needs no ordered fold.
     """
     placed = with_running_total(df, keys, order, block, F.lit(1), "_n")
     lengths = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    weight = (1 - keep) * F.pow(F.lit(keep), F.col("_rows") - F.col("_n"))
     return (
         with_key_values(placed, lengths, keys, order)
         .groupBy(*keys)
         .agg(
-            F.sum(F.col(value) * (1 - keep) * F.pow(F.lit(keep), F.col("_rows") - F.col("_n"))).alias("_weighted"),
             F.max("_rows").alias("n_values"),
+            *[F.sum(F.col(value) * weight).alias(f"_{name}") for name, (value, _) in folds.items()],
         )
         .select(
             *keys,
             "n_values",
-            (F.col("_weighted") + F.lit(start) * F.pow(F.lit(keep), F.col("n_values"))).alias("baseline"),
+            *[
+                (F.col(f"_{name}") + F.lit(start) * F.pow(F.lit(keep), F.col("n_values"))).alias(name)
+                for name, (_, start) in folds.items()
+            ],
         )
     )
 
 
+def running_baseline(
+    df: DataFrame, keys: list[str], order: list[str], block: Column | None, value: str, start: float, keep: float = 0.9
+) -> DataFrame:
+    """Exponential running mean of single values per series after its last row."""
+    return _folded(df, keys, order, block, {"baseline": (value, start)}, keep)
+
+
+def answer_confidence(df: DataFrame, keys: list[str], answer: list[str], value: str) -> DataFrame:
+    """Mean and population variance of the confidences of each answer of a series."""
+    return df.groupBy(*keys, *answer).agg(F.avg(value).alias("mean_confidence"), F.var_pop(value).alias("variance"))
+
+
+def answer_baseline(
+    answers: DataFrame,
+    keys: list[str],
+    order: list[str],
+    block: Column | None,
+    starts: tuple[float, float] = (0.5, 0.1),
+    keep: float = 0.9,
+) -> DataFrame:
+    """Baseline confidence and variance per series, folded over the answers of ``answer_confidence``."""
+    folds = {"baseline": ("mean_confidence", starts[0]), "baseline_variance": ("variance", starts[1])}
+    return _folded(answers, keys, order, block, folds, keep)
+
+
 def confidence_patterns(
     df: DataFrame, keys: list[str], order: list[str], block: Column | None, value: str, floor_third: bool = True
 ) -> DataFrame:

@@ -84,6 +84,14 @@ def baseline(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("user_id", "n_values", r6(F.col("baseline")).alias("baseline"))
 
 
+def answer_baseline(spark: SparkSession, folder: str) -> DataFrame:
+    """Baseline and variance folded over a user's days; the values of a day are one answer."""
+    values = inputs.confidences(spark, folder).withColumn("day", F.date_trunc("day", "ts"))
+    answers, block = series.time_blocks(series.answer_confidence(values, KEY, ["day"], "prob"), KEY, "day")
+    out = series.answer_baseline(answers, KEY, ["day"], block)
+    return out.select("user_id", F.col("n_values").alias("n_answers"), *[r6(F.col(n)).alias(n) for n in ("baseline", "baseline_variance")])
+
+
 def colours(spark: SparkSession, folder: str) -> DataFrame:
     rows = inputs.confidences(spark, folder)
     return (
@@ -135,6 +143,7 @@ Q.update(
     confidence_patterns=patterns,
     confidence_patterns_parity=patterns_parity,
     confidence_baseline=baseline,
+    confidence_answer_baseline=answer_baseline,
     confidence_colours=colours,
     confidence_coloured_tokens=coloured_tokens,
     confidence_indicator=indicator,
@@ -199,6 +208,12 @@ S["confidence_baseline"] = with_(
     CONF,
     "base AS (SELECT user_id, prob, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS back, count(*) OVER (PARTITION BY user_id) AS n FROM conf)",
 ) + f"SELECT user_id, max(n) AS n_values, {r6s('sum(prob * 0.1 * power(0.9, back)) + 0.5 * power(0.9, max(n))')} AS baseline FROM base GROUP BY user_id"
+S["confidence_answer_baseline"] = with_(
+    CONF,
+    "per AS (SELECT user_id, date_trunc('day', ts) AS day, avg(prob) AS m, var_pop(prob) AS v FROM conf GROUP BY ALL)",
+    "base AS (SELECT user_id, m, v, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) - 1 AS back, count(*) OVER (PARTITION BY user_id) AS n FROM per)",
+) + f"""SELECT user_id, max(n) AS n_answers, {r6s('sum(m * 0.1 * power(0.9, back)) + 0.5 * power(0.9, max(n))')} AS baseline,
+{r6s('sum(v * 0.1 * power(0.9, back)) + 0.1 * power(0.9, max(n))')} AS baseline_variance FROM base GROUP BY user_id"""
 _step = "CASE WHEN {p} >= 0.8 THEN 0 WHEN {p} >= 0.7 THEN 1 WHEN {p} >= 0.6 THEN 2 WHEN {p} >= 0.5 THEN 3 WHEN {p} >= 0.4 THEN 4 WHEN {p} >= 0 THEN 5 END"
 _even = "CASE " + " ".join(f"WHEN prob >= {10 - i} / 10.0 THEN {i}" for i in range(10)) + " ELSE 9 END"
 S["confidence_colours"] = with_(CONF) + f"SELECT {_step.format(p='prob')} AS step, {_even} AS even_step, count(*) AS n FROM conf GROUP BY ALL"
