@@ -157,19 +157,19 @@ def _sides(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of each cell that have a partner in another component with an agreeing sketch.
 
-    A pair counts in the first band that it shares only, so most rows stay in few cells.
+    A pair counts in the first band that it shares only, so most rows stay in few cells. Which band that
+    is follows from the full keys that made the buckets: bytes of the short sketch agree by chance too.
     """
     for rows in _groups(batches, CELL):
         sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), COORDINATES)
-        component, band = rows["component"].to_numpy(), int(rows["band_no"].iloc[0])
+        bands = np.stack(rows["bands"].to_list())[:, : int(rows["band_no"].iloc[0])]
+        component = rows["component"].to_numpy()
         left, right = _sides(rows)
         wanted = np.zeros(len(rows), dtype=bool)
         for i in left:
             others = right[component[right] != component[i]]
-            equal = sketch[others] == sketch[i]
-            near = equal.mean(axis=1) >= LEAST_AGREEMENT
-            earlier = equal[near].reshape(-1, BANDS, ROWS).all(axis=2)[:, :band].any(axis=1)
-            found = others[near][~earlier]
+            near = others[(sketch[others] == sketch[i]).mean(axis=1) >= LEAST_AGREEMENT]
+            found = near[~(bands[near] == bands[i]).any(axis=1)]
             wanted[found] = True
             wanted[i] |= len(found) > 0
         if wanted.any():
@@ -264,7 +264,7 @@ def _open_links(buckets: DataFrame, joined: DataFrame, nodes: DataFrame, texts:
         .where("a <> z")
         .select("band_no", "band", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("parts"))
     )
-    sketch = nodes.groupBy("node").agg(F.min("sketch").alias("sketch"))
+    sketch = nodes.groupBy("node").agg(F.min("sketch").alias("sketch"), F.min_by("bands", "sketch").alias("bands"))
     side = F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2)
     cells = (
         member.join(mixed, ["band_no", "band"])

@@ -107,6 +107,20 @@ def test_leftovers_are_linked_in_cells(docs, monkeypatch):
     assert sorted(near_duplicates.linked_classes(docs).collect(), key=repr) == whole
 
 
+def test_cells_link_every_pair_near_the_threshold(spark, monkeypatch):
+    """Pairs of similarity 0.757 to 0.807 that only the cells can link."""
+    rng = random.Random(11)
+    rows = []
+    for pair in range(3000):
+        base, tail = [[f"{pair}x{rng.random()}" for _ in range(104)] for _ in range(2)]
+        n = 12 + pair % 5
+        rows += [(2 * pair, " ".join(base + tail[:n])), (2 * pair + 1, " ".join(base + tail[n : 2 * n]))]
+    table = prepared(spark).createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    monkeypatch.setattr(near_duplicates, "STARS", 0)
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates.linked_classes(table).collect()}
+    assert [i for i, c in found.items() if c != i - i % 2] == [] and len(found) == 6000
+
+
 def test_sketch_agreement_estimates_similarity():
     a, b = np.arange(1, 2001, dtype=np.uint64), np.arange(401, 2401, dtype=np.uint64)
     sketch = near_duplicates.sketches([a, b, np.array([7], dtype=np.uint64)])
