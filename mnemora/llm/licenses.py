@@ -1,11 +1,14 @@
 """License scans: exact set-similarity join of text blocks with license templates, and fixed phrases.
 
-A block is a line. A template is found in a block that contains at least ``CONTAINMENT`` of its
-distinct words. Only template words can be shared, so a block is reduced to those; the words are
-ordered by their frequency over all blocks of the corpus. For a needed overlap of a words, a block
-can only match if one of its first |B| - a + 1 words is among the template's first |T| - a + 1
-(prefix filter), if it has a words at all (length filter), and if enough words are left behind the
-first shared one (positional filter). What passes is counted exactly.
+A block is a line of at most ``LINE_WORDS`` words, or any run of ``WINDOW`` times as many words as a
+template has distinct ones, at every place of the text and across line breaks. A template is found in
+a block that contains at least ``CONTAINMENT`` of its distinct words. Only template words can be
+shared, so a block is reduced to those; the words are ordered by their frequency over all lines of
+the corpus. For a needed overlap of a words, a block can only match if one of its first |B| - a + 1
+words is among the template's first |T| - a + 1 (prefix filter), if it has a words at all (length
+filter), and if enough words are left behind the first shared one (positional filter). The filters
+hold for the whole text as for each of its blocks, so the blocks of a text are looked at only for the
+templates that pass them on the text. What passes is counted exactly.
 """
 
 from __future__ import annotations
@@ -19,6 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CONTAINMENT = 0.9
+# Words of a window for each distinct word of its template: room for repeated words and comment marks.
+WINDOW = 2
+# A longer line is no block: words scattered over it are no license. Its windows are blocks.
+LINE_WORDS = 256
 # Phrases and their labels.
 PHRASES = (
     (b"cc by", "cc-by"),
@@ -68,26 +75,56 @@ class Index:
             for at, w in enumerate(ordered[: len(t) - needed(t) + 1]):
                 self.posts[w].append((label, t, needed(t), at))
 
-    def found(self, line: list[bytes]) -> dict[str, float]:
-        """Labels with their containment for the words of one block."""
-        if len(line) < self.least:
-            return {}
-        block = self.words.intersection(line)
+    def passing(self, block_words: list[bytes]) -> list[tuple[str, frozenset[bytes], int]]:
+        """(label, template, shared words) of the templates found in one block."""
+        if len(block_words) < self.least:
+            return []
+        block = self.words.intersection(block_words)
         if len(block) < self.least:
-            return {}
+            return []
         ordered = sorted(block, key=self.order.__getitem__)
-        out: dict[str, float] = {}
+        out = []
         seen = set()
         for at, w in enumerate(ordered[: len(ordered) - self.least + 1]):
             for label, t, need, post in self.posts.get(w, ()):
-                if t in seen or len(block) < need or min(len(t) - post, len(block) - at) < need:
+                if (label, t) in seen or len(block) < need or min(len(t) - post, len(block) - at) < need:
                     continue
-                seen.add(t)
-                share = len(block & t) / len(t)
+                seen.add((label, t))
                 if len(block & t) >= need:
-                    out[label] = max(out.get(label, 0.0), share)
+                    out.append((label, t, len(block & t)))
         return out
 
+    def found(self, line: list[bytes]) -> dict[str, float]:
+        """Labels with their containment for the words of one block."""
+        out: dict[str, float] = {}
+        for label, t, shared in self.passing(line):
+            out[label] = max(out.get(label, 0.0), shared / len(t))
+        return out
+
+    def found_in_text(self, lines: list[list[bytes]], words: list[bytes]) -> dict[str, float]:
+        """Labels with their best containment over all blocks of a text; ``words`` are those of its lines."""
+        out: dict[str, float] = {}
+        for label, t, _ in self.passing(words):
+            short = (len(t.intersection(line)) for line in lines if needed(t) <= len(line) <= LINE_WORDS)
+            shared = max(most_in_window(words, t, WINDOW * len(t)), max(short, default=0))
+            if shared >= needed(t):
+                out[label] = max(out.get(label, 0.0), shared / len(t))
+        return out
+
+
+def most_in_window(words: list[bytes], template: frozenset[bytes], width: int) -> int:
+    """Most distinct template words in any ``width`` neighbouring words, in one pass."""
+    last: dict[bytes, int] = {}  # latest place of each template word, oldest first
+    most = 0
+    for at, word in enumerate(words):
+        if word in template:
+            last.pop(word, None)
+            last[word] = at
+            while last[oldest := next(iter(last))] <= at - width:
+                del last[oldest]
+            most = max(most, len(last))
+    return most
+
 
 def needed(template: frozenset[bytes]) -> int:
     """Words that must be shared."""
@@ -140,7 +177,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     ``score`` is 1 where a fixed phrase stands, else the best containment of a template found, else 0.
     Null and empty texts have no words and no labels (empty strings, null places). Repeated rows are
     scanned each, words of equal frequency are ordered by themselves, other columns are ignored, an
-    empty table gives an empty result. Blocks are whole lines of whole texts, however long.
+    empty table gives an empty result. Whole texts are scanned, however long.
     """
     sets = template_sets(templates)
     frequency = word_frequency(docs, sets)
@@ -150,10 +187,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         raw = (text or "").encode("utf-8", "surrogatepass")
         lines = [words_of(line) for line in raw.split(b"\n")]
         words = [w for line in lines for w in line]
-        found: dict[str, float] = {}
-        for line in lines:
-            for label, share in index.found(line).items():
-                found[label] = max(found.get(label, 0.0), share)
+        found = index.found_in_text(lines, words)
         places, base = [], set()
         lower = raw.lower()
         for phrase, label in phrases:

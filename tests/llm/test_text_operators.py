@@ -288,6 +288,44 @@ def test_license_index_finds_every_block_over_the_threshold():
         assert set(index.found(block)) == want
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided",
+    "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General\n"
+    "# Public License as published by",
+}
+
+
+def test_licenses_are_found_across_lines(spark):
+    scattered = " ".join(w + " filler" * 40 for w in WRAPPED["bsd"].replace("*", "").split())
+    rows = [(label, f"{label} code\n{t}\nmore") for label, t in WRAPPED.items()] + [("", scattered)]
+    rows += [("mit", f"{'filler ' * 5000}{WRAPPED['mit']} {'filler ' * 5000}".replace("\n", " "))]  # one long line
+    table = prepared(spark).createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(table).collect()}
+    assert [found[i] for i in range(len(rows))] == [label for label, _ in rows]
+
+
+def test_license_windows_match_brute_force():
+    rng = random.Random(12)
+    sets = licenses.template_sets()
+    index = licenses.Index(sets, {})
+    for _ in range(400):
+        _, base = rng.choice(sets)
+        words = rng.sample(sorted(base), len(base)) + [b"filler"] * rng.randrange(2 * len(base))
+        rng.shuffle(words)
+        words = [b"filler"] * rng.randrange(30) + words + rng.choices(sorted(base), k=rng.randrange(9))
+        cut = rng.randrange(len(words))
+        lines = [words[:cut], words[cut:]]
+        want = {}
+        for label, t in sets:
+            width = licenses.WINDOW * len(t)
+            blocks = [*lines, *(words[i : i + width] for i in range(len(words)))]
+            most = max(len(t.intersection(b)) for b in blocks)
+            if most >= licenses.needed(t):
+                want[label] = max(want.get(label, 0), most / len(t))
+        assert index.found_in_text(lines, words) == want
+
+
 @pytest.mark.parametrize("limit", [0, 50, 400_000])
 def test_byte_bpe_matches_the_library(docs, limit):
     import public_tokenizers
