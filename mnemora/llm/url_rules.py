@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +19,12 @@ RULES = (
 )
 BLOCK, ALLOW = "block", "allow"
 CLASS = "class:block"
-# A rule needs this share of the labelled pages behind it and this share of blocked ones among them.
+# A combination needs this share of the labelled pages behind it; every rule this share of blocked ones among its pages.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.8
 # Blocked pages that a rule needs at least, so that small tables give no rules by chance.
 MIN_ROWS = 10
+# All ASCII but letters and digits.
+WORD_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -43,73 +47,131 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """The tokens of a url: one for each place, so a url has a fixed number at most.
+    """The distinct tokens of a url: all its parts and the words inside them.
 
-    Scheme, host, last one and two labels, first label, first path segment, shape of the last segment
-    (digits as 0), names of the query's fields, whether there is a fragment.
+    Scheme, host, last one and two labels, every label, every path segment and the first one as such, shape
+    of the last segment (digits as 0), every field of the query with and without its value, the names of
+    all fields, the fragment and whether there is one; the words of labels, segments, values and fragment.
     """
-    labels = F.split(host, r"\.")
-    last = F.element_at(F.split(path, "/"), -1)
+    segments = F.split(path, "/")
     query = F.regexp_extract(url, r"^[^?#]*+\?([^#]*+)", 1)
-    fields = F.array_join(F.array_sort(F.array_distinct(F.transform(F.split(query, "&"), lambda f: F.substring_index(f, "=", 1)))), "&")
+    given = F.split(query, "&")
+    names = F.transform(given, lambda f: F.substring_index(f, "=", 1))
+    anchor = F.regexp_extract(url, "#(.*)$", 1)
+    words = lambda parts: F.flatten(F.transform(parts, lambda p: F.split(lower_ascii(p), WORD_BREAK)))
     places = {
         "scheme": F.lower(F.substring_index(url, "://", 1)),
         "host": host,
-        "top": F.element_at(labels, -1),
+        "top": F.element_at(F.split(host, r"\."), -1),
         "domain": F.substring_index(host, ".", -2),
-        "label": F.element_at(labels, 1),
-        "folder": F.get(F.split(path, "/"), 1),
-        "leaf": F.regexp_replace(last, "[0-9]+", "0"),
-        "fields": fields,
+        "folder": F.get(segments, 1),
+        "leaf": F.regexp_replace(F.element_at(segments, -1), "[0-9]+", "0"),
+        "fields": F.array_join(F.array_sort(F.array_distinct(names)), "&"),
         "fragment": F.when(F.instr(url, "#") > 0, F.lit("yes")),
+        "anchor": anchor,
+    }
+    lists = {
+        "label": F.split(host, r"\."),
+        "name": words(F.split(host, r"\.")),
+        "segment": segments,
+        "slug": words(segments),
+        "field": given,
+        "parameter": names,
+        "value": words(F.transform(F.filter(given, lambda f: F.instr(f, "=") > 0), lambda f: F.regexp_extract(f, "=(.*)$", 1))),
+        "mark": words(F.array(anchor)),
     }
-    each = F.array(*[F.when(v != "", F.concat(F.lit(k + ":"), v)) for k, v in places.items()])
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_compact(each))
+    named = lambda k: lambda v: F.when(v != "", F.concat(F.lit(k + ":"), v))
+    each = [F.array(named(k)(v)) for k, v in places.items()] + [F.transform(v, named(k)) for k, v in lists.items()]
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.concat(*each))))
 
 
-def mined_rules(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
-) -> DataFrame:
-    """Rules (items, confidence, support, post) from rows with ``tokens`` and ``blocked``.
+def token_groups(urls: DataFrame) -> DataFrame:
+    """(name, members, n, bad): tokens with at least MIN_ROWS blocked pages; those of the same urls are one group.
+
+    Sets of urls are compared by their counts and two 64-bit sums of hashes. ``name`` is the least member.
+    """
+    tokens = (
+        urls.select("url", "n", "bad", F.explode("tokens").alias("item"))
+        .groupBy("item")
+        .agg(
+            F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("urls"),
+            F.bit_xor(F.xxhash64("url")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "url")).alias("b"),
+        )
+        .where(F.col("bad") >= MIN_ROWS)
+    )
+    groups = tokens.groupBy("n", "bad", "urls", "a", "b").agg(F.min("item").alias("name"), F.collect_list("item").alias("members"))
+    return groups.select("name", "members", "n", "bad")
+
 
-    FP-growth runs over all labelled rows. A rule is dropped when a rule on a part of its items is at
-    least as sure. ``post`` is its item of least support, under which the inverted index files it.
-    Each row holds a bounded number of tokens, so the number of itemsets is bounded by the support.
+def combinations(labelled: DataFrame, urls: DataFrame, groups: DataFrame, pages: int, least: int) -> DataFrame:
+    """(items, support, n) of the token groups that FP-growth finds together on ``least`` blocked pages.
+
+    Left out beforehand are groups that cannot be part of a rule that stays: those on fewer blocked pages,
+    those that are always blocked, and those on all pages, whose combinations are no surer than their parts.
     """
-    baskets = labelled.where(F.size("tokens") > 0).select(
-        F.when(F.col("blocked"), F.array_append("tokens", CLASS)).otherwise(F.col("tokens")).alias("items")
+    mixed = groups.where((F.col("bad") >= least) & (F.col("bad") < F.col("n")) & (F.col("n") < pages))
+    kept = urls.select("url", F.explode("tokens").alias("name")).join(F.broadcast(mixed.select("name")), "name")
+    kept = kept.groupBy("url").agg(F.collect_list("name").alias("kept"))
+    baskets = saved(
+        labelled.select("url", "blocked").join(kept, "url").select(
+            F.when(F.col("blocked"), F.array_append("kept", CLASS)).otherwise(F.col("kept")).alias("items")
+        ),
+        "baskets",
     )
-    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets)
+    # Half a page less, so that rounding up gives the same number of pages.
+    share = min(1.0, (least - 0.5) / max(baskets.count(), 1))
+    model = FPGrowth(itemsCol="items", minSupport=share).fit(baskets)
     sets = saved(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
-    sure = sets.where(F.array_contains("items", CLASS) & (F.size("items") > 1)).select(
+    sure = sets.where(F.array_contains("items", CLASS) & (F.size("items") > 2)).select(
         F.array_remove("items", CLASS).alias("items"), F.col("freq").alias("support")
     )
-    rules = sure.join(sets, "items").withColumn("confidence", F.col("support") / F.col("freq"))
-    rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("support") >= MIN_ROWS)).select("items", "support", "confidence")
-    rarity = sets.where(F.size("items") == 1).select(F.get("items", 0).alias("item"), "freq")
-    post = (
-        rules.select("items", F.explode("items").alias("item"))
-        .join(rarity, "item")
-        .groupBy("items")
-        .agg(F.min_by("item", F.struct("freq", "item")).alias("post"))
+    return sure.join(sets.withColumnRenamed("freq", "n"), "items")
+
+
+def mined_rules(
+    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
+) -> DataFrame:
+    """Rules (items, parts, confidence, support, post) from rows with ``url``, ``tokens`` and ``blocked``.
+
+    Single tokens are counted over all labelled rows and need MIN_ROWS blocked pages however many rows
+    there are, so that rare hosts can have rules; combinations come from FP-growth and need ``min_support``
+    of the rows too. Tokens that always stand together are mined as one, named in ``items``; any of its
+    members in ``parts`` fulfils it. A rule is dropped when a rule on a part of its items is at least as
+    sure. The inverted index files a rule under each member ``post`` of its rarest group.
+    """
+    labelled = labelled.where(F.size("tokens") > 0)
+    counted = labelled.groupBy("url").agg(
+        F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.count_if("blocked").alias("bad")
+    )
+    urls = saved(counted, "labelled-urls")
+    pages = urls.agg(F.sum("n")).first()[0] or 0
+    groups = saved(token_groups(urls), "token-groups")
+    least = max(MIN_ROWS, math.ceil(min_support * pages))
+    single = groups.select(F.array("name").alias("items"), F.col("bad").alias("support"), "n")
+    rules = single.unionByName(combinations(labelled, urls, groups, pages, least))
+    rules = rules.withColumn("confidence", F.col("support") / F.col("n")).drop("n").where(F.col("confidence") >= min_confidence)
+    named = rules.select("*", F.explode("items").alias("name")).join(groups.select("name", "members", "n"), "name")
+    rules = named.groupBy("items", "support", "confidence").agg(
+        F.collect_list("members").alias("parts"), F.min_by(F.struct("name", "members"), F.struct("n", "name")).alias("rarest")
     )
-    rules = saved(rules.join(post, "items"), "rules")
-    parts = rules.select(F.col("items").alias("part"), F.col("confidence").alias("sure"), "post")
+    rules = saved(rules, "rules")
+    parts = rules.select(F.col("items").alias("part"), F.col("confidence").alias("sure"), F.col("rarest.name").alias("name"))
     worse = (
-        rules.select("items", "confidence", F.explode("items").alias("post"))
-        .join(parts, "post")
+        rules.select("items", "confidence", F.explode("items").alias("name"))
+        .join(parts, "name")
         .where((F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0))
         .where(F.col("sure") >= F.col("confidence"))
         .select("items")
         .distinct()
     )
-    return rules.join(worse, "items", "left_anti")
+    left = rules.join(worse, "items", "left_anti")
+    return left.select("items", "parts", "confidence", "support", F.explode("rarest.members").alias("post"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, confidence) of the surest rule for each distinct url, looked up in the inverted index."""
     found = urls.select("url", "tokens", F.explode("tokens").alias("post")).join(rules, "post")
-    fits = F.size(F.array_except("items", "tokens")) == 0
+    fits = F.forall("parts", lambda members: F.arrays_overlap(members, "tokens"))
     return found.where(fits).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 

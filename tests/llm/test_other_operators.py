@@ -54,6 +54,26 @@ def test_urls_follow_rules_and_mined_combinations(spark):
     assert url_rules.judge_urls(table.where("false"), labels).count() == 0
 
 
+def test_every_part_of_a_url_can_become_a_rule(spark):
+    """Blocked names in places that vary: inner label, deep folder, slug word, query value; and a rare host."""
+    bad = {
+        "label": lambda i: f"https://s{i}.casino-win.site{i}.com/en/{i}",
+        "folder": lambda i: f"https://a{i}.org/x{i}/bonus/{i}/z",
+        "slug": lambda i: f"https://b{i}.org/y/{i}-jackpot-{i}a",
+        "value": lambda i: f"https://c{i}.org/y/p?id={i}&q=pills",
+    }
+    urls = [(f(i), 0) for f in bad.values() for i in range(12)]
+    urls += [(f"http://rare.example.net/{'abcdef'[i % 6]}{i}", 0) for i in range(12)]
+    urls += [(f"https://d{i}.org/{'xy'[i % 2]}/fine-{i}?id={i}&q=ok", 1) for i in range(12_000)]
+    asked = [f(77_777) for f in bad.values()] + ["http://rare.example.net/new", "https://d7.org/y/fine-3?id=9&q=ok"]
+    table = prepared(spark).createDataFrame(
+        [(i, u) for i, (u, _) in enumerate(urls)] + [(10**6 + i, u) for i, u in enumerate(asked)], "page_id bigint, url string"
+    )
+    labels = spark.createDataFrame([(i, q, 0) for i, (_, q) in enumerate(urls)], "doc_id bigint, quality int, toxic int")
+    found = url_rules.judge_urls(table, labels).where("page_id >= 1000000").orderBy("page_id").collect()
+    assert [r["verdict"] for r in found] == ["block"] * 5 + ["allow"]
+
+
 def test_chat_reads_back(spark):
     rng = random.Random(6)
     pieces = [*chat.CONTROL, *map(chat.broken, chat.CONTROL), "\\", "\\\\", "<", "|", "[", "a\n", "é", " "]
