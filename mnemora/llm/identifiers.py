@@ -1,9 +1,9 @@
 """Personal data: fixed patterns seed a bootstrapped contextual extraction, in DataFrame expressions only.
 
 The fixed patterns give the base spans. Their texts are the seed instances; the two words before
-a span are its pattern. Patterns and instances form a graph over the whole corpus, which is scored
+a span in the whole text are its pattern. Patterns and instances form a graph over the whole corpus, which is scored
 in rounds: a pattern is trusted by the share of its instances that are known, an instance by the
-patterns around it, and trusted instances are known in the next round. Identifier-like tokens that
+patterns around it, and trusted instances are known in the next round. Identifier-like runs of tokens that
 a trusted pattern introduces and whose score is high enough become spans too.
 """
 
@@ -27,7 +27,12 @@ PATTERNS = (
 # Cheap tests that a text must pass before a pattern is searched.
 MARKS = (r"@", r"[0-9]\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){12}", r"\+[0-9]")
 OCTETS = r"^(?:0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
-CANDIDATE = r"(?<![^\s])(?=[^\s]*[0-9@])[^\s]++"
+# Stands for every character of a base span while candidates are searched; a noncharacter of Unicode.
+TAKEN = "\ufdd0"
+_TOKEN = rf"(?=[^\s0-9@{TAKEN}]*+[0-9])[^\s@{TAKEN}]++(?![^\s])"
+_JOIN = r"(?<=[0-9A-Za-z().-])\x20++(?:[().-]++\x20++)?"
+# A run of neighbouring tokens with a digit, or one token with an at sign.
+CANDIDATE = rf"(?<![^\s])(?:{_TOKEN}(?:{_JOIN}{_TOKEN})*+|(?=[^\s@{TAKEN}]*+@)[^\s{TAKEN}]++(?![^\s]))"
 CONTEXT_CHARS, CONTEXT_WORDS = 64, 2
 
 # A pattern is trusted with MIN_SEEDS distinct known instances and this share of known ones.
@@ -72,11 +77,19 @@ def context(before: Column) -> Column:
     return F.array_join(last, " ")
 
 
-def _found(text: Column, pattern: str, mark: str, kind: int | None, keep) -> Column:
+def before(text: Column, start: Column) -> Column:
+    """The last characters of a text before a place, whatever other spans they hold."""
+    first = F.greatest(start - CONTEXT_CHARS, F.lit(0))
+    return F.substring(text, (first + 1).cast("int"), (start - first).cast("int"))
+
+
+def _found(text: Column, pattern: str, mark: str, kind: int | None, keep, source: Column | None = None) -> Column:
     """All matches as spans of code points, with the context before each.
 
-    Splitting at the matches gives the texts between them, whose lengths give the positions.
+    Splitting at the matches gives the texts between them, whose lengths give the positions. The context
+    is read from ``source``, a text of the same places, if it is given.
     """
+    source = text if source is None else source
 
     def spans(parts: Column, hits: Column) -> Column:
         steps = F.transform(hits, lambda h, i: (F.length(h) + F.length(F.get(parts, i))).cast("bigint"))
@@ -89,7 +102,7 @@ def _found(text: Column, pattern: str, mark: str, kind: int | None, keep) -> Col
                     (F.get(sums, i) + F.length(F.get(parts, i))).alias("start"),
                     (F.get(sums, i) + F.length(F.get(parts, i)) + F.length(h)).alias("end"),
                     h.alias("value"),
-                    context(F.get(parts, i)).alias("pattern"),
+                    context(before(source, F.get(sums, i) + F.length(F.get(parts, i)))).alias("pattern"),
                 ),
             ),
         )
@@ -108,26 +121,45 @@ def base_spans(text: Column) -> Column:
     return F.concat(*each)
 
 
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text with every character of a span replaced by TAKEN, so that places stay."""
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"])))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], acc["at"])
+        gap = F.substring(text, acc["at"].cast("int") + 1, (start - acc["at"]).cast("int"))
+        parts = F.concat(acc["out"], F.array(gap, F.repeat(F.lit(TAKEN), (s["end"] - start).cast("int"))))
+        return F.when(s["end"] > acc["at"], F.struct(s["end"].alias("at"), parts.alias("out"))).otherwise(acc)
+
+    def rest(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, F.aggregate(by_start, zero, step, rest)).otherwise(text)
+
+
 def candidate_spans(text: Column, base: Column) -> Column:
-    """Tokens with a digit or an at sign outside all base spans, without the punctuation around them."""
-    trimmed = F.transform(
-        _found(text, CANDIDATE, "[0-9@]", None, lambda s: F.lit(True)),
-        lambda s: let(
-            F.length(F.regexp_extract(s["value"], "^[^0-9A-Za-z+@]*+", 0)),
-            lambda lead: let(
-                F.regexp_extract(s["value"], "[0-9A-Za-z+@](?:.*[0-9A-Za-z])?", 0),
-                lambda value: F.struct(
-                    s["kind"],
-                    (s["start"] + lead).alias("start"),
-                    (s["start"] + lead + F.length(value)).alias("end"),
-                    value.alias("value"),
-                    s["pattern"],
-                ),
+    """Runs of tokens with a digit, and tokens with an at sign, without the punctuation around them.
+
+    Neighbouring tokens with a digit are one candidate if blanks, dots, hyphens or brackets join them, so
+    an identifier in groups is whole. Tokens that a base span touches take no part and end a run.
+    """
+    trim = lambda s: let(
+        F.length(F.regexp_extract(s["value"], "^[^0-9A-Za-z+@]*+", 0)),
+        lambda lead: let(
+            F.regexp_extract(s["value"], "[0-9A-Za-z+@](?:.*[0-9A-Za-z])?", 0),
+            lambda value: F.struct(
+                s["kind"],
+                (s["start"] + lead).alias("start"),
+                (s["start"] + lead + F.length(value)).alias("end"),
+                value.alias("value"),
+                F.when(lead > 0, context(before(text, s["start"] + lead))).otherwise(s["pattern"]).alias("pattern"),
             ),
         ),
     )
-    outside = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-    return F.filter(trimmed, lambda s: (s["value"] != "") & outside(s))
+    free = without_spans(text, base)
+    trimmed = let(free, lambda f: F.transform(_found(f, CANDIDATE, "[0-9@]", None, lambda s: F.lit(True), text), trim))
+    return F.filter(trimmed, lambda s: s["value"] != "")
 
 
 def scored_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:

@@ -198,6 +198,19 @@ def test_context_finds_unseen_identifiers(spark):
     assert found[99] == "email:25:38" and found[100] == ""
 
 
+def test_context_finds_identifiers_in_groups(spark):
+    rows = [(i, f"please reach phone +49301234{i:03} now, on 12 call +49409876{i:03} too") for i in range(8)]
+    rows += [(50, "please reach phone 030 123 4567 now"), (51, "please reach phone (030) 765 - 4321, 8 times")]
+    rows += [(52, "on 12 call 0301234567 then"), (53, "a@b.org 7 8, 9")]
+    table = prepared(spark).createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["text"] for r in identifiers.mask_identifiers(table).collect()}
+    assert found[50] == "please reach phone [phone] now"
+    assert found[52] == "on 12 call [phone] then" and found[53] == "[email] 7 8, 9"
+    spans = identifiers.candidate_spans(identifiers.F.col("text"), identifiers.base_spans(identifiers.F.col("text")))
+    values = {r["doc_id"]: [s["value"] for s in r["s"]] for r in table.select("doc_id", spans.alias("s")).collect()}
+    assert values[51] == ["030) 765 - 4321", "8"] and values[53] == ["7 8", "9"] and values[0] == ["12"]
+
+
 @pytest.mark.parametrize("pack", ["cutting", "best_fit"])
 def test_packing_is_lossless(docs, pack):
     from tokenizers import Tokenizer
