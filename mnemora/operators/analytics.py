@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemora.functions.vectors import unit
+from mnemora.functions.vectors import resize, unit
 
 
 def category_similarity(items: DataFrame, category: str = "label", vec: str = "embedding") -> DataFrame:
@@ -45,7 +45,7 @@ def similar_pairs(items: DataFrame, dim: int, min_similarity: float, cell_rows:
     """
     import pandas as pd
 
-    rows = items.filter(F.size(vec) == dim).select("id", F.col(vec).alias("v"))
+    rows = items.filter(F.col(vec).isNotNull()).select("id", resize(F.col(vec), dim).alias("v"))
     slices = max(1, -(-rows.count() // cell_rows))
     sliced = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
     # slice s meets every slice t >= s: it is sent as the left side to its own row, as the right side to its column
@@ -79,7 +79,10 @@ def category_ids(items: DataFrame, category: str) -> DataFrame:
 
 
 def principal_axes(vectors: DataFrame, dim: int, k: int, vec: str = "vec") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, axes, explained share): from sums and products gathered per task, one D x D matrix each."""
+    """(mean, axes, explained share): from sums and products gathered per task, one D x D matrix each.
+
+    Vectors of another length are resized to ``dim``.
+    """
     import pandas as pd
 
     def moments(frames):
@@ -96,7 +99,7 @@ def principal_axes(vectors: DataFrame, dim: int, k: int, vec: str = "vec") -> tu
 
     # the driver receives dim*dim + dim + 1 sums whatever the number of vectors
     sums = (
-        vectors.select(vec).filter(F.size(vec) == dim).mapInPandas(moments, "i int, j int, x double")
+        vectors.filter(F.col(vec).isNotNull()).select(resize(F.col(vec), dim).alias(vec)).mapInPandas(moments, "i int, j int, x double")
         .groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
     )
     mean, product, n = np.zeros(dim), np.zeros((dim, dim)), 0.0
@@ -118,13 +121,13 @@ def principal_axes(vectors: DataFrame, dim: int, k: int, vec: str = "vec") -> tu
 
 
 def project(vectors: DataFrame, mean: np.ndarray, axes: np.ndarray, vec: str = "vec", names: str = "xyz") -> DataFrame:
-    """Add one coordinate column per axis."""
+    """Add one coordinate column per axis; vectors of another length are resized to that of the axes."""
     spread = [float(a @ mean) for a in axes]
 
     def coordinate(axis: np.ndarray, shift: float) -> Column:
         weights = F.array(*[F.lit(float(w)) for w in axis])
         return F.aggregate(
-            F.zip_with(vec, weights, lambda v, w: v.cast("double") * w), F.lit(0.0), lambda a, b: a + b
+            F.zip_with(resize(F.col(vec), len(axis)), weights, lambda v, w: v.cast("double") * w), F.lit(0.0), lambda a, b: a + b
         ) - F.lit(shift)
 
     return vectors.withColumns({names[i]: coordinate(axes[i], spread[i]) for i in range(len(axes))})
@@ -132,7 +135,7 @@ def project(vectors: DataFrame, mean: np.ndarray, axes: np.ndarray, vec: str = "
 
 def retrieval_map(items: DataFrame, dim: int) -> DataFrame:
     """``id, x, y, retrieval_count, size``: plane projection with a mark size per retrieval count."""
-    rows = items.filter(F.size("embedding") == dim).withColumnRenamed("embedding", "vec")
+    rows = items.filter(F.col("embedding").isNotNull()).withColumnRenamed("embedding", "vec")
     mean, axes, _ = principal_axes(rows, dim, 2)
     return project(rows, mean, axes).select(
         "id", "x", "y", "retrieval_count", (F.lit(50) + F.col("retrieval_count") * 20).alias("size")
@@ -202,7 +205,7 @@ def ring_map(items: DataFrame, levels: DataFrame, dim: int) -> DataFrame:
 
 def space_map(items: DataFrame, levels: DataFrame, dim: int) -> DataFrame:
     """``item_id, level, x, y, z``: three axes fitted on the base vectors, applied to every level."""
-    base = items.filter(F.size("embedding") == dim).withColumnRenamed("embedding", "vec")
+    base = items.filter(F.col("embedding").isNotNull()).withColumnRenamed("embedding", "vec")
     mean, axes, _ = principal_axes(base, dim, 3)
     return project(with_base_level(items, levels), mean, axes).select("item_id", "level", "x", "y", "z")
 

@@ -135,6 +135,24 @@ def test_projection_matches_svd(spark):
     assert np.allclose(xy, (m - m.mean(0)) @ axes.T)
 
 
+def test_maps_keep_vectors_of_other_lengths(spark):
+    rng = np.random.RandomState(1)
+    m = [rng.randn((48, 64, 96)[i % 3]) for i in range(60)]
+    rows = [(i, [float(x) for x in v], i) for i, v in enumerate(m)] + [(60, None, 0)]
+    items = spark.createDataFrame(rows, "id bigint, embedding array<double>, retrieval_count int")
+    cut = np.array([np.pad(v[:64], (0, max(0, 64 - len(v)))) for v in m])
+    fitted = np.array([c if len(v) == 64 else c / np.linalg.norm(c) for c, v in zip(cut, m, strict=True)])
+    mean, axes, _ = analytics.principal_axes(items, 64, 2, vec="embedding")
+    assert np.allclose(mean, fitted.mean(0), atol=1e-6)
+    got = analytics.retrieval_map(items, 64).orderBy("id").collect()
+    assert np.allclose([[r.x, r.y] for r in got], (fitted - mean) @ axes.T, atol=1e-5)
+    none = spark.createDataFrame([], "item_id bigint, level int, vec array<double>")
+    for found in (analytics.space_map(items, none, 64), analytics.ring_map(items, none, 64)):
+        assert not [r for r in found.collect() if None in tuple(r)] and found.count() == 60
+    pairs = {(r.a, r.b) for r in analytics.similar_pairs(items, 64, -1.0).collect()}
+    assert len(pairs) == 60 * 59 // 2
+
+
 def test_lane_and_ring_maps_are_scaled(spark, folder):
     vectors = inputs.embeddings(spark, folder)
     long = levels.with_levels(vectors, 64, 2)
