@@ -2,7 +2,7 @@
 
 A vector is represented by its nearest pivots in order. It is posted in the inverted files of its
 first ``POSTED`` pivots; a query visits the files of its first ``VISITED`` pivots, ranks what it finds there
-by the footrule distance of the permutations and computes true distances for the best share.
+by the footrule distance of the permutations and computes true distances for the best share and its ties.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from mnemora.llm.common import saved
 
-# The pivots are a bounded sample; every vector is indexed.
+# The pivots are a bounded sample of each vector length; every vector is indexed.
 PIVOTS, DEPTH, POSTED, VISITED = 256, 48, 4, 64
 # Share of a file that is compared exactly, and the least number.
 RERANKED, LEAST_RERANKED = 0.25, 64
@@ -94,7 +94,8 @@ def _search(k: int, pivots: int):
             )
             for query, vector, place in asked:
                 footrule = np.abs(places - place).sum(axis=1, dtype=np.int32)
-                near = np.argpartition(footrule, keep - 1)[:keep]
+                # All that ties with the last one is compared too, so no row is left out arbitrarily.
+                near = np.flatnonzero(footrule <= np.partition(footrule, keep - 1)[keep - 1])
                 score = np.sqrt(((rows[near] - vector) ** 2).sum(axis=1))
                 best = np.lexsort((ids[near], score))[:k]
                 out["query"].append(np.full(len(best), query))
@@ -127,7 +128,9 @@ def nearest(vectors: DataFrame, query_step: int = 100, k: int = 10) -> DataFrame
     asked = rows.where(F.col("vec_id") % query_step == 0).withColumnRenamed("vec_id", "query_id")
     asked = saved(asked.join(classes.select("embedding", "class"), "embedding").select("query_id", "class"), "asked")
 
-    picked = classes.orderBy(F.xxhash64("class"), "class").limit(PIVOTS).select("embedding").collect()
+    # A sample for each length; WindowGroupLimit keeps PIVOTS rows of it before the shuffle.
+    drawn = F.row_number().over(Window.partitionBy(F.size("embedding")).orderBy(F.xxhash64("class"), "class"))
+    picked = classes.withColumn("n", drawn).where(F.col("n") <= PIVOTS).select("embedding").collect()
     by_dim: dict[int, list] = {}
     for r in picked:
         by_dim.setdefault(len(r["embedding"]), []).append(r["embedding"])

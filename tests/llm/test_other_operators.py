@@ -122,6 +122,18 @@ def test_neighbours_are_found(spark, monkeypatch):
     assert permutation_index.nearest(table.where("false")).count() == 0
 
 
+def test_a_rare_length_has_its_own_pivots(spark):
+    rng = np.random.default_rng(10)
+    x, y = rng.normal(0, 1, (2000, 16)), rng.normal(0, 1, (40_000, 2))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_001 + i, v.tolist()) for i, v in enumerate(y)]
+    found = permutation_index.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 500).toPandas()
+    hits = total = 0
+    for q, got in found[found["query_id"] < 10_000].groupby("query_id"):
+        hits += len(set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11]) & set(got["vec_id"]))
+        total += 10
+    assert total == 40 and hits >= 0.8 * total
+
+
 def test_recall_on_the_table(spark):
     folder = "/root/testdata/sf0.1"
     table = prepared(spark).read.parquet(f"{folder}/embeddings.parquet")
