@@ -9,10 +9,13 @@ from mnemora.llm import (
     byte_bpe,
     chat,
     cutting_stock,
+    hard_negatives,
     identifiers,
     licenses,
+    line_dedup,
     near_duplicates,
     permutation_index,
+    prefix_trie,
     quality,
     url_rules,
 )
@@ -63,6 +66,18 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.bpe_report(table(spark, folder, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mined_negatives(table(spark, folder, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, folder, "documents"))
+
+
 Q = {
     f.__name__: f
     for f in (
@@ -76,11 +91,17 @@ Q = {
         op8_near_duplicates,
         op9_quality,
         op10_byte_bpe,
+        op11_hard_negatives,
+        op12_prefix_trie,
+        op13_line_dedup,
     )
 }
 
 S = {
     "op3_chat": chat.chat_sql(),
+    "op11_hard_negatives": hard_negatives.MINING_SQL,
+    "op12_prefix_trie": prefix_trie.TRIE_SQL,
+    "op13_line_dedup": line_dedup.LINE_SQL,
     "op8_near_duplicates": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(
