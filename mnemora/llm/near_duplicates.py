@@ -96,7 +96,7 @@ def short_sketch(sketch: np.ndarray) -> np.ndarray:
     return ((sketch * _MUL[0]) >> np.uint64(56)).astype(np.uint8)
 
 
-SIGNATURE = "doc_id bigint, n_shingles bigint, fingerprint binary, bands array<bigint>, sketch binary"
+SIGNATURE = "doc_id bigint, mark bigint, n_shingles bigint, fingerprint binary, bands array<bigint>, sketch binary"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +115,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(start, 256),
+                    batch.column("mark").slice(start, 256),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(prints, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(short, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "fingerprint", "bands", "sketch"],
+                names=["doc_id", "mark", "n_shingles", "fingerprint", "bands", "sketch"],
             )
 
 
@@ -203,12 +204,26 @@ def _cell_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": u, "v": v}, dtype="int64")
 
 
-def _texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the given nodes, one row each."""
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(sized(nodes), "node", "left_semi")
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, text; the mark tells the texts of one id apart."""
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+
+
+def _texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes (node, doc_id, mark), one row each."""
+    texts = _marked(docs).join(sized(wanted), ["doc_id", "mark"]).select("node", "text")
     return texts.dropDuplicates(["node"])
 
 
+def _shared_ids(named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) between the texts of one id: its rows are one document of the graph."""
+    prints = named.groupBy("doc_id").agg(F.min("fingerprint").alias("first"), F.max("fingerprint").alias("last"))
+    several = saved(prints.where("first <> last").select("doc_id", "first"), "ids-with-several-texts")
+    pairs = named.join(several, "doc_id").where("fingerprint <> first").select("fingerprint", "first").distinct()
+    name = nodes.select("fingerprint", F.col("node").alias("u"))
+    return pairs.join(name, "fingerprint").join(name.toDF("first", "v"), "first").select("u", "v")
+
+
 def _star_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The members linked with their hub. Rows come sorted by star, each part's hub first."""
     hub, held = None, None
@@ -284,40 +299,42 @@ def _open_links(buckets: DataFrame, joined: DataFrame, nodes: DataFrame, texts:
 def linked_classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    Documents of equal shingle sets are one class from the start; only its smallest doc_id goes on.
-    Every band bucket links its members to its smallest one: these stars are verified first, which
+    Documents of equal shingle sets are one node from the start. Every band bucket links its nodes to the one
+    of the smallest doc_id: these stars are verified first, which
     joins the members of large groups of copies in one step each. What shares a bucket and is still
     in different components is then compared in blocks, by sketches and then by full sets. No pairs
     are made within a component.
 
     Texts that are null, empty or without words are linked with nothing. Repeated rows fall into one
-    class; rows of the same doc_id count as one document of the graph. A null doc_id is linked with
+    class; rows of the same doc_id count as one document of the graph, which has the links of all its texts. A null doc_id is linked with
     nothing and kept, its component_id is null. Other columns are ignored, empty tables give none.
     """
-    rows = docs.select("doc_id", "text")
-    marks = saved(rows.mapInArrow(_signatures, SIGNATURE), "signatures")
+    marks = saved(_marked(docs).mapInArrow(_signatures, SIGNATURE), "signatures")
     named = marks.where("doc_id is not null and fingerprint is not null")
     # Equal sets have equal sketches, so any row of a class stands for it.
     nodes = saved(
         named.groupBy("fingerprint").agg(
-            F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]
-        ),
+            F.min(F.struct("doc_id", "mark")).alias("least"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]
+        ).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    spread = nodes.select(F.posexplode("bands").alias("band_no", "band"), "node", "n_shingles")
-    hubs = spread.groupBy("band_no", "band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    buckets = saved(spread.join(hubs.drop("n"), ["band_no", "band"]), "buckets")
+    spread = nodes.select(F.posexplode("bands").alias("band_no", "band"), "node", "n_shingles", "least.doc_id")
+    smallest = F.min(F.struct("doc_id", "node")).alias("hub")
+    hubs = spread.groupBy("band_no", "band").agg(smallest, F.count("*").alias("n")).where("n > 1")
+    hubs = hubs.select("band_no", "band", F.col("hub.node").alias("hub"), F.col("hub.doc_id").alias("hub_id"))
+    buckets = saved(spread.drop("doc_id").join(hubs, ["band_no", "band"]), "buckets")
     # All that is verified later shares a bucket: one pass over the documents finds their texts.
-    wanted = saved(buckets.select("node").distinct(), "wanted")
+    least = nodes.select("node", "least.doc_id", "least.mark")
+    wanted = saved(least.join(buckets.select("node").distinct(), "node", "left_semi"), "wanted")
     texts = saved(_texts_of(wanted, docs), "texts")
 
     sketch = nodes.groupBy("node").agg(F.min("sketch").alias("sketch"))
     stars = (
         buckets.where("node <> hub")
-        .groupBy("node", "hub")
+        .groupBy("node", "hub", "hub_id")
         .agg(F.count("*").alias("shared"), F.max("n_shingles").alias("n_shingles"))
     )
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "hub"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "hub_id", "hub"))
     first = stars.withColumn("rank", best).where(F.col("rank") <= STARS).select("node", "hub", "n_shingles", "rank")
     near = (
         first.join(sketch, "node")
@@ -326,20 +343,22 @@ def linked_classes(docs: DataFrame) -> DataFrame:
         .select(F.col("node").alias("u"), F.col("hub").alias("v"), "n_shingles", "rank")
     )
     near = saved(near, "stars")
+    same_id = saved(_shared_ids(named, nodes), "shared-ids")
     links = near.select("u", "v").where("false")
     for rank in range(1, STARS + 1):
         # A further hub is tried only for members that no hub before it has taken in.
         untaken = near.where(F.col("rank") == rank).drop("rank").join(links.select("u"), "u", "left_anti")
         links = links.union(saved(_verified(untaken, texts), "links"))
+    links = links.union(same_id)
     joined = components(links)
     more = _open_links(buckets, joined, nodes, texts)
     if not more.isEmpty():
         joined = components(links.union(more))
 
-    classes = (
-        nodes.join(joined, "node", "left")
-        .select("fingerprint", F.coalesce("component", "node").alias("class"))
-    )
+    placed = nodes.join(joined, "node", "left")
+    placed = saved(placed.select("fingerprint", "least.doc_id", F.coalesce("component", "node").alias("component")), "placed")
+    smallest_id = placed.groupBy("component").agg(F.min("doc_id").alias("class"))
+    classes = placed.join(saved(smallest_id, "smallest"), "component").select("fingerprint", "class")
     by_id = (
         named.select("doc_id", "fingerprint")
         .join(classes, "fingerprint")
