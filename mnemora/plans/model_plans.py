@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.functions.arrays import r6
-from mnemora.functions.classify import rule_category
 from mnemora.functions.embedding import embedder, seeded_embedding
 from mnemora.functions.vectors import norm
 from mnemora.operators import analytics, batching, model, store
 from mnemora.plans import inputs
 from mnemora.plans.classify_plans import ASK
 from mnemora.plans.text_plans import r6s, with_
+from mnemora.session import configure
 from mnemora.sources.tables import table
 
 Q: dict = {}
@@ -25,12 +25,12 @@ def variations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def learned_categories(spark: SparkSession, folder: str) -> DataFrame:
-    """A model trained on all rule-labelled questions, applied to every conversation turn."""
-    asked = inputs.questions(spark, folder).select(F.col("question").alias("text"))
-    labelled = asked.distinct().withColumn("category", rule_category(F.col("text"))).filter("category IS NOT NULL")
-    fitted = model.train(model.with_variations(labelled))
-    talk = inputs.turns(spark, folder).select("conv_id", "turn", "text")
-    return model.predict(fitted, talk).select("conv_id", "turn", "model_category", r6(F.col("model_confidence")).alias("confidence"))
+    """Rules, then a model of the example questions, over every conversation turn and every question."""
+    fitted = model.train(model.example_questions(configure(spark)))
+    talk = inputs.turns(spark, folder).select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").alias("part"), "text")
+    asked = inputs.questions(spark, folder).select("kind", F.col("qid").alias("id"), F.lit(0).cast("bigint").alias("part"), F.col("question").alias("text"))
+    out = model.classify(fitted, talk.unionByName(asked))
+    return out.select("kind", "id", "part", "category", r6(F.col("confidence")).alias("confidence"), "decided_by")
 
 
 def embedded_turns(spark: SparkSession, folder: str) -> DataFrame:
