@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mnemora.functions import rules
 from mnemora.functions.arrays import let, value_counts
+from mnemora.functions.terms import term_hits
 from mnemora.functions.text import contains_any, matches, strip, tokens
 
 
@@ -76,56 +77,55 @@ def taxonomy(related: dict[str, list[str]] | None = None) -> list[tuple[str, str
     return rows
 
 
+def taxonomy_words(rows: list[tuple[str, str, list[str]]]) -> list[str]:
+    """All that a text is searched for: names, their words and related terms, each once."""
+    found: dict[str, None] = {}
+    for _, name, terms in rows:
+        found |= dict.fromkeys([name.replace("_", " "), *terms, *name.split("_")])
+    return list(found)
+
+
 def subcategory(text: Column, category: Column, rows: list[tuple[str, str, list[str]]] | None = None) -> Column:
     """Best subcategory of a text within its category, ``struct<name, score>``.
 
     0.7 for a literal mention, 0.3 for any related term; the first best wins. Below 0.3
-    the share of the name's words found in the text decides.
+    the share of the name's words found in the text decides. One pass over the text finds all names and terms.
     """
+    rows = rows or taxonomy()
+    words = taxonomy_words(rows)
+    number = {w: i for i, w in enumerate(words)}
     # one constant map, folded to a literal; a row looks at the entries of its category only
     by_category: dict[str, list[dict]] = {}
-    for i, (cat, name, terms) in enumerate(rows or taxonomy()):
-        entry = {"order": -i, "name": name, "readable": name.replace("_", " "), "terms": terms, "words": name.split("_")}
+    for i, (cat, name, terms) in enumerate(rows):
+        entry = {"order": -i, "name": name, "readable": number[name.replace("_", " ")]}
+        entry |= {"terms": [number[w] for w in terms], "words": [number[w] for w in name.split("_")]}
         by_category.setdefault(cat, []).append(entry)
     table = F.from_json(
         F.lit(json.dumps(by_category)),
-        "map<string,array<struct<order:int,name:string,readable:string,terms:array<string>,words:array<string>>>>",
+        "map<string,array<struct<order:int,name:string,readable:int,terms:array<int>,words:array<int>>>>",
     )
     entries = F.try_element_at(table, category)
 
     def result(score: Column, e: Column) -> Column:
         return F.struct(score.alias("score"), e["order"].alias("order"), e["name"].alias("name"))
 
-    def mention(t: Column) -> Column:
-        return F.array_max(
-            F.transform(
-                entries,
-                lambda e: result(
-                    F.when(F.contains(t, e["readable"]), 0.7).otherwise(0.0)
-                    + F.when(F.exists(e["terms"], lambda w: F.contains(t, w)), 0.3).otherwise(0.0),
-                    e,
-                ),
-            )
-        )
+    def pick(hits: Column) -> Column:
+        def mention(e: Column) -> Column:
+            direct = F.when(F.array_contains(hits, e["readable"]), 0.7).otherwise(0.0)
+            return result(direct + F.when(F.arrays_overlap(hits, e["terms"]), 0.3).otherwise(0.0), e)
 
-    def overlap(t: Column) -> Column:
-        return F.array_max(
-            F.transform(
-                entries,
-                lambda e: result(F.size(F.filter(e["words"], lambda w: F.contains(t, w))) / F.size(e["words"]), e),
-            )
-        )
+        def overlap(e: Column) -> Column:
+            return result(F.size(F.filter(e["words"], lambda w: F.array_contains(hits, w))) / F.size(e["words"]), e)
 
-    def pick(t: Column) -> Column:
         return let(
-            mention(t),
+            F.array_max(F.transform(entries, mention)),
             lambda best: F.when(best["score"] >= 0.3, best).otherwise(
-                let(overlap(t), lambda o: F.when(o["score"] > best["score"], o))
+                let(F.array_max(F.transform(entries, overlap)), lambda o: F.when(o["score"] > best["score"], o))
             ),
         )
 
     return let(
-        let(F.lower(text), pick),
+        let(term_hits(F.lower(text), words), pick),
         lambda f: F.struct(f["name"].alias("name"), F.coalesce(f["score"], F.lit(0.0)).alias("score")),
     )
 
@@ -470,20 +470,3 @@ def repeats_ngram(toks: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     for n in sizes:
         hit = hit | ((F.size(toks) >= 2 * n) & F.exists(value_counts(grams(n)), lambda c: c["n"] >= 2))
     return (F.size(toks) >= 4) & hit
-
-
-def longest_shared_prefix(a: Column, b: Column) -> Column:
-    """Number of leading equal elements of two arrays."""
-    shared = F.least(F.size(a), F.size(b))
-    same = F.zip_with(F.slice(a, F.lit(1), shared), F.slice(b, F.lit(1), shared), lambda x, y: x == y)
-    return let(
-        F.array_position(same, F.lit(False)), lambda p: F.when(p > 0, p - 1).otherwise(shared.cast("bigint"))
-    )
-
-
-def taxonomy_frame(spark: SparkSession, related: dict[str, list[str]] | None = None) -> DataFrame:
-    """The taxonomy as rows, for joins and reports."""
-    return spark.createDataFrame(
-        [(c, n, i, t) for i, (c, n, t) in enumerate(taxonomy(related))],
-        "category string, subcategory string, position int, terms array<string>",
-    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemora.functions import classify as C
 from mnemora.functions import rules
 from mnemora.functions.arrays import r6
+from mnemora.functions.terms import term_hits
 from mnemora.plans import inputs
 from mnemora.plans.text_plans import ascii_words, quote, r6s, with_
 from mnemora.sources.text_lines import explode_lines
@@ -34,11 +35,11 @@ def subcategories(spark: SparkSession, folder: str) -> DataFrame:
 
 def taxonomy_terms(spark: SparkSession, folder: str) -> DataFrame:
     """How many questions mention each subcategory's terms; the taxonomy has a fixed 70 rows."""
-    asked = inputs.questions(spark, folder).withColumn("low", F.lower("question"))
     rows = C.taxonomy()
-    names = [
-        F.count_if(C.contains_any(F.col("low"), terms)).alias(name) for _, name, terms in rows
-    ]
+    words = C.taxonomy_words(rows)
+    number = {w: i for i, w in enumerate(words)}
+    asked = inputs.questions(spark, folder).select(term_hits(F.lower("question"), words).alias("hits"))
+    names = [F.count_if(F.arrays_overlap("hits", F.array(*[F.lit(number[w]) for w in terms]))).alias(name) for _, name, terms in rows]
     wide = asked.agg(*names)
     return wide.unpivot([], wide.columns, "subcategory", "n_questions")
 

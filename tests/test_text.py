@@ -143,3 +143,38 @@ def test_fallbacks(spark):
     assert c
     kept = df.select(final_answer(F.lit("text"), F.lit("acceptable"), F.col("q"), F.array(F.lit("z")), F.lit(1))).first()[0]
     assert kept == "text"
+
+
+def test_all_terms_are_found_in_one_pass(spark):
+    """Overlapping, nested and empty terms, against a search for each."""
+    from mnemora.functions.terms import term_hits
+
+    terms = ["art", "artist", "how-to", "st", "user guide", "é", "", "zzz", "a"]
+    texts = ["the artist's how-to", "a user guide", "", None, "é" * 3, "ART"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["h"] for r in rows.select("i", term_hits(F.col("t"), terms).alias("h")).collect()}
+    assert got == {i: None if t is None else [k for k, w in enumerate(terms) if w in t] for i, t in enumerate(texts)}
+    assert [r["h"] for r in rows.where("i = 0").select(term_hits(F.col("t"), []).alias("h")).collect()] == [[]]
+
+
+def test_subcategories_follow_the_given_terms(spark, tmp_path):
+    """A caller's table of terms: mention and term, term alone, words of the name, nothing; first best wins."""
+    from mnemora.functions.terms import read_related_terms
+
+    related = {"historical": ["history", "ancient"], "scientific": ["science", "data"], "problem_solving": ["solve", "fix"], "sports": ["game"]}
+    table = [(s, i, w) for s, words in related.items() for i, w in enumerate(words)]
+    spark.createDataFrame(table, "subcategory string, position int, term string").write.parquet(str(tmp_path / "terms"))
+    assert read_related_terms(spark, str(tmp_path / "terms")) == related
+    rows = C.taxonomy(related)
+    cases = [
+        ("Historical and ancient DATA", "declarative", ("historical", 1.0)),
+        ("ancient data", "declarative", ("historical", 0.3)),
+        ("some data", "declarative", ("scientific", 0.3)),
+        ("a problem of mine", "procedural_knowledge", ("problem_solving", 0.5)),
+        ("nothing of the kind", "procedural_knowledge", (None, 0.0)),
+        ("any", "no category", (None, 0.0)),
+        (None, "declarative", (None, 0.0)),
+    ]
+    frame = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(cases)], "i int, t string, c string")
+    got = {r["i"]: (r["s"]["name"], r["s"]["score"]) for r in frame.select("i", C.subcategory(F.col("t"), F.col("c"), rows).alias("s")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
