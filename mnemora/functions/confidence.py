@@ -81,6 +81,56 @@ def sharpened_entropy(h: Column, factor: float = 0.3) -> Column:
     return F.when(h < 1.0, F.greatest(F.lit(0.0), h - h * factor * 0.4)).otherwise(h + (h - 1.0) * factor * 0.4)
 
 
+def confidence_pattern(values: Column, floor_third: bool = True) -> Column:
+    """What the token confidences of one answer show, ``struct<pattern_type, severity, drop_size, degradation, repetition>``.
+
+    As :func:`mnemora.operators.series.confidence_patterns` finds it in a series, inside the row: sudden drops, then
+    degradation from the first to the last third, then repetition of 3 to 5 values; a later finding names the type, the
+    severity is the largest. Fewer than ten values, or none, show nothing.
+    """
+    n = F.size(values)
+
+    def drops(mean: Column) -> Column:
+        steps = F.zip_with(F.slice(values, F.lit(1), n - 1), F.slice(values, F.lit(2), n - 1), lambda a, b: F.when((a - b > 0.3) & (b < mean * 0.7), a - b))
+        return F.array_max(steps)
+
+    def degradation(mean: Column) -> Column:
+        third = F.floor(n / 3).cast("int")
+        tail = third if floor_third else F.ceil(n / 3).cast("int")
+        first = total(F.slice(values, F.lit(1), third)) / third
+        last = total(F.slice(values, n - tail + 1, tail)) / third
+        return F.when((n > 20) & (first - last > 0.2) & (last < mean * 0.8), first - last)
+
+    def repetition(length: int) -> Column:
+        """Largest similarity of a run with the run after it; runs start before n - 2 * length."""
+        gaps = F.zip_with(F.slice(values, F.lit(1), n - length), F.slice(values, F.lit(length + 1), n - length), lambda a, b: F.abs(a - b))
+
+        def similarity(g: Column, i: Column) -> Column:
+            gap = F.get(g, i)
+            for j in range(1, length):
+                gap = gap + F.get(g, i + j)
+            return F.lit(1.0) - gap / length
+
+        return F.array_max(let(gaps, lambda g: F.transform(F.sequence(F.lit(0), n - 2 * length - 1), lambda i: similarity(g, i))))
+
+    def found(mean: Column) -> Column:
+        best = F.greatest(*[repetition(k) for k in (3, 4, 5)])
+        return F.struct(drops(mean).alias("d"), degradation(mean).alias("g"), F.when(n > 15, let(best, lambda b: F.when(b > 0.85, b - 0.85))).alias("r"))
+
+    def named(x: Column) -> Column:
+        kind = F.when(x["r"].isNotNull(), "repetition").when(x["g"].isNotNull(), "degradation").when(x["d"].isNotNull(), "sudden_drop")
+        worst = F.greatest(*[F.coalesce(x[c], F.lit(0.0)) for c in ("d", "g", "r")])
+        return F.struct(
+            kind.alias("pattern_type"), worst.alias("severity"), x["d"].alias("drop_size"), x["g"].alias("degradation"), x["r"].alias("repetition")
+        )
+
+    nothing = F.struct(
+        F.lit(None).cast("string").alias("pattern_type"), F.lit(0.0).alias("severity"),
+        *[F.lit(None).cast("double").alias(c) for c in ("drop_size", "degradation", "repetition")],
+    )
+    return F.when(n >= 10, let(let(total(values) / n, found), named)).otherwise(nothing)
+
+
 def colour_step(confidence: Column) -> Column:
     """Index of the colour step, 0 for the most confident; NULL below the last step."""
     step = F.lit(None).cast("int")

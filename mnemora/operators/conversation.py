@@ -37,9 +37,9 @@ def topic_shifts(
 ) -> DataFrame:
     """Add ``is_shift`` and ``similarity``: the best cosine with the last ``ring`` topics.
 
-    Turns that ask to continue or to exit are neither judged nor remembered.
+    Turns that ask to continue or to exit, or have no vector, are neither judged nor remembered.
     """
-    skip = asks_to_continue(F.col(text)) | asks_to_exit(F.col(text), literal_exit)
+    skip = asks_to_continue(F.col(text)) | asks_to_exit(F.col(text), literal_exit) | F.col(vec).isNull()
     marked = turns.withColumn("_skip", F.coalesce(skip, F.lit(False)))
     judged = with_previous(marked.filter(~F.col("_skip")), keys, order, block, F.col(vec), ring, "_ring")
     best = F.greatest(

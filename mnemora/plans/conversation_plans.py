@@ -9,8 +9,10 @@ from mnemora.functions import blocks as B
 from mnemora.functions import rules
 from mnemora.functions.arrays import r6
 from mnemora.functions.classify import rule_category
+from mnemora.functions.confidence import confidence_pattern
 from mnemora.functions.text import tokens
 from mnemora.operators import conversation as V
+from mnemora.operators import search
 from mnemora.operators.series import index_block
 from mnemora.plans import inputs
 from mnemora.plans import text_plans as TP
@@ -122,14 +124,35 @@ def query_thresholds(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _supported(vectors: DataFrame, flags: DataFrame, asked: DataFrame) -> DataFrame:
+    """_v, memory_supported: whether memories that are not removed support what is asked with a vector; its own memory does not count."""
+    kept = vectors.join(flags.where("not deleted").select("id"), "id", "left_semi")
+    hits, _ = search.level_hits(kept, asked, inputs.DIM, 1, [0])
+    others = hits.where("item_id <> query_id")
+    return search.memory_support(others, "raw").select(F.col("query_id").alias("_v"), "memory_supported")
+
+
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
-    rows = inputs.answers(spark, folder).select(
-        "conv_id", "turn", "text", F.coalesce("query", F.lit("")).alias("query"), "normalized_confidence", "entropy", "perplexity", "tokens_generated",
-        (F.col("turn") > 2).alias("memory_supported"),
-        F.lit(None).cast("string").alias("pattern_type"),
-        F.lit(0.0).alias("pattern_severity"),
+    """Verdicts on all answers. Token i of an answer has the confidence 1 - 1.3 |x| of component i of the turn's vector,
+    taken in turn; what supports the answer is searched in the store with that vector."""
+    vectors = inputs.embeddings(spark, folder).select("id", "embedding")
+    n = max(vectors.count(), 1)
+    rows = inputs.answers(spark, folder).withColumn("_v", F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(n)))
+    asked = vectors.join(rows.select(F.col("_v").alias("id")).distinct(), "id", "left_semi")
+    support = _supported(vectors, inputs.item_flags(spark, folder), asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec")))
+    told = F.transform(
+        F.sequence(F.lit(1), F.col("tokens_generated")),
+        lambda i: F.lit(1.0) - F.abs(F.get("embedding", (i - 1) % F.size("embedding"))).cast("double") * 1.3,
     )
-    return V.judge_answers(rows)
+    rows = rows.join(vectors.select(F.col("id").alias("_v"), "embedding"), "_v", "left").join(support, "_v", "left")
+    rows = rows.withColumn("_pattern", confidence_pattern(F.when((F.col("tokens_generated") > 0) & (F.size("embedding") > 0), told)))
+    return V.judge_answers(
+        rows.select(
+            "conv_id", "turn", "text", F.coalesce("query", F.lit("")).alias("query"), "normalized_confidence", "entropy", "perplexity",
+            "tokens_generated", F.coalesce("memory_supported", F.lit(False)).alias("memory_supported"),
+            F.col("_pattern.pattern_type").alias("pattern_type"), F.col("_pattern.severity").alias("pattern_severity"),
+        )
+    )
 
 
 def hallucination(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,7 +254,7 @@ def shifts_sql(leave: str) -> str:
     return with_(
         VEC,
         "nv AS (SELECT count(*) AS n FROM vec)",
-        f"usr AS (SELECT conv_id, turn, v, ({_go} OR {leave}) AS skip FROM conversations c, nv JOIN vec ON vec.id = (c.conv_id * 8 + c.turn) % nv.n WHERE role = 'user')".replace("conversations c, nv JOIN vec ON", "conversations c CROSS JOIN nv JOIN vec ON"),
+        f"usr AS (SELECT conv_id, turn, v, ({_go} OR {leave}) OR v IS NULL AS skip FROM conversations c CROSS JOIN nv LEFT JOIN vec ON vec.id = (c.conv_id * 8 + c.turn) % nv.n WHERE role = 'user')",
         f"""jd AS (SELECT conv_id, turn, row_number() OVER o AS r, greatest(0.0, {', '.join(pairs)}) AS best FROM usr a WHERE NOT skip WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
 sh AS (SELECT conv_id, turn, CASE WHEN r = 1 THEN 1.0 ELSE best END AS sim, r > 1 AND best < 0.1 AS is_shift FROM jd UNION ALL SELECT conv_id, turn, 1.0, false FROM usr WHERE skip)""",
     )
@@ -290,15 +313,36 @@ shp AS (SELECT *, CASE WHEN g > 0.5 THEN least(1.0, g + (g - 0.5) * 0.45) ELSE g
   0.45 + {_nudge['confidence'].replace('question', 'query')} AS tc, 3.5 + {_nudge['entropy'].replace('question', 'query')} AS th FROM met),
 cmp AS (SELECT s.*, k.entropy AS sem, k.severity, k.repetition_score AS rep, q.is_low_quality, q.quality_issue_names, q.quality_score, o.p AS ov, greatest(0.0, least(1.0, k.entropy / 1.16 * 0.2)) AS semc
   FROM shp s JOIN content k USING (id) JOIN judged q USING (id) JOIN over o USING (id)),
+token_conf AS (SELECT m.id, CASE WHEN v.v IS NULL THEN NULL ELSE list_transform(range(1, m.tokens + 1), lambda i: 1 - 1.3 * abs(v.v[((i - 1) % len(v.v)) + 1])) END AS c
+  FROM (SELECT met.*, (conv_id * 8 + turn) % nv.n AS vi FROM met CROSS JOIN nv) m LEFT JOIN vec v ON v.id = m.vi),
+token_mean AS (SELECT id, c, len(c) AS n, list_avg(c) AS m, len(c) // 3 AS t FROM token_conf WHERE len(c) >= 10),
+token_marks AS (SELECT id, n, m, list_max(list_transform(range(2, n + 1), lambda i: CASE WHEN c[i - 1] - c[i] > 0.3 AND c[i] < m * 0.7 THEN c[i - 1] - c[i] END)) AS d,
+  list_sum(c[1:t]) / t AS f, list_sum(c[n - t + 1:n]) / t AS l, greatest(SIM3, SIM4, SIM5) AS sim FROM token_mean),
+token_pattern AS (SELECT id, d, CASE WHEN n > 20 AND f - l > 0.2 AND l < m * 0.8 THEN f - l END AS g, CASE WHEN n > 15 AND sim > 0.85 THEN sim - 0.85 END AS r FROM token_marks),
+unit_vec AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vec),
+held_vec AS (SELECT unit_vec.* FROM unit_vec LEFT JOIN labels ON doc_id = id WHERE NOT coalesce(quality = 0, false)),
+supports AS (SELECT q, max(list_dot_product(a.u, b.u)) > 0.3 AS supported FROM (SELECT DISTINCT (conv_id * 8 + turn) % nv.n AS q FROM met CROSS JOIN nv) JOIN unit_vec a ON a.id = q JOIN held_vec b ON b.id <> q GROUP BY q),
+cmp_known AS (SELECT c.*, greatest(coalesce(tp.d, 0), coalesce(tp.g, 0), coalesce(tp.r, 0)) AS psev, coalesce(supported, false) AS supported,
+  CASE WHEN tp.r IS NOT NULL THEN 'repetition' WHEN tp.g IS NOT NULL THEN 'degradation' WHEN tp.d IS NOT NULL THEN 'sudden_drop' END AS ptype
+  FROM cmp c CROSS JOIN nv LEFT JOIN token_pattern tp USING (id) LEFT JOIN supports ON q = (conv_id * 8 + turn) % nv.n),
 sco AS (SELECT *, sem > 1.65 OR semc > 0.28 OR severity > 0.05 OR (sem > 1.5 AND rep > 0.1) AS hall,
   greatest(0.0, least(1.0, greatest(0.0, least(1.0, (1 - sc) * 0.35)) + greatest(0.0, least(1.0, (1 - quality_score) * 0.25)) + greatest(0.0, least(1.0, sh / th * 0.15))
-    + greatest(0.0, least(1.0, sp / 25.0 * 0.15)) + semc + CASE WHEN turn > 2 THEN -0.1 ELSE 0 END)) AS score FROM cmp),
+    + greatest(0.0, least(1.0, sp / 25.0 * 0.15)) + semc + greatest(0.0, least(1.0, psev * 0.6)) + CASE WHEN supported THEN -0.1 ELSE 0 END)) AS score FROM cmp_known),
 ver AS (SELECT *, CASE WHEN sem > 2.0 OR hall THEN 'high_semantic_uncertainty'
   WHEN len(ov) > 0 THEN 'context_overflow_[' || array_to_string(list_transform(ov, lambda x: '''' || x || ''''), ', ') || ']'
-  WHEN tokens < 60 THEN 'acceptable' WHEN is_low_quality AND quality_score < 0.4 THEN 'low_quality_' || quality_issue_names
+  WHEN tokens < 60 THEN 'acceptable' WHEN ptype IS NOT NULL AND psev > 0.3 THEN 'pattern_detected_' || ptype WHEN is_low_quality AND quality_score < 0.4 THEN 'low_quality_' || quality_issue_names
   WHEN sc < tc * 0.7 THEN 'very_low_confidence' WHEN sh > th * 1.4 THEN 'extremely_high_entropy' WHEN sp > 25.0 * 1.5 THEN 'extremely_high_perplexity'
   WHEN score > 0.7 THEN 'high_uncertainty' ELSE 'acceptable' END AS reason FROM sco)"""
-VERDICT = with_(ANSWERED, TP.FULL_CONTENT, TP.FULL_QUALITY, TP.PHRASES, TP.OVERFLOW, JUDGED)
+
+
+def _similar(n: int) -> str:
+    gaps = " + ".join(f"abs(c[i + {j}] - c[i + {n + j}])" for j in range(n))
+    return f"list_max(list_transform(range(1, n - {2 * n} + 1), lambda i: 1 - ({gaps}) / {n}))"
+
+
+for _n in (3, 4, 5):
+    JUDGED = JUDGED.replace(f"SIM{_n}", _similar(_n))
+VERDICT = with_(VEC, "nv AS (SELECT count(*) AS n FROM vec)", ANSWERED, TP.FULL_CONTENT, TP.FULL_QUALITY, TP.PHRASES, TP.OVERFLOW, JUDGED)
 S["talk_hallucination"] = VERDICT + "SELECT hall AS is_likely_hallucination, count(*) AS n FROM ver GROUP BY 1"
 S["talk_verdicts"] = VERDICT + f"SELECT conv_id, turn, reason <> 'acceptable' AS should_filter, reason, {r6s('score')} AS uncertainty_score, hall AS is_likely_hallucination FROM ver"
 _goes = _go.replace("text", "query") + " OR turn > 4"

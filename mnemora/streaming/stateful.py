@@ -29,7 +29,7 @@ def stream_topic_shifts(
     turns: DataFrame, key: str, order: str, text: str = "text", vec: str = "embedding", threshold: float = 0.35, ring: int = 3
 ) -> DataFrame:
     """``key, order, is_shift, similarity``: the same rule as the batch operator, with the ring as state."""
-    skip = F.coalesce(asks_to_continue(F.col(text)) | asks_to_exit(F.col(text)), F.lit(False))
+    skip = F.coalesce(asks_to_continue(F.col(text)) | asks_to_exit(F.col(text)), F.lit(False)) | F.col(vec).isNull()
     rows = turns.select(key, order, skip.alias("skip"), F.col(vec).cast("array<double>").alias("vec"))
     key_type, order_type = (rows.schema[c].dataType.simpleString() for c in (key, order))
 

@@ -81,3 +81,25 @@ def test_sharpening_golden(spark):
     df = spark.createDataFrame([(p,) for p in (0.3, 0.4, 0.5, 0.6, 0.7)], "p double")
     got = [round(r[0], 6) for r in df.select(C.sharpen_probability(F.col("p"), 0.5)).collect()]
     assert got == [0.2, 0.35, 0.5, 0.65, 0.8]
+
+
+def test_pattern_of_one_answer_equals_the_series(spark):
+    """The array form and the series form agree, and both see all three kinds."""
+    from mnemora.functions.confidence import confidence_pattern
+
+    rng = random.Random(8)
+    answers = [[rng.random() for _ in range(n)] for n in (0, 1, 9, 10, 11, 15, 16, 20, 21, 22, 40, 64, 200)]
+    answers += [[0.95 - 0.6 * (i > 20) * (i % 3 > 0) + 0.001 * rng.random() for i in range(40)], [0.9 - 0.02 * i for i in range(40)]]
+    answers += [[0.9 * (i % 2) + 0.05 for i in range(12)], [0.9] * 11 + [0.1], [0.9] * 14 + [0.2, 0.9, 0.1]]
+    rows = [(k, i, v) for k, vs in enumerate(answers) for i, v in enumerate(vs)]
+    long = spark.createDataFrame(rows, "k int, i int, v double")
+    wide = spark.createDataFrame([(k, vs) for k, vs in enumerate(answers)], "k int, vs array<double>")
+    names = ["pattern_type", "severity", "drop_size", "degradation", "repetition"]
+    for floor_third in (True, False):
+        one = {r["k"]: tuple(r["p"]) for r in wide.select("k", confidence_pattern(F.col("vs"), floor_third).alias("p")).collect()}
+        many = series.confidence_patterns(long, ["k"], ["i"], None, "v", floor_third=floor_third)
+        two = {r["k"]: tuple(r[c] for c in names) for r in many.collect()}
+        for k, got in one.items():
+            want = two.get(k, (None, 0.0, None, None, None))
+            assert got[0] == want[0] and got[1:] == pytest.approx(want[1:]), (k, floor_third)
+    assert {p[0] for p in one.values()} >= {"sudden_drop", "repetition"} and any(p[3] for p in one.values())
