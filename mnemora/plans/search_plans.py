@@ -10,6 +10,7 @@ from mnemora.functions.arrays import r6
 from mnemora.operators import analytics as A
 from mnemora.operators import search as R
 from mnemora.operators.levels import level_parameters, with_levels
+from mnemora.operators.term_join import best_text_similarity as best_text_similarity_of
 from mnemora.plans import inputs
 from mnemora.plans.text_plans import W, r6s, with_
 
@@ -114,6 +115,16 @@ def multi_level(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("query_id", "rank", "item_id", "level", *[r6(F.col(n)).alias(n) for n in names], "hallucination_warning")
 
 
+def best_text_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every assistant turn against all live memories, flagged ones at their penalty."""
+    talk = inputs.turns(spark, folder).where("role = 'assistant'")
+    answers = talk.select(F.struct("conv_id", "turn").alias("id"), "text")
+    weight = F.when(F.col("hallucination_detected"), F.col("reliability_penalty")).otherwise(1.0)
+    memories = inputs.items(spark, folder).where("not deleted").select("id", F.col("content").alias("text"), weight.alias("similarity"))
+    out = best_text_similarity_of(answers, memories)
+    return out.select("id.conv_id", "id.turn", r6(F.col("text_similarity")).alias("text_similarity"))
+
+
 def diversity(spark: SparkSession, folder: str) -> DataFrame:
     """Greedy choice among the merged hits before any cut."""
     found = R.merge_levels(_scored(spark, folder)).join(inputs.items(spark, folder).select(F.col("id").alias("item_id"), "content"), "item_id")
@@ -226,6 +237,7 @@ Q.update(
     search_cross_level_boost=verified,
     search_multi_level=multi_level,
     search_diversity=diversity,
+    search_best_text_similarity=best_text_similarity,
     search_text_distance=text_distances,
     search_deduplicated=deduplicated,
     search_metadata_filter=metadata_filter,
@@ -378,6 +390,13 @@ S["search_text_distance"] = with_(
 n AS (SELECT doc_id, len(a) + len(b) - len(list_intersect(a, b)) AS u, len(list_intersect(a, b)) AS i, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS ix FROM t)"""
 ) + f"""SELECT doc_id, {r6s('CASE WHEN u = 0 THEN 0.0 ELSE 1.0 - i::DOUBLE / u END')} AS distance,
 {r6s('CASE WHEN nx > 0 AND ny > 0 THEN ix::DOUBLE / (nx + ny - ix) * 0.8 ELSE 0.0 END')} AS term_similarity FROM n"""
+S["search_best_text_similarity"] = with_(
+    r"""a AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(regexp_replace(lower(text), '[\x{C0}-\x{24F}]', '_', 'g'), '\b[A-Za-z]{3,}\b')) AS x FROM conversations WHERE role = 'assistant'),
+m AS (SELECT CASE WHEN coalesce(l.toxic = 1, false) THEN 0.7 ELSE 1.0 END AS w, list_distinct(regexp_extract_all(regexp_replace(lower(text), '[\x{C0}-\x{24F}]', '_', 'g'), '\b[A-Za-z]{3,}\b')) AS y
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE NOT coalesce(l.quality = 0, false)),
+p AS (SELECT conv_id, turn, w, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS i FROM a, m WHERE len(x) > 0 AND len(y) > 0),
+b AS (SELECT conv_id, turn, max(i::DOUBLE / (nx + ny - i) * w) AS s FROM p GROUP BY ALL)"""
+) + f"SELECT a.conv_id, a.turn, {r6s('coalesce(s, 0.0)')} AS text_similarity FROM a LEFT JOIN b USING (conv_id, turn)"
 S["search_deduplicated"] = with_(
     r"""k AS (SELECT doc_id, n_chars, regexp_replace(lower(trim(text, ' ' || chr(10))), '[^\p{L}\p{N}_]+', ' ', 'g') AS k FROM documents),
 r AS (SELECT doc_id, row_number() OVER (PARTITION BY k ORDER BY n_chars, doc_id) AS r FROM k)"""

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from mnemora.functions import blocks as B
 from mnemora.functions import vectors as V
 from mnemora.functions.arrays import r6
-from mnemora.operators import store
+from mnemora.operators import retrieval, store
 from mnemora.operators.levels import with_levels
 from mnemora.plans import inputs
 from mnemora.plans.classify_plans import _closed, _form, _low, category_sql
+from mnemora.plans.search_plans import S as SEARCH
 from mnemora.plans.text_plans import r6s, with_
 from mnemora.session import scratch_dir
+from mnemora.sources.buckets import BucketedTable
 from mnemora.sources.tables import table
 from mnemora.sources.versions import VersionedStore
 
@@ -131,6 +133,16 @@ def retrievals(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("id", "retrieval_count", F.date_format("last_access", "yyyy-MM-dd").alias("last_access"))
 
 
+def counted_searches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every label's mean vector is searched twice in a stored memory, which counts what it returns."""
+    fresh = {"retrieval_count": F.lit(0).cast("bigint"), "last_access": F.lit(None).cast("timestamp")}
+    rows = inputs.items(spark, folder).withColumns(fresh)
+    memory_table = BucketedTable.create(rows, scratch_dir(spark, "memory"))
+    for _ in range(2):
+        retrieval.retrieve(memory_table, inputs.label_centroids(spark, folder), inputs.DIM, _now())
+    return memory_table.read().select("id", "retrieval_count", F.date_format("last_access", "yyyy-MM-dd").alias("last_access"))
+
+
 def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     items = memory(spark, folder).select("id", "content", "embedding", "retrieval_count", "deleted")
     texts = store.to_json(items)
@@ -197,6 +209,7 @@ Q.update(
     store_rebuilt_levels=rebuilt_levels,
     store_stats=stats,
     store_retrievals=retrievals,
+    store_counted_searches=counted_searches,
     store_json_round_trip=json_round_trip,
     store_recent_owners=recent_owners,
     store_saved_and_loaded=saved_and_loaded,
@@ -229,6 +242,10 @@ S["store_stats"] = with_(MEM) + """SELECT 'total_items' AS metric, count(*) AS v
 UNION ALL SELECT 'index_size', count(v) FROM mem UNION ALL SELECT 'index_dimension', max(len(v)) FROM mem UNION ALL SELECT k, count(*) FROM mem, (VALUES ('level_1_size'), ('level_2_size'), ('level_3_size')) t(k) WHERE v IS NOT NULL GROUP BY k"""
 S["store_retrievals"] = with_(MEM, "use AS (SELECT user_id, count(*) AS c FROM events GROUP BY 1)") + """SELECT id, CASE WHEN c IS NOT NULL AND NOT deleted THEN c ELSE 0 END AS retrieval_count,
 CASE WHEN c IS NOT NULL AND NOT deleted THEN '2024-02-01' END AS last_access FROM mem LEFT JOIN use ON use.user_id = mem.n"""
+# The memory holds documents only, so vectors without one take no slots.
+_within = SEARCH["search_multi_level"].replace(" AS u FROM vec)", " AS u FROM vec WHERE id IN (SELECT doc_id FROM documents))", 1)
+S["store_counted_searches"] = f"""WITH found AS (SELECT item_id, count(*) AS n FROM ({_within}) GROUP BY item_id)
+SELECT doc_id AS id, coalesce(2 * n, 0)::BIGINT AS retrieval_count, CASE WHEN n > 0 THEN '2024-02-01' END AS last_access FROM documents LEFT JOIN found ON item_id = doc_id"""
 S["store_json_round_trip"] = with_(MEM) + "SELECT id, md5(content) AS digest, 0::BIGINT AS retrieval_count, deleted FROM mem"
 S["store_recent_owners"] = with_("u AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY last DESC, user_id) AS recency FROM u)") + "SELECT user_id, recency, strftime(last, '%Y-%m-%d %H:%M:%S') AS last_used FROM r WHERE recency <= 5"
 S["store_saved_and_loaded"] = with_(MEM) + "SELECT id, md5(content) AS digest, CASE WHEN v IS NOT NULL THEN 2 ELSE 0 END::BIGINT AS n_levels FROM mem WHERE NOT deleted"
