@@ -69,18 +69,23 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def token_rows(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, start, length, ids of every piece; a longer document is cut at multiples of the capacity."""
+    """doc_id, start, length, ids of every piece; a longer document is cut at multiples of the capacity.
+
+    Ids take two bytes where the vocabulary allows it; a piece's own length tells which.
+    """
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(path), np.array([END], dtype="<u4").tobytes()
+        encoder = Encoder.of(path)
+        end = np.array([END], dtype=encoder.dtype).tobytes()
+        width = len(end)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 ids = batch.column("doc_id").slice(at, 256).to_pylist()
                 texts = [t or "" for t in batch.column("text").slice(at, 256).to_pylist()]
                 rows = [
-                    (doc_id, start // 4, min(len(raw) - start, 4 * CAPACITY) // 4, raw[start : start + 4 * CAPACITY])
+                    (doc_id, start // width, min(len(raw) - start, width * CAPACITY) // width, raw[start : start + width * CAPACITY])
                     for doc_id, raw in zip(ids, (x + end for x in encoder.encode(texts)), strict=True)
-                    for start in range(0, len(raw), 4 * CAPACITY)
+                    for start in range(0, len(raw), width * CAPACITY)
                 ]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -95,28 +100,46 @@ PACKED = (
 )
 
 
+def _rows(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    flat = np.ascontiguousarray(matrix)
+    offsets = np.arange(len(flat) + 1, dtype=np.int32) * (flat.shape[1] * flat.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
 def _packed(table: pa.Table) -> pa.Table:
     order = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
-    lengths = np.asarray(order["length"])
-    sequences = best_fit(lengths)
-    doc_ids, starts, ids = order["doc_id"].to_pylist(), order["start"].to_pylist(), order["ids"].to_pylist()
-    matrix, positions, ends = [], [], []
-    for pieces in sequences:
-        flat = np.frombuffer(b"".join(ids[p] for p in pieces), dtype="<u4")
-        place = np.concatenate([np.arange(lengths[p], dtype="<u4") for p in pieces])
-        gap = (0, CAPACITY - len(flat))
-        matrix.append(np.pad(flat, gap, constant_values=PAD).tobytes())
-        positions.append(np.pad(place, gap).tobytes())
-        ends.append(np.concatenate([[0], np.cumsum(lengths[pieces])]).astype(np.int32))
+    sequences = best_fit(np.asarray(order["length"]))
+    taken = np.concatenate(sequences)
+    pieces = order.take(pa.array(taken)).combine_chunks()
+    sizes = np.array([len(s) for s in sequences])
+    lengths, first = np.asarray(pieces["length"]), np.concatenate([[0], np.cumsum(sizes)])
+    sequence = np.repeat(np.arange(len(sequences)), sizes)
+    # Where each piece starts, in all pieces and in its sequence.
+    starts = np.cumsum(lengths) - lengths
+    offsets = starts - starts[first[:-1]][sequence]
+    raw = np.frombuffer(b"".join(pieces["ids"].to_pylist()), dtype=np.uint8)
+    flat = raw.view("<u2" if len(raw) == 2 * lengths.sum() else "<u4")
+    place = np.arange(len(flat)) - np.repeat(starts, lengths)
+    cell = place + np.repeat(sequence * CAPACITY + offsets, lengths)
+    matrix, positions = (np.full(len(sequences) * CAPACITY, fill, dtype="<u4") for fill in (PAD, 0))
+    matrix[cell], positions[cell] = flat, place
+    # The cumulative lengths of each sequence, one more than it has pieces.
+    ends = np.zeros(len(lengths) + len(sequences), dtype=np.int32)
+    ends[np.arange(len(lengths)) + sequence + 1] = offsets + lengths
     return pa.table(
         {
             "block": pa.array(np.full(len(sequences), order["block"][0].as_py()), pa.int32()),
             "sequence": pa.array(range(len(sequences)), pa.int32()),
-            "doc_ids": pa.array([[doc_ids[p] for p in s] for s in sequences], pa.list_(pa.int64())),
-            "starts": pa.array([[starts[p] for p in s] for s in sequences], pa.list_(pa.int64())),
-            "cu_seqlens": pa.array(ends, pa.list_(pa.int32())),
-            "ids": pa.array(matrix, pa.binary()),
-            "positions": pa.array(positions, pa.binary()),
+            "doc_ids": _lists(pieces["doc_id"].combine_chunks(), first),
+            "starts": _lists(pieces["start"].combine_chunks(), first),
+            "cu_seqlens": _lists(pa.array(ends), first + np.arange(len(first))),
+            "ids": _rows(matrix.reshape(-1, CAPACITY)),
+            "positions": _rows(positions.reshape(-1, CAPACITY)),
         }
     )
 
@@ -133,7 +156,9 @@ def packed_matrices(docs: DataFrame, path: str | None = None) -> DataFrame:
     pieces = saved(token_rows(docs, path or default_path()), "token-rows")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     blocks = max(1, round(total / BLOCK_TOKENS))
-    block = F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(blocks)).cast("int")
+    # Rows that are equal in all of this are told apart by their place in the written table.
+    number = F.monotonically_increasing_id()
+    block = F.pmod(F.xxhash64("doc_id", "start", "ids", number), F.lit(blocks)).cast("int")
     return pieces.withColumn("block", block).groupBy("block").applyInArrow(_packed, PACKED)
 
 

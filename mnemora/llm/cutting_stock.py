@@ -152,7 +152,7 @@ def cut_pieces(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 texts = [t or "" for t in batch.column("text").slice(at, 256).to_pylist()]
                 rows = []
                 for doc_id, raw in zip(ids, encoder.encode(texts), strict=True):
-                    raw += END
+                    raw = np.frombuffer(raw, dtype=encoder.dtype).astype("<u4").tobytes() + END
                     for start in range(0, len(raw), 4 * CAPACITY):
                         piece = raw[start : start + 4 * CAPACITY]
                         row = (doc_id, start // 4, len(piece) // 4, crc32(piece), len(raw) // 4)

@@ -16,7 +16,10 @@ SPECIAL = "<|endoftext|>"
 # Splits before a word's leading space and around white space, which the vocabulary's own splitting
 # does as well: each chunk can be encoded by itself.
 CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-MAX_CACHED = 1_000_000
+# Bytes that the cached chunks of one worker may take, and the longest chunk that is kept between batches.
+CACHE_BYTES, CACHED_LENGTH = 48 * 1024 * 1024, 64
+# What a chunk takes besides its characters and ids: two objects and its place in the table.
+ENTRY_BYTES = 200
 
 
 def default_path() -> str:
@@ -26,8 +29,8 @@ def default_path() -> str:
 class Encoder:
     """Ids of texts, with the ids of frequent chunks kept between texts.
 
-    The cache takes the first ``MAX_CACHED`` chunks a worker meets, which hold the frequent ones; it saves
-    time and changes no result.
+    The cache has a young and an old half of bounded size: when the young one is full it becomes the old one, and chunks that are met
+    again come back from there, so the frequent ones stay. It saves time and changes no result.
     """
 
     _open: dict[str, Encoder] = {}
@@ -35,7 +38,11 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        # Ids of a vocabulary up to 65,536 entries fit two bytes.
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bytes = 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -46,21 +53,27 @@ class Encoder:
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
+
+    def _known(self, chunks: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """A table that holds all these chunks, and those of them that are not kept."""
+        missing = chunks.difference(self.young)
+        found = {c: self.old[c] for c in missing if c in self.old}
+        new = [c for c in missing if c not in found]
+        found.update(zip(new, self._raw(new), strict=True))
+        self.young.update(found)
+        self.bytes += sum(len(c) + len(ids) + ENTRY_BYTES for c, ids in found.items() if len(c) <= CACHED_LENGTH)
+        return self.young, [c for c in found if len(c) > CACHED_LENGTH]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """The ids of each text as little-endian integers of ``dtype``."""
         chunks = [[] if SPECIAL in t else CHUNK.findall(t) for t in texts]
-        cache = self.cache
-        missing = list(set().union(*chunks).difference(cache))
-        new = dict(zip(missing, self._raw(missing), strict=True))
-        if len(cache) < MAX_CACHED:
-            cache.update(new)
-        new = {c: ids for c, ids in new.items() if c not in cache}
-        if new:
-            out = [b"".join([cache.get(c) or new[c] for c in row]) for row in chunks]
-        else:
-            out = [b"".join(map(cache.__getitem__, row)) for row in chunks]
+        table, passing = self._known(set().union(*chunks))
+        out = [b"".join(map(table.__getitem__, row)) for row in chunks]
+        for c in passing:
+            del table[c]
+        if self.bytes > CACHE_BYTES // 2:
+            self.old, self.young, self.bytes = self.young, {}, 0
         whole = [i for i, t in enumerate(texts) if SPECIAL in t]
         for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = ids

@@ -365,3 +365,33 @@ def test_words_split_alike():
         assert "".join(byte_bpe.split_words(t)) == t
         if "\x1c" not in t and "\x85" not in t:
             assert byte_bpe.split_words(t) == regex.findall(public_tokenizers.PATTERN, t)
+
+
+def test_an_id_with_several_texts_has_the_links_of_all_of_them(spark):
+    """Each id has two texts; each text has a near copy under another id, and an exact one now and then."""
+    said = lambda seed, n=60: " ".join(f"w{(seed * 7919 + k * k * 31) % 100_003}" for k in range(n))
+    rows = []
+    for i in range(20):
+        rows += [(i, said(2 * i)), (i, said(2 * i + 1)), (100 + i, said(2 * i) + " and a tail"), (200 + i, said(2 * i + 1) + " or so")]
+        rows += [(300 + i, said(2 * i + 1))] if i % 3 == 0 else []
+    rows += [(400, said(0) + " and another"), (400, said(38) + " joins two groups")]
+    table = common.prepared(spark).createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, node bigint")
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates.linked_classes(table).collect()}
+    smallest = {i: i for i in range(20)} | {19: 0}
+    assert found == {i: 0 if i == 400 else smallest[i % 100] for i, _ in rows}
+
+
+def test_encoder_cache_is_bounded_and_changes_nothing(monkeypatch):
+    from mnemora.llm import tokens
+
+    path = tokens.default_path()
+    texts = [" ".join(f"chunk{i * j % 977}" for j in range(40)) + "x" * 300 for i in range(300)] + ["<|endoftext|> a b"]
+    plain = tokens.Encoder(path)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 30_000)
+    small = tokens.Encoder(path)
+    for at in range(0, len(texts), 7):
+        assert small.encode(texts[at : at + 7]) == [plain.encode([t])[0] for t in texts[at : at + 7]]
+        assert sum(len(c) + len(i) + tokens.ENTRY_BYTES for h in (small.young, small.old) for c, i in h.items()) < 60_000 + 2 * 15_000
+        assert max(map(len, small.young | small.old), default=0) <= tokens.CACHED_LENGTH
+    whole = plain.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert list(np.frombuffer(plain.encode(texts[:1])[0], dtype=plain.dtype)) == whole
