@@ -17,9 +17,16 @@ SPECIAL = "<|endoftext|>"
 # does as well: each chunk can be encoded by itself.
 CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 # Bytes that the cached chunks of one worker may take, and the longest chunk that is kept between batches.
-CACHE_BYTES, CACHED_LENGTH = 48 * 1024 * 1024, 64
+CACHE_BYTES, CACHED_LENGTH = 112 * 1024 * 1024, 64
 # What a chunk takes besides its characters and ids: two objects and its place in the table.
 ENTRY_BYTES = 200
+# A chunk without a leading blank is kept under this mark; other chunks are kept without their blank.
+BARE = "\0"
+# White space other than blanks and line feeds, and the mark.
+OTHER_SPACES = "\t\v-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNUSUAL = re.compile(f"[{OTHER_SPACES}{BARE}]")
+# Chunks that are encoded together, a line feed between each two.
+TOGETHER = 256
 
 
 def default_path() -> str:
@@ -40,6 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # Ids of a vocabulary up to 65,536 entries fit two bytes.
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.bytes = 0
@@ -55,19 +63,52 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
+    def _spaced(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that start with a blank and hold no other white space, many in one text.
+
+        The line feed between two chunks is a token by itself, and no other token holds its byte.
+        """
+        joined = ["\n".join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)]
+        out: list[bytes] = []
+        for found in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(found.ids, dtype=self.dtype)
+            raw, at = ids.tobytes(), 0
+            for cut in (np.flatnonzero(ids == self.feed) * ids.itemsize).tolist():
+                out.append(raw[at:cut])
+                at = cut + ids.itemsize
+            out.append(raw[at:])
+        return out
+
+    def _encoded(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of chunks by key: after ``BARE`` the chunk as it is, a line feed, else the chunk without its blank."""
+        plain = [k for k in keys if k and k != "\n" and k[0] != BARE]
+        found = dict(zip(plain, self._spaced([" " + k for k in plain]), strict=True)) if plain else {}
+        other = [k for k in keys if k not in found]
+        texts = [k[1:] if k[:1] == BARE else k or " " for k in other]
+        return found | dict(zip(other, self._raw(texts), strict=True))
+
     def _known(self, chunks: set[str]) -> tuple[dict[str, bytes], list[str]]:
         """A table that holds all these chunks, and those of them that are not kept."""
         missing = chunks.difference(self.young)
         found = {c: self.old[c] for c in missing if c in self.old}
-        new = [c for c in missing if c not in found]
-        found.update(zip(new, self._raw(new), strict=True))
+        found.update(self._encoded([c for c in missing if c not in found]))
         self.young.update(found)
         self.bytes += sum(len(c) + len(ids) + ENTRY_BYTES for c, ids in found.items() if len(c) <= CACHED_LENGTH)
         return self.young, [c for c in found if len(c) > CACHED_LENGTH]
 
+    def _chunks(self, text: str) -> list[str]:
+        """Keys of a text's chunks, in order."""
+        # White space that is not split into single characters needs the pattern.
+        if text.endswith("\n\n") or "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or UNUSUAL.search(text):
+            return [
+                c[1:] if c[0] == " " and not c.isspace() and c[1] != BARE else c if c == "\n" else BARE + c
+                for c in CHUNK.findall(text)
+            ]
+        return (BARE + text.replace("\n", f" \n {BARE}")).split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
-        chunks = [[] if SPECIAL in t else CHUNK.findall(t) for t in texts]
+        chunks = [[] if SPECIAL in t else self._chunks(t) for t in texts]
         table, passing = self._known(set().union(*chunks))
         out = [b"".join(map(table.__getitem__, row)) for row in chunks]
         for c in passing:
