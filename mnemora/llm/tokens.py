@@ -17,7 +17,7 @@ SPECIAL = "<|endoftext|>"
 # does as well: each chunk can be encoded by itself.
 CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 # Bytes that the cached chunks of one worker may take, and the longest chunk that is kept between batches.
-CACHE_BYTES, CACHED_LENGTH = 112 * 1024 * 1024, 64
+CACHE_BYTES, CACHED_LENGTH = 160 * 1024 * 1024, 64
 # What a chunk takes besides its characters and ids: two objects and its place in the table.
 ENTRY_BYTES = 200
 # A chunk without a leading blank is kept under this mark; other chunks are kept without their blank.
@@ -36,8 +36,8 @@ def default_path() -> str:
 class Encoder:
     """Ids of texts, with the ids of frequent chunks kept between texts.
 
-    The cache has a young and an old half of bounded size: when the young one is full it becomes the old one, and chunks that are met
-    again come back from there, so the frequent ones stay. It saves time and changes no result.
+    The cache takes the first chunks a worker meets, which hold the frequent ones, until its bytes are used up; it saves
+    time and changes no result.
     """
 
     _open: dict[str, Encoder] = {}
@@ -48,8 +48,7 @@ class Encoder:
         # Ids of a vocabulary up to 65,536 entries fit two bytes.
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
         self.bytes = 0
 
     @classmethod
@@ -87,14 +86,17 @@ class Encoder:
         texts = [k[1:] if k[:1] == BARE else k or " " for k in other]
         return found | dict(zip(other, self._raw(texts), strict=True))
 
-    def _known(self, chunks: set[str]) -> tuple[dict[str, bytes], list[str]]:
-        """A table that holds all these chunks, and those of them that are not kept."""
-        missing = chunks.difference(self.young)
-        found = {c: self.old[c] for c in missing if c in self.old}
-        found.update(self._encoded([c for c in missing if c not in found]))
-        self.young.update(found)
-        self.bytes += sum(len(c) + len(ids) + ENTRY_BYTES for c, ids in found.items() if len(c) <= CACHED_LENGTH)
-        return self.young, [c for c in found if len(c) > CACHED_LENGTH]
+    def _known(self, chunks: set[str]) -> list[str]:
+        """Put these chunks into the cache; returns those that cannot stay."""
+        missing = chunks.difference(self.cache)
+        passing = []
+        for c, ids in self._encoded(list(missing)).items():
+            self.cache[c] = ids
+            if len(c) > CACHED_LENGTH or self.bytes > CACHE_BYTES:
+                passing.append(c)
+            else:
+                self.bytes += len(c) + len(ids) + ENTRY_BYTES
+        return passing
 
     def _chunks(self, text: str) -> list[str]:
         """Keys of a text's chunks, in order."""
@@ -109,12 +111,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
         chunks = [[] if SPECIAL in t else self._chunks(t) for t in texts]
-        table, passing = self._known(set().union(*chunks))
-        out = [b"".join(map(table.__getitem__, row)) for row in chunks]
+        passing = self._known(set().union(*chunks))
+        out = [b"".join(map(self.cache.__getitem__, row)) for row in chunks]
         for c in passing:
-            del table[c]
-        if self.bytes > CACHE_BYTES // 2:
-            self.old, self.young, self.bytes = self.young, {}, 0
+            del self.cache[c]
         whole = [i for i, t in enumerate(texts) if SPECIAL in t]
         for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = ids

@@ -391,7 +391,11 @@ def test_encoder_cache_is_bounded_and_changes_nothing(monkeypatch):
     small = tokens.Encoder(path)
     for at in range(0, len(texts), 7):
         assert small.encode(texts[at : at + 7]) == [plain.encode([t])[0] for t in texts[at : at + 7]]
-        assert sum(len(c) + len(i) + tokens.ENTRY_BYTES for h in (small.young, small.old) for c, i in h.items()) < 60_000 + 2 * 15_000
-        assert max(map(len, small.young | small.old), default=0) <= tokens.CACHED_LENGTH
+        assert sum(len(c) + len(i) + tokens.ENTRY_BYTES for c, i in small.cache.items()) < 30_000 + 1_000
+        assert max(map(len, small.cache), default=0) <= tokens.CACHED_LENGTH
+    parts = [" ", "  ", "\n", "\t", "\r\n", "a", "bc", "É", "\xa0", "\0", "'s", "12", "!?", "\x1c", "\x85", "foo", "  \n", "\n\n", "漢字", "😀"]
+    rng = random.Random(3)
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(5000)] + ["\n\n", "a\n\n", " a", "a ", "\n"]
+    assert plain.encode(odd) == [np.array(x.ids, dtype=plain.dtype).tobytes() for x in plain.tokenizer.encode_batch(odd, add_special_tokens=False)]
     whole = plain.tokenizer.encode(texts[0], add_special_tokens=False).ids
     assert list(np.frombuffer(plain.encode(texts[:1])[0], dtype=plain.dtype)) == whole
