@@ -28,6 +28,9 @@ GAP, SMOOTHING, MAX_PIVOTS = 0.005, 0.9, 6000
 # Pieces ranked by one task; more pieces make more ranking groups.
 RANKED = 50_000
 
+# Bytes of a worker's token cache: workers go on to other stages of a pipeline with it.
+CACHE_BYTES = 48 * 1024 * 1024
+
 
 def knapsack(price: np.ndarray, width: np.ndarray, capacity: int) -> np.ndarray:
     """Counts of the most valuable filling by dynamic programming over the capacity."""
@@ -145,7 +148,7 @@ def cut_pieces(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     schema = pa.schema(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
+        encoder = Encoder.of(path, CACHE_BYTES)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 ids = batch.column("doc_id").slice(at, 256).to_pylist()

@@ -16,7 +16,7 @@ SPECIAL = "<|endoftext|>"
 # Splits before a word's leading space and around white space, which the vocabulary's own splitting
 # does as well: each chunk can be encoded by itself.
 CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-# Bytes that the cached chunks of one worker may take, and the longest chunk that is kept between batches.
+# Bytes that the cached chunks of one worker may take if nothing else is asked for, and the longest chunk that is kept between batches.
 CACHE_BYTES, CACHED_LENGTH = 160 * 1024 * 1024, 64
 # What a chunk takes besides its characters and ids: two objects and its place in the table.
 ENTRY_BYTES = 200
@@ -42,7 +42,8 @@ class Encoder:
 
     _open: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int | None = None):
+        self.most = CACHE_BYTES if cache_bytes is None else cache_bytes
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         # Ids of a vocabulary up to 65,536 entries fit two bytes.
@@ -52,10 +53,11 @@ class Encoder:
         self.bytes = 0
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        """One encoder for each worker and file."""
+    def of(cls, path: str, cache_bytes: int | None = None) -> Encoder:
+        """One encoder for each worker and file; it goes on with the cache that the worker has, up to the bound asked for last."""
         if path not in cls._open:
             cls._open[path] = cls(path)
+        cls._open[path].most = CACHE_BYTES if cache_bytes is None else cache_bytes
         return cls._open[path]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -92,7 +94,7 @@ class Encoder:
         passing = []
         for c, ids in self._encoded(list(missing)).items():
             self.cache[c] = ids
-            if len(c) > CACHED_LENGTH or self.bytes > CACHE_BYTES:
+            if len(c) > CACHED_LENGTH or self.bytes > self.most:
                 passing.append(c)
             else:
                 self.bytes += len(c) + len(ids) + ENTRY_BYTES
