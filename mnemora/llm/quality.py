@@ -67,13 +67,28 @@ def repeated_words(ids: np.ndarray, vocabulary: int) -> int:
     return int(covered.sum())
 
 
+def _measured(texts: pa.Array) -> np.ndarray:
+    return np.array([text_stats(t.as_py()) for t in texts], dtype=np.int64).reshape(-1, len(STATS))
+
+
 def stats(text: Column) -> Column:
     """A struct of ``STATS`` for each text, in Arrow batches."""
 
     @F.arrow_udf(STATS_TYPE)
     def measured(texts: pa.Array) -> pa.Array:
-        rows = np.array([text_stats(t.as_py()) for t in texts], dtype=np.int64).reshape(-1, len(STATS))
-        return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATS))], names=list(STATS))
+        return pa.StructArray.from_arrays([pa.array(c) for c in _measured(texts).T], names=list(STATS))
+
+    return measured(text)
+
+
+def scored_stats(text: Column, forest: Forest) -> Column:
+    """``stats`` with the forest's score as a further field ``anomaly``; one pass through a Python worker."""
+
+    @F.arrow_udf(STATS_TYPE[:-1] + ",anomaly:double>")
+    def measured(texts: pa.Array) -> pa.Array:
+        rows = _measured(texts)
+        columns = [*map(pa.array, rows.T), pa.array(forest.scores(features(rows)), pa.float64())]
+        return pa.StructArray.from_arrays(columns, names=[*STATS, "anomaly"])
 
     return measured(text)
 
@@ -152,9 +167,12 @@ def anomaly(s: Column, forest: Forest) -> Column:
 
 
 def fit_forest(measured: DataFrame) -> Forest:
-    """Fit on the ``SAMPLE_ROWS`` rows of smallest hash: a bounded sample, the same on every run."""
-    flat = measured.select("s.*")
-    sample = flat.orderBy(F.xxhash64(*STATS), *STATS).limit(SAMPLE_ROWS).toPandas()
+    """Fit on the ``SAMPLE_ROWS`` rows of smallest hash: a bounded sample, the same on every run.
+
+    The id is hashed too, so a large group of copies does not enter the sample as a whole.
+    """
+    flat = measured.select(F.xxhash64("doc_id", *[F.col(f"s.{c}") for c in STATS]).alias("_hash"), "s.*")
+    sample = flat.orderBy("_hash", *STATS).limit(SAMPLE_ROWS).toPandas()
     return Forest(features(sample[list(STATS)].to_numpy().reshape(-1, len(STATS))))
 
 
@@ -192,11 +210,9 @@ def fit(measured: DataFrame, labels: DataFrame) -> tuple[Forest, float]:
     return forest, calibrate([(r["bin"], r["good"], r["bad"]) for r in rows])
 
 
-def judged(measured: DataFrame, forest: Forest, threshold: float) -> DataFrame:
-    """Add base_failed, anomaly and kept to rows with a struct ``s`` of statistics."""
-    score = measured.withColumn("anomaly", anomaly(F.col("s"), forest))
-    failed = base_failed(F.col("s"))
-    return score.withColumns({"base_failed": failed, "kept": ~failed & (F.col("anomaly") < threshold)})
+def kept(s: Column, score: Column, threshold: float) -> Column:
+    """The verdict on a struct of statistics and its score."""
+    return ~base_failed(s) & (score < threshold)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -208,8 +224,13 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the base rules reject. Other columns of the input are ignored.
     """
     measured = saved(docs.select("doc_id", stats(F.col("text")).alias("s")), "quality-stats")
-    scored = judged(measured, *fit(measured, labels))
-    return scored.select("doc_id", *[F.col(f"s.{c}") for c in STATS[:5]], "base_failed", "anomaly", "kept")
+    forest, threshold = fit(measured, labels)
+    s = F.col("s")
+    scored = measured.withColumn("anomaly", anomaly(s, forest))
+    return scored.select(
+        "doc_id", *[F.col(f"s.{c}") for c in STATS[:5]],
+        base_failed(s).alias("base_failed"), "anomaly", kept(s, F.col("anomaly"), threshold).alias("kept"),
+    )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,5 +242,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     forest, threshold = fit(
         saved(docs.select("doc_id", stats(F.col("text")).alias("s")), "quality-stats"), labels
     )
-    rows = docs.select(F.struct("*").alias("row"), stats(F.col("text")).alias("s"))
-    return judged(rows, forest, threshold).where("kept").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), scored_stats(F.col("text"), forest).alias("s"))
+    return rows.where(kept(F.col("s"), F.col("s.anomaly"), threshold)).select("row.*")
