@@ -1,10 +1,9 @@
 """License scans: exact set-similarity join of text blocks with license templates, and fixed phrases.
 
-A block is a line of at most ``LINE_WORDS`` words, or any run of ``WINDOW`` times as many words as a
-template has distinct ones, at every place of the text and across line breaks. A template is found in
+A block is any run of ``WINDOW`` times as many words as a template has distinct ones, at every place
+of the text and across line breaks. A template is found in
 a block that contains at least ``CONTAINMENT`` of its distinct words. Only template words can be
-shared, so a block is reduced to those; the words are ordered by their frequency over all lines of
-the corpus. For a needed overlap of a words, a block can only match if one of its first |B| - a + 1
+shared, so a block is reduced to those; the words are ordered by the number of texts that hold them. For a needed overlap of a words, a block can only match if one of its first |B| - a + 1
 words is among the template's first |T| - a + 1 (prefix filter), if it has a words at all (length
 filter), and if enough words are left behind the first shared one (positional filter). The filters
 hold for the whole text as for each of its blocks, so the blocks of a text are looked at only for the
@@ -24,8 +23,6 @@ from pyspark.sql import functions as F
 CONTAINMENT = 0.9
 # Words of a window for each distinct word of its template: room for repeated words and comment marks.
 WINDOW = 2
-# A longer line is no block: words scattered over it are no license. Its windows are blocks.
-LINE_WORDS = 256
 # Phrases and their labels.
 PHRASES = (
     (b"cc by", "cc-by"),
@@ -94,19 +91,11 @@ class Index:
                     out.append((label, t, len(block & t)))
         return out
 
-    def found(self, line: list[bytes]) -> dict[str, float]:
-        """Labels with their containment for the words of one block."""
-        out: dict[str, float] = {}
-        for label, t, shared in self.passing(line):
-            out[label] = max(out.get(label, 0.0), shared / len(t))
-        return out
-
-    def found_in_text(self, lines: list[list[bytes]], words: list[bytes]) -> dict[str, float]:
-        """Labels with their best containment over all blocks of a text; ``words`` are those of its lines."""
+    def found(self, words: list[bytes]) -> dict[str, float]:
+        """Labels with their best containment over all blocks of a text."""
         out: dict[str, float] = {}
         for label, t, _ in self.passing(words):
-            short = (len(t.intersection(line)) for line in lines if needed(t) <= len(line) <= LINE_WORDS)
-            shared = max(most_in_window(words, t, WINDOW * len(t)), max(short, default=0))
+            shared = most_in_window(words, t, WINDOW * len(t))
             if shared >= needed(t):
                 out[label] = max(out.get(label, 0.0), shared / len(t))
         return out
@@ -132,15 +121,14 @@ def needed(template: frozenset[bytes]) -> int:
 
 
 def word_frequency(docs: DataFrame, templates: list[tuple[str, frozenset[bytes]]]) -> dict[bytes, int]:
-    """In how many blocks of the corpus each template word stands; as many rows as there are such words."""
+    """In how many texts of the corpus each template word stands; as many rows as there are such words."""
     words = frozenset().union(*[t for _, t in templates]) if templates else frozenset()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column("text"):
-                for line in (text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n"):
-                    counts.update(words.intersection(words_of(line)))
+                counts.update(words.intersection(words_of((text.as_py() or "").encode("utf-8", "surrogatepass"))))
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
         )
@@ -185,9 +173,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
     def row(doc_id: int | None, text: str | None, index: Index) -> tuple:
         raw = (text or "").encode("utf-8", "surrogatepass")
-        lines = [words_of(line) for line in raw.split(b"\n")]
-        words = [w for line in lines for w in line]
-        found = index.found_in_text(lines, words)
+        words = words_of(raw)
+        found = index.found(words)
         places, base = [], set()
         lower = raw.lower()
         for phrase, label in phrases:
