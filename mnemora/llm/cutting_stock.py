@@ -179,7 +179,9 @@ def _slots(found: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int
 
 
 def packed(pieces: DataFrame) -> DataFrame:
-    """Add sequence_id and offset to pieces with doc_id, start, length; other columns stay."""
+    """Add sequence_id and offset to written pieces with doc_id, start, length, ids_crc32 and a row number
+    ``_number``, which goes; other columns stay.
+    """
     spark = pieces.sparkSession
     size = F.ceil(F.col("length") / UNIT).cast("int")
     pieces = pieces.withColumn("_class", size)
@@ -191,7 +193,8 @@ def packed(pieces: DataFrame) -> DataFrame:
 
     # Ranks within a class: within (class, group) by a window, plus the sizes of the groups before.
     order = ["doc_id", "start", "ids_crc32"]
-    mixed = pieces.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)))
+    # The number tells equal rows apart, so that many repeats of one row are dealt over the groups too.
+    mixed = pieces.withColumn("_group", F.pmod(F.xxhash64(*order, "_number"), F.lit(groups)))
     before = Window.partitionBy("_class").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     sizes = mixed.groupBy("_class", "_group").agg(F.count("*").alias("_n"))
     starts = sizes.select("_class", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -210,7 +213,7 @@ def packed(pieces: DataFrame) -> DataFrame:
     )
     ahead = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(ahead), F.lit(0))
-    internal = ["_class", "_group", "_start", "_rank", "_from", "_to", "_each", "_first", "_slot"]
+    internal = ["_number", "_class", "_group", "_start", "_rank", "_from", "_to", "_each", "_first", "_slot"]
     return placed.withColumn("offset", offset).drop(*internal)
 
 
@@ -221,4 +224,5 @@ def pack_documents(docs: DataFrame, path: str | None = None, with_ids: bool = Fa
     others, ties are broken by the ids' checksum. Other columns are ignored, no documents give
     no pieces. Sequences lose at most ``UNIT`` - 1 tokens per piece to rounding.
     """
-    return packed(saved(cut_pieces(docs, path or default_path(), with_ids), "pieces"))
+    pieces = cut_pieces(docs, path or default_path(), with_ids)
+    return packed(saved(pieces.withColumn("_number", F.monotonically_increasing_id()), "pieces"))
