@@ -20,8 +20,9 @@ from mnemora.llm.common import saved
 
 # The pivots are a bounded sample of each vector length; every vector is indexed.
 PIVOTS, DEPTH, POSTED, VISITED = 256, 48, 4, 64
-# Share of a file that is compared exactly, and the least number.
-RERANKED, LEAST_RERANKED = 0.25, 64
+# Share of a file that is compared exactly for vectors up to SHARE_DIM components, and the least number.
+# Permutations tell less about longer vectors, so the share grows with their length.
+RERANKED, SHARE_DIM, LEAST_RERANKED = 0.25, 64, 64
 # Rows of a file and queries that meet in one task; longer ones are cut into blocks.
 FILE_ROWS, FILE_QUERIES = 20_000, 2_000
 KEY = ["dim", "pivot", "block", "query_block"]
@@ -49,7 +50,7 @@ def ranks(order: np.ndarray, pivots: int) -> np.ndarray:
     return out
 
 
-def posted(classes: DataFrame, pivots: dict[int, np.ndarray], files: int) -> DataFrame:
+def posted(classes: DataFrame, pivots: dict[int, np.ndarray], files: int, depth: int) -> DataFrame:
     """One row per class and file: dim, pivot, class, order, embedding."""
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,7 +59,7 @@ def posted(classes: DataFrame, pivots: dict[int, np.ndarray], files: int) -> Dat
                 p = pivots.get(int(dim))
                 if p is None:  # only if the sample missed a rare dimension
                     p = np.zeros((1, int(dim)))
-                order = permutations(np.stack(part["embedding"].to_numpy()), p, DEPTH)
+                order = permutations(np.stack(part["embedding"].to_numpy()), p, depth)
                 each = min(files, order.shape[1])
                 yield pd.DataFrame(
                     {
@@ -79,7 +80,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten()).reshape(len(flat), -1)
 
 
-def _search(k: int, pivots: int):
+def _search(k: int, pivots: int, exact: bool):
     """Best k classes of one file block for each query of one query block."""
 
     def search(queries: pa.Table, file: pa.Table) -> pa.Table:
@@ -87,7 +88,8 @@ def _search(k: int, pivots: int):
         if len(queries) and len(file):
             rows, ids = _matrix(file["embedding"]), np.asarray(file["class"])
             places = ranks(_matrix(file["order"]), pivots)
-            keep = min(len(rows), max(LEAST_RERANKED, int(len(rows) * RERANKED)))
+            share = 1.0 if exact else RERANKED * max(1.0, rows.shape[1] / SHARE_DIM)
+            keep = min(len(rows), max(LEAST_RERANKED, int(len(rows) * share)))
             asked = zip(
                 np.asarray(queries["class"]), _matrix(queries["embedding"]),
                 ranks(_matrix(queries["order"]), pivots), strict=True,
@@ -107,13 +109,16 @@ def _search(k: int, pivots: int):
     return search
 
 
-def nearest(vectors: DataFrame, query_step: int = 100, k: int = 10) -> DataFrame:
+def nearest(vectors: DataFrame, query_step: int = 100, k: int = 10, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose vec_id divides by ``query_step``.
 
     Equal vectors form one class, which is indexed once. Of a class only the k + 1 smallest ids can be
     among anyone's nearest, since ties go to the smaller id and a query leaves out at most its own; so
     no group of copies is expanded. Classes whose file is long are cut into blocks, and so are queries.
 
+    With ``exact`` each vector is posted once, a query visits the files of all pivots and everything in them
+    is compared, so nothing near is missed; the work is that of comparing all queries with all rows.
+
     Vectors that are null, zero or have null or non-finite components take no part, nor do rows of
     null id. Vectors of different lengths are never neighbours. Repeated rows count once; a table with
     fewer than k others gives all of them; an empty one gives an empty result.
@@ -136,8 +141,9 @@ def nearest(vectors: DataFrame, query_step: int = 100, k: int = 10) -> DataFrame
         by_dim.setdefault(len(r["embedding"]), []).append(r["embedding"])
     pivots = {d: np.array(p, dtype=np.float64) for d, p in by_dim.items()}
 
-    files = saved(posted(classes, pivots, POSTED), "files")
-    visits = posted(classes.join(asked.select("class").distinct(), "class", "left_semi"), pivots, VISITED)
+    depth, posts, visited = (PIVOTS, 1, PIVOTS) if exact else (DEPTH, POSTED, VISITED)
+    files = saved(posted(classes, pivots, posts, depth), "files")
+    visits = posted(classes.join(asked.select("class").distinct(), "class", "left_semi"), pivots, visited, depth)
     visits = saved(visits, "visits")
 
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
@@ -154,7 +160,7 @@ def nearest(vectors: DataFrame, query_step: int = 100, k: int = 10) -> DataFrame
         left.select(*columns)
         .groupBy(*KEY)
         .cogroup(right.select(*columns).groupBy(*KEY))
-        .applyInArrow(_search(k + 1, PIVOTS), "query bigint, class bigint, score double")
+        .applyInArrow(_search(k + 1, PIVOTS, exact), "query bigint, class bigint, score double")
     )
     top = Window.partitionBy("query").orderBy("score", "class")
     best = (

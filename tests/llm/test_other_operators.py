@@ -134,6 +134,17 @@ def test_a_rare_length_has_its_own_pivots(spark):
     assert total == 40 and hits >= 0.8 * total
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_recall_of_long_vectors(spark, exact):
+    x = np.random.default_rng(4).normal(0, 1, (4000, 256))
+    table = prepared(spark).createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = permutation_index.nearest(table, 200, exact=exact).toPandas()
+    hits = 0
+    for q, got in found.groupby("query_id"):
+        hits += len(set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11]) & set(got["vec_id"]))
+    assert len(found) == 200 and hits >= (200 if exact else 180)
+
+
 def test_recall_on_the_table(spark):
     folder = "/root/testdata/sf0.1"
     table = prepared(spark).read.parquet(f"{folder}/embeddings.parquet")

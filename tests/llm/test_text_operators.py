@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from mnemora.llm import best_fit, byte_bpe, common, cutting_stock, identifiers, licenses, near_duplicates, quality
+from mnemora.llm import best_fit, byte_bpe, common, cutting_stock, graph, identifiers, licenses, near_duplicates, quality
 from mnemora.llm.common import prepared
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -298,7 +298,7 @@ def test_license_index_finds_every_block_over_the_threshold():
         base = list(rng.choice(sets)[1])
         block = rng.sample(base, rng.randint(len(base) * 3 // 4, len(base))) + rng.choices(words, k=rng.randrange(20))
         want = {label for label, t in sets if len(t & set(block)) >= licenses.needed(t)}
-        assert set(index.found(block)) == want
+        assert {label for label, _, _ in index.passing(block)} == want
 
 
 WRAPPED = {
@@ -327,16 +327,48 @@ def test_license_windows_match_brute_force():
         words = rng.sample(sorted(base), len(base)) + [b"filler"] * rng.randrange(2 * len(base))
         rng.shuffle(words)
         words = [b"filler"] * rng.randrange(30) + words + rng.choices(sorted(base), k=rng.randrange(9))
-        cut = rng.randrange(len(words))
-        lines = [words[:cut], words[cut:]]
         want = {}
         for label, t in sets:
             width = licenses.WINDOW * len(t)
-            blocks = [*lines, *(words[i : i + width] for i in range(len(words)))]
+            blocks = [words[i : i + width] for i in range(len(words))]
             most = max(len(t.intersection(b)) for b in blocks)
             if most >= licenses.needed(t):
                 want[label] = max(want.get(label, 0), most / len(t))
-        assert index.found_in_text(lines, words) == want
+        assert index.found(words) == want
+
+
+def test_license_labels_do_not_depend_on_the_length_of_a_line():
+    index = licenses.Index(licenses.template_sets(), {})
+    template = licenses.words_of(b"Permission is hereby granted free of charge to any person obtaining a copy of this software")
+    spread = [[w, *[b"filler"] * 16] for w in template]
+    for total in (255, 256, 257, 1000):
+        line = sum(spread, [])[:total] + [b"filler"] * (total - 17 * len(template))
+        assert index.found(line) == {}
+        assert index.found(line + template) == {"mit": 1.0}
+
+
+def test_quality_is_the_same_in_one_pass_and_in_two(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["red", "blue", "green", "#", "tree", "house"], k=rng.randrange(40, 120))) for _ in range(300)]
+    rows = [(i, t, "a") for i, t in enumerate(texts)] + [(None, None, "b"), (7, "", "c")]
+    docs = prepared(spark).createDataFrame(rows, "doc_id bigint, text string, s string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
+    report = quality.quality_report(docs, labels).where("kept").groupBy("doc_id").count().collect()
+    stays = quality.keep_good(docs, labels).groupBy("doc_id").count().collect()
+    assert sorted(map(tuple, stays)) == sorted(map(tuple, report)) and 20 < len(report) < 300
+
+
+def test_repeats_of_one_piece_are_dealt_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(cutting_stock, "RANKED", 50)
+    docs = prepared(spark).range(400).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text", "id AS _number")
+    found = cutting_stock.pack_documents(docs).collect()
+    assert len(found) == 400 and len({(r["sequence_id"], r["offset"]) for r in found}) == 400
+    assert all(r["length"] == 1 and 0 <= r["offset"] < 2048 for r in found)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = prepared(spark).range(300).selectExpr("id AS u", "id + 1 AS v")
+    assert {r["component"] for r in graph.components(edges).collect()} == {0}
 
 
 @pytest.mark.parametrize("limit", [0, 50, 400_000])
