@@ -18,12 +18,17 @@ from mnemora.operators.levels import with_levels
 
 
 def prepare_items(
-    df: DataFrame, text: str, ts: Column, embed: Callable[[DataFrame, str], DataFrame] | None = None
+    df: DataFrame,
+    text: str,
+    ts: Column,
+    embed: Callable[[DataFrame, str], DataFrame] | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """Rows ready to be added: blank texts dropped, formatted, enriched, with a normalised vector.
 
     ``embed`` adds an ``embedding`` column from the ``content`` column; without it the frame
-    must bring one. A missing vector stays NULL.
+    must bring one. With ``dim`` vectors of other lengths are cut or padded with zeros to the
+    store's dimension. A missing vector stays NULL.
     """
     rows = enrich(df.filter(strip(F.col(text)) != ""), text, ts)
     if embed is not None:
@@ -36,9 +41,10 @@ def prepare_items(
     }
     for name, default in flags.items():
         rows = rows.withColumn(name, F.coalesce(F.col(name), default) if name in rows.columns else default)
+    vector = F.col("embedding") if dim is None else resize(F.col("embedding"), dim)
     return (
         rows.withColumn("ts", ts)
-        .withColumn("embedding", unit(F.col("embedding")).cast("array<float>"))
+        .withColumn("embedding", unit(vector).cast("array<float>"))
         .withColumn("retrieval_count", F.lit(0).cast("bigint"))
         .withColumn("deleted", F.lit(False))
     )

@@ -13,6 +13,7 @@ from mnemora.operators.levels import with_levels
 from mnemora.plans import inputs
 from mnemora.plans.classify_plans import _closed, _form, _low, category_sql
 from mnemora.plans.search_plans import S as SEARCH
+from mnemora.plans.search_plans import VEC, unit_sql
 from mnemora.plans.text_plans import r6s, with_
 from mnemora.session import scratch_dir
 from mnemora.sources.buckets import BucketedTable
@@ -54,6 +55,19 @@ def add(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def add_mixed_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns whose vectors have 48, 64 or 96 components, brought to the store's 64."""
+    talk = inputs.turns_with_vectors(spark, folder)
+    v, kind = F.col("embedding"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))
+    mixed = F.when(kind == 1, F.slice(v, 1, 48)).when(kind == 2, F.concat(v, F.slice(v, 1, 32))).otherwise(v)
+    ts = F.timestamp_seconds(F.col("conv_id") * 100 + F.col("turn") + 1700000000)
+    rows = store.prepare_items(talk.withColumn("embedding", mixed), "text", ts, dim=64)
+    at = lambda i: r6(F.get("embedding", F.lit(i)).cast("double"))
+    return rows.select(
+        "conv_id", "turn", F.size("embedding").alias("n"), at(0).alias("first"), at(63).alias("last"), r6(V.norm(F.col("embedding"))).alias("norm")
+    )
+
+
 def duplicate_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of documents stored in the same second: equal texts collide."""
     docs = inputs.documents(spark, folder)
@@ -200,6 +214,7 @@ def written_files(spark: SparkSession, folder: str) -> DataFrame:
 
 Q.update(
     store_add=add,
+    store_add_mixed_lengths=add_mixed_lengths,
     store_duplicate_ids=duplicate_ids,
     store_get=get,
     store_update=update,
@@ -228,6 +243,13 @@ cl AS (SELECT *, {_closed} AS f FROM base), src AS (SELECT *, {_form} AS content
 ) + """SELECT conv_id, turn, 'item_' || md5(content)[1:8] || '_' || right(ms::VARCHAR, 6) AS id, category AS main_category, 'unknown' AS type,
 CASE WHEN length(content) < 100 THEN 'short' WHEN length(content) < 500 THEN 'medium' ELSE 'long' END AS content_length, md5(content) AS digest, 1.0::DOUBLE AS norm,
 0::BIGINT AS retrieval_count, false AS deleted FROM src"""
+S["store_add_mixed_lengths"] = with_(
+    VEC,
+    "nv AS (SELECT count(*) AS n FROM vec)",
+    """src AS (SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 1 THEN list_concat(v[1:48], list_transform(range(16), lambda x: 0.0::DOUBLE)) ELSE v END AS v
+FROM conversations c CROSS JOIN nv LEFT JOIN vec ON vec.id = (c.conv_id * 8 + c.turn) % nv.n WHERE trim(text, ' ' || chr(10)) <> '')""",
+    f"un AS (SELECT conv_id, turn, {unit_sql('v')} AS u FROM src)",
+) + f"SELECT conv_id, turn, len(u)::INT AS n, {r6s('u[1]::FLOAT::DOUBLE')} AS first, {r6s('u[64]::FLOAT::DOUBLE')} AS last, {r6s('sqrt(list_dot_product(u, u))')} AS norm FROM un"
 S["store_duplicate_ids"] = "SELECT 'item_' || md5(text)[1:8] || '_' || right((epoch_ms(TIMESTAMP '2024-01-01'))::VARCHAR, 6) AS id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1"
 S["store_get"] = with_(MEM) + "SELECT id, md5(content) AS digest FROM mem WHERE NOT deleted AND n IN (SELECT item_id FROM benchmark)"
 S["store_update"] = with_(MEM) + f"""SELECT m.id, md5(CASE WHEN NOT deleted AND b.text IS NOT NULL THEN b.text ELSE content END) AS digest,

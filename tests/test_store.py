@@ -38,6 +38,14 @@ def find(items, word):
     return items.filter(F.contains("content", F.lit(word))).first()
 
 
+def test_vectors_of_other_lengths_are_coerced_at_insert(spark):
+    rows = [("short one", [3.0]), ("long one", [3.0, 4.0, 5.0]), ("fits", [0.0, 2.0]), ("none", None), ("zero", [0.0, 0.0])]
+    raw = spark.createDataFrame(rows, "text string, embedding array<float>")
+    found = store.prepare_items(raw, "text", F.lit("2024-01-01").cast("timestamp"), dim=2).collect()
+    want = [[1.0, 0.0], [0.6, 0.8], [0.0, 1.0], None, [0.0, 0.0]]
+    assert [r["embedding"] and [round(x, 6) for x in r["embedding"]] for r in found] == want
+
+
 def test_add_and_filter(items):
     assert items.count() == 4
     assert items.filter(F.col("attrs")["topic"] == "programming").count() == 2
