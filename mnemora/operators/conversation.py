@@ -13,8 +13,9 @@ from mnemora.functions.vectors import cosine
 from mnemora.operators.series import with_previous, with_running_total
 
 
-def asks_to_continue(text: Column) -> Column:
-    return let(F.lower(text), lambda low: contains_any(low, rules.CONTINUATION_PHRASES))
+def asks_to_continue(text: Column, phrases: list[str] | None = None) -> Column:
+    """Whether a message holds one of the phrases, in lower case; the default ones if none are given."""
+    return let(F.lower(text), lambda low: contains_any(low, phrases or rules.CONTINUATION_PHRASES))
 
 
 def asks_to_exit(text: Column, literal: bool = False) -> Column:
@@ -34,12 +35,13 @@ def topic_shifts(
     threshold: float = 0.35,
     ring: int = 3,
     literal_exit: bool = False,
+    phrases: list[str] | None = None,
 ) -> DataFrame:
     """Add ``is_shift`` and ``similarity``: the best cosine with the last ``ring`` topics.
 
-    Turns that ask to continue or to exit, or have no vector, are neither judged nor remembered.
+    Turns that ask to continue (by ``phrases``) or to exit, or have no vector, are neither judged nor remembered.
     """
-    skip = asks_to_continue(F.col(text)) | asks_to_exit(F.col(text), literal_exit) | F.col(vec).isNull()
+    skip = asks_to_continue(F.col(text), phrases) | asks_to_exit(F.col(text), literal_exit) | F.col(vec).isNull()
     marked = turns.withColumn("_skip", F.coalesce(skip, F.lit(False)))
     judged = with_previous(marked.filter(~F.col("_skip")), keys, order, block, F.col(vec), ring, "_ring")
     best = F.greatest(
@@ -176,10 +178,11 @@ def judge_answers(
     )
 
 
-def fallback_text(reason: Column, query: Column, pick_by: Column) -> Column:
-    """The fallback for a reason; which base text is used follows from ``pick_by``, not chance."""
-    texts = F.array(*[F.lit(m) for m in rules.FALLBACK_MESSAGES])
-    base = F.get(texts, F.pmod(F.xxhash64(pick_by), F.lit(len(rules.FALLBACK_MESSAGES))).cast("int"))
+def fallback_text(reason: Column, query: Column, pick_by: Column, messages: list[str] | None = None) -> Column:
+    """The fallback for a reason; which of the base texts is used follows from ``pick_by``, not chance."""
+    messages = messages or rules.FALLBACK_MESSAGES
+    texts = F.array(*[F.lit(m) for m in messages])
+    base = F.get(texts, F.pmod(F.xxhash64(pick_by), F.lit(len(messages))).cast("int"))
     led = (
         F.when(F.startswith(reason, F.lit("context_overflow")), F.concat(F.lit(rules.OVERFLOW_LEAD), base))
         .when(F.startswith(reason, F.lit("low_quality")), F.concat(F.lit(rules.LOW_QUALITY_LEAD), base))
@@ -200,23 +203,34 @@ def fallback_text(reason: Column, query: Column, pick_by: Column) -> Column:
     return F.concat(let(led, named), hint)
 
 
-def final_answer(text: Column, reason: Column, query: Column, commands: Column, pick_by: Column) -> Column:
-    """The answer, the answer with a disclaimer, or the fallback with the kept file blocks."""
+def final_answer(
+    text: Column,
+    reason: Column,
+    query: Column,
+    commands: Column,
+    pick_by: Column,
+    messages: list[str] | None = None,
+    phrases: list[str] | None = None,
+) -> Column:
+    """The answer, the answer with a disclaimer, or the fallback with the kept file blocks.
+
+    ``messages`` are the caller's fallback texts, ``phrases`` those that ask to continue.
+    """
     tail = F.when(F.size(commands) > 0, F.concat(F.lit("\n\n"), F.array_join(commands, "\n"))).otherwise("")
     return (
         F.when(reason == "acceptable", text)
-        .when(asks_to_continue(F.coalesce(query, F.lit(""))), F.concat(F.lit(rules.DISCLAIMER), text))
-        .otherwise(F.concat(fallback_text(reason, query, pick_by), tail))
+        .when(asks_to_continue(F.coalesce(query, F.lit("")), phrases), F.concat(F.lit(rules.DISCLAIMER), text))
+        .otherwise(F.concat(fallback_text(reason, query, pick_by, messages), tail))
     )
 
 
-def stops_stream(should_filter: Column, reason: Column, tokens: Column, query: Column, min_tokens: int = 60) -> Column:
+def stops_stream(should_filter: Column, reason: Column, tokens: Column, query: Column, min_tokens: int = 60, phrases: list[str] | None = None) -> Column:
     """Whether a growing answer is cut: overflow after 30 tokens, other reasons from ``min_tokens`` on."""
     return (
         F.when((tokens > 30) & F.startswith(reason, F.lit("context_overflow")), True)
         .when(tokens < min_tokens, False)
         .when(~should_filter, False)
-        .otherwise(~asks_to_continue(F.coalesce(query, F.lit(""))))
+        .otherwise(~asks_to_continue(F.coalesce(query, F.lit("")), phrases))
     )
 
 

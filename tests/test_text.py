@@ -145,6 +145,22 @@ def test_fallbacks(spark):
     assert kept == "text"
 
 
+def test_phrases_and_fallbacks_of_the_caller(spark):
+    from mnemora.operators.conversation import final_answer, stops_stream
+    from mnemora.functions import rules
+
+    asked = ["weiter bitte", "please continue", None]
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    none = F.array().cast("array<string>")
+    own = dict(messages=["Unknown."], phrases=["weiter"])
+    said = [r[0] for r in df.select(final_answer(F.lit("text"), F.lit("x"), F.col("q"), none, F.lit(1), **own)).collect()]
+    assert said == [rules.DISCLAIMER + "text", "Unknown.", "Unknown."]
+    usual = [r[0] for r in df.select(final_answer(F.lit("text"), F.lit("x"), F.col("q"), none, F.lit(1))).collect()]
+    assert usual[1] == rules.DISCLAIMER + "text" and usual[0] in rules.FALLBACK_MESSAGES
+    cut = df.select(stops_stream(F.lit(True), F.lit("x"), F.lit(99), F.col("q"), phrases=["weiter"])).collect()
+    assert [r[0] for r in cut] == [False, True, True]
+
+
 def test_all_terms_are_found_in_one_pass(spark):
     """Overlapping, nested and empty terms, against a search for each."""
     from mnemora.functions.terms import term_hits
