@@ -5,6 +5,7 @@ import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,14 @@ def test_best_memory_equals_all_pairs(spark, monkeypatch, posting_rows):
         assert r["text_similarity"] == pytest.approx(best[0])
         assert r["memory_id"] == (-best[1] if best[0] > 0 else None)
     assert got.count() == len(answers)
+
+
+def test_a_cell_hands_on_one_row_per_answer():
+    """However many memories share an answer's terms, no pairs leave the cell; ties go to the smallest id."""
+    answers = pa.table({"id": [7, 8, 9], "size": pa.array([3, 2, 2], pa.int32()), "known": [[1, 2, 3], [1, 5], [9]]})
+    memories = pa.table(
+        {"id": list(range(500, 0, -1)), "size": pa.array([4] * 500, pa.int32()), "weight": [0.5] * 250 + [1.0] * 250, "known": [[1, 2, 3]] * 499 + [[5]]}
+    )
+    got = term_join._best_in_cell(answers, memories).to_pylist()
+    assert got == [{"id": 7, "score": 0.75, "memory_id": 2}, {"id": 8, "score": 0.2, "memory_id": 1}]
+    assert term_join._best_in_cell(answers, memories.slice(0, 0)).num_rows == 0
