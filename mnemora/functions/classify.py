@@ -319,7 +319,7 @@ def with_generic_form(forms: Column, fact: Column) -> Column:
     """The given forms, or one generic question when there are none."""
     clean = F.regexp_replace(strip(fact), r"\.\z", "")
     generic = F.concat(F.lit("Q: Tell me about "), F.get(tokens(clean), F.lit(0)), F.lit("?\nA: "), clean, F.lit("."))
-    return F.when(F.size(forms) > 0, forms).otherwise(F.array(generic))
+    return let(forms, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(generic)))
 
 
 def worthy_content(query: Column, response: Column) -> Column:

@@ -96,9 +96,9 @@ def worthy_content(spark: SparkSession, folder: str) -> DataFrame:
 
 def question_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Facts about parts and nations turned into question-answer texts."""
-    from mnemora.sources.tables import table
+    from mnemora.sources.tables import spread, table
 
-    part = table(spark, folder, "part")
+    part = spread(table(spark, folder, "part"))
     facts = part.select(
         F.col("p_partkey").alias("key"),
         F.explode(

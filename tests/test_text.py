@@ -194,3 +194,10 @@ def test_subcategories_follow_the_given_terms(spark, tmp_path):
     frame = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(cases)], "i int, t string, c string")
     got = {r["i"]: (r["s"]["name"], r["s"]["score"]) for r in frame.select("i", C.subcategory(F.col("t"), F.col("c"), rows).alias("s")).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_question_forms_use_all_cores(spark, folder):
+    """A table of one row group is one task however many rows it has, unless it is dealt out before the patterns."""
+    from mnemora.plans import classify_plans
+
+    assert classify_plans.question_forms(spark, folder).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
