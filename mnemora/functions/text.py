@@ -550,3 +550,49 @@ def prefix_checkpoints(token_count: Column) -> Column:
         ),
     )
     return F.filter(grid, lambda p: p <= token_count)
+
+
+def _first_true(count: Column, holds: Callable[[Column], Column]) -> Column:
+    """The smallest index below ``count`` where a condition holds that stays true from there on; else ``count``.
+
+    The last index is looked at first, then the middle of what is left.
+    """
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(count + 1)).cast("int"))
+
+    def step(acc: Column, i: Column) -> Column:
+        middle = F.when(i == 0, acc["high"] - 1).otherwise(F.shiftright(acc["low"] + acc["high"], 1))
+        narrower = let(
+            middle,
+            lambda m: F.when(holds(m), F.struct(acc["low"].alias("low"), m.alias("high"))).otherwise(
+                F.struct((m + 1).alias("low"), acc["high"].alias("high"))
+            ),
+        )
+        return F.when(acc["low"] < acc["high"], narrower).otherwise(acc)
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), count.alias("high")), step, lambda acc: acc["high"])
+
+
+def first_repetition(toks: Column, points: Column) -> Column:
+    """``struct<pattern, at>``: the first of the ascending token counts whose prefix shows a repetition; NULL if none does.
+
+    A kind of repetition that a prefix shows stays in longer ones, but for phrases, whose sizes change beyond 1,000
+    words. So both parts of the points are halved until the first one is found, and few prefixes are looked at.
+    """
+    prefix = lambda at: F.array_join(F.slice(toks, F.lit(1), at), " ")
+
+    def first(part: Column) -> Column:
+        """Of points on one side of 1,000 words."""
+        shown = lambda i: repetitive_pattern(prefix(F.get(part, i))).isNotNull()
+        return let(_first_true(F.size(part), shown), lambda i: F.get(part, i))
+
+    def search(p: Column) -> Column:
+        cut = _first_true(F.size(p), lambda i: F.size(words(F.lower(prefix(F.get(p, i))))) > 1000)
+        return let(
+            cut,
+            lambda c: F.coalesce(
+                let(F.slice(p, F.lit(1), c), first), let(F.slice(p, c + 1, F.size(p) - c), first)
+            ),
+        )
+
+    found = F.when(may_be_repetitive(F.array_join(toks, " ")), let(points, search))
+    return let(found, lambda at: F.when(at.isNotNull(), F.struct(repetitive_pattern(prefix(at)).alias("pattern"), at.alias("at"))))

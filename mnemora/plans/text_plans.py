@@ -126,21 +126,11 @@ def post_processed(spark: SparkSession, folder: str) -> DataFrame:
 def stream_prefix_checks(spark: SparkSession, folder: str) -> DataFrame:
     """First checkpoint of a growing answer at which a repetition shows."""
     docs = inputs.marked_documents(spark, folder).withColumn("tok", T.tokens(_text()))
-    docs = docs.withColumn("maybe", T.may_be_repetitive(F.array_join("tok", " ")))
-    # the long token array goes along only where a prefix has to be looked at
-    points = docs.select(
-        "doc_id", F.when(F.col("maybe"), F.col("tok")).alias("shown"), F.explode(T.prefix_checkpoints(F.size("tok"))).alias("at")
-    )
-    prefix = F.array_join(F.slice("shown", F.lit(1), F.col("at")), " ")
-    found = points.withColumn("pattern", F.when(F.col("shown").isNotNull(), T.repetitive_pattern(prefix)))
-    return (
-        found.groupBy("doc_id")
-        .agg(
-            F.count("*").alias("n_checks"),
-            F.min_by("pattern", F.when(F.col("pattern").isNotNull(), F.col("at"))).alias("first_pattern"),
-            F.min(F.when(F.col("pattern").isNotNull(), F.col("at"))).alias("stopped_at"),
-        )
-    )
+    docs = docs.withColumn("points", T.prefix_checkpoints(F.size("tok")))
+    judged = F.struct(F.size("points").cast("bigint").alias("n_checks"), T.first_repetition(F.col("tok"), F.col("points")).alias("f"))
+    # a filter on the points would be pushed below the tokens and split each text once more
+    found = docs.select("doc_id", F.explode(F.when(F.size("points") > 0, F.array(judged))).alias("r"))
+    return found.select("doc_id", "r.n_checks", F.col("r.f.pattern").alias("first_pattern"), F.col("r.f.at").alias("stopped_at"))
 
 
 Q.update(

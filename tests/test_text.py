@@ -201,3 +201,30 @@ def test_question_forms_use_all_cores(spark, folder):
     from mnemora.plans import classify_plans
 
     assert classify_plans.question_forms(spark, folder).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_first_repetition_equals_all_prefixes(spark):
+    """Halving the points finds what a look at every prefix finds, on both sides of 1,000 words and across."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    phrase = "these five words come again here"
+    texts = [" ".join(word() for _ in range(n)) for n in (10, 39, 40, 100, 400, 1300)]
+    for n, k in ((300, 3), (300, 8), (1400, 3), (1400, 12), (2300, 4)):
+        for _ in range(3):
+            w = [word() for _ in range(n)]
+            for _ in range(k):
+                w.insert(rng.randrange(len(w)), phrase)
+            texts.append(" ".join(w))
+    texts += [texts[5] + " and,and " + texts[4], texts[4] + " zzzzzzzzzzzz " + texts[5], "one two " * 900, texts[5] + " $ $ $ $ "]
+    # three short words make phrases of three beyond 1,000 words only
+    texts.append(" ".join(word() + (" alpha beta gamma " + word() + " delta omega sigma " if i % 100 == 0 else "") for i in range(1500)))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("tok", T.tokens(F.col("text"))).withColumn("points", T.prefix_checkpoints(F.size("tok")))
+    got = {r["i"]: (r["f"]["pattern"], r["f"]["at"]) if r["f"] else None for r in df.select("i", T.first_repetition(F.col("tok"), F.col("points")).alias("f")).collect()}
+    every = df.select("i", F.col("tok"), F.explode("points").alias("at")).select("i", "at", T.repetitive_pattern(F.array_join(F.slice("tok", F.lit(1), F.col("at")), " ")).alias("p"))
+    want = dict.fromkeys(got)
+    for r in sorted(every.where("p is not null").collect(), key=lambda r: -r["at"]):
+        want[r["i"]] = (r["p"], r["at"])
+    assert got == want
+    assert sum(x is not None and x[1] < 1000 for x in want.values()) >= 3 and sum(x is not None and x[1] > 1000 for x in want.values()) >= 3
