@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.functions.arrays import r6
-from mnemora.functions.text import repetitive_pattern
+from mnemora.functions.text import first_repetition
 from mnemora.plans import inputs
 from mnemora.plans import text_plans as TP
 from mnemora.plans.confidence_plans import CONF
@@ -58,13 +58,11 @@ def prefix_checks(spark: SparkSession, folder: str) -> DataFrame:
     for source, text in inputs.GARBAGE:
         tail = F.when(F.col("source") == source, text).otherwise(tail)
     rows = bare_token_rows(talk, F.col("doc_id"), F.concat("text", tail))
-    prefixes = stream_prefixes(rows, "key", "pos").withColumn("pattern", repetitive_pattern(F.col("prefix"))).drop("prefix")
-    out = drain(prefixes, "prefixes")
-    hit = F.col("pattern").isNotNull()
+    prefixes = stream_prefixes(rows, "key", "pos")
+    first = first_repetition(F.split("prefix", " "), F.col("points"))
+    out = drain(prefixes.select("key", F.size("points").alias("n"), first.alias("f")), "prefixes")
     return out.groupBy(F.col("key").alias("doc_id")).agg(
-        F.count("*").alias("n_checks"),
-        F.min_by("pattern", F.when(hit, F.col("n_tokens"))).alias("first_pattern"),
-        F.min(F.when(hit, F.col("n_tokens"))).alias("stopped_at"),
+        F.sum("n").alias("n_checks"), F.min_by("f.pattern", "f.at").alias("first_pattern"), F.min("f.at").alias("stopped_at")
     )
 
 

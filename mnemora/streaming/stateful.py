@@ -144,29 +144,28 @@ def stream_file_blocks(rows: DataFrame, key: str, order: str, token: str = "toke
 
 
 def stream_prefixes(rows: DataFrame, key: str, order: str, token: str = "token") -> DataFrame:
-    """``key, n_tokens, prefix``: the answer so far at 40, 80, 160 and then every 100 tokens.
+    """``key, points, prefix`` per key and micro-batch: the answer so far, at the last of the token counts 40, 80, 160 and
+    then every 100 that the micro-batch reached, and these counts.
 
-    What the prefix shows is judged downstream by Column expressions.
+    What the prefixes show is judged downstream by Column expressions; each is a part of the one handed on.
     """
     types = {c: rows.schema[c].dataType.simpleString() for c in (key,)}
 
     def step(_, frames, state: GroupState):
         text, n = state.get if state.exists else ("", 0)
         batch = _batch(frames, [order])
-        parts, out = [text] if n else [], []
-        for t in batch[token]:
-            parts.append(t)
-            n += 1
-            if n in (40, 80) or (n >= 160 and n % 100 == 60):
-                out.append((batch[key].iloc[0], n, " ".join(parts)))
-        state.update((" ".join(parts), n))
-        yield pd.DataFrame(out, columns=[key, "n_tokens", "prefix"])
+        parts = [*([text] if n else []), *batch[token]]
+        points = [k for k in range(n + 1, n + len(batch) + 1) if k in (40, 80) or (k >= 160 and k % 100 == 60)]
+        if points:
+            reached = len(parts) - (n + len(batch) - points[-1])
+            yield pd.DataFrame({key: batch[key].iloc[:1], "points": [points], "prefix": [" ".join(parts[:reached])]})
+        state.update((" ".join(parts), n + len(batch)))
 
     return (
         rows.select(key, order, token)
         .groupBy(key)
         .applyInPandasWithState(
-            step, f"{key} {types[key]}, n_tokens int, prefix string", "text string, n int", "append", GroupStateTimeout.NoTimeout
+            step, f"{key} {types[key]}, points array<int>, prefix string", "text string, n int", "append", GroupStateTimeout.NoTimeout
         )
     )
 

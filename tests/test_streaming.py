@@ -62,3 +62,18 @@ def test_gaps_in_the_vectors(spark, folder, tmp_path, name):
     vectors = spark.read.parquet(os.path.join(folder, "embeddings.parquet")).where("vec_id % 7 <> 3")
     vectors.toPandas().to_parquet(tmp_path / "embeddings.parquet")
     assert compare.difference(queries[name](spark, str(tmp_path)), compare.connect(str(tmp_path)), sql[name]) is None
+
+
+def test_prefixes_hand_each_text_on_once(spark, tmp_path):
+    """One row per answer and micro-batch, with the text once, not once for every count that was reached."""
+    from mnemora.functions.text import prefix_checkpoints
+
+    rows = spark.range(700).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("key"), F.col("id").cast("int").alias("pos"), F.concat(F.lit("w"), "id").alias("token"))
+    rows = rows.where("key = 1 or pos < 250")
+    for low, high in ((0, 299), (300, 699)):
+        rows.where(F.col("pos").between(low, high)).coalesce(1).write.mode("append").parquet(os.path.join(tmp_path, "tokens.parquet"))
+    got = drain(stateful.stream_prefixes(stream_table(spark, str(tmp_path), "tokens", 1), "key", "pos"), "p").collect()
+    assert sorted((r["key"], r["points"]) for r in got) == [(1, [40, 80, 160, 260]), (1, [360, 460, 560, 660]), (2, [40, 80, 160])]
+    assert all(r["prefix"] == " ".join(f"w{i}" for i in range(r["points"][-1])) for r in got)
+    grid = spark.range(1).select(prefix_checkpoints(F.lit(700)).alias("p")).first()["p"]
+    assert sorted(p for r in got if r["key"] == 1 for p in r["points"]) == grid
