@@ -14,7 +14,7 @@ from mnemora.plans.conversation_plans import S as TALK
 from mnemora.plans.text_plans import r6s, with_
 from mnemora.session import configure
 from mnemora.streaming.sources import drain, stream_table
-from mnemora.streaming.stateful import bare_token_rows, stream_confidence, stream_file_blocks, stream_prefixes, stream_topic_shifts, token_rows
+from mnemora.streaming.stateful import bare_token_rows, stream_confidence, stream_file_blocks, stream_prefixes, stream_topic_shifts, token_arrays
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -44,7 +44,7 @@ def file_blocks(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
     talk = stream_table(spark, folder, "conversations")
     text = F.concat("text", F.lit("\n>>> FILE: "), "role", F.lit(".txt\nbody "), F.col("turn").cast("string"), F.lit("\n<<<"), F.lit("\nafter "), "text")
-    rows = token_rows(talk, F.concat_ws(":", "conv_id", "turn"), text)
+    rows = token_arrays(talk, F.concat_ws(":", "conv_id", "turn"), text)
     out = drain(stream_file_blocks(rows, "key", "pos"), "file-blocks")
     shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "display"))), lambda x: x["display"]), "")
     # one turn's tokens per group, as in its own text

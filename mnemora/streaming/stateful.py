@@ -106,41 +106,52 @@ def stream_file_blocks(rows: DataFrame, key: str, order: str, token: str = "toke
     A token is shown until an opener is complete, then held back until its block closes;
     the closing token carries the block. While no opener is in sight only as many
     characters are kept as an opener could have begun with.
+
+    A row brings one token, or an array of tokens of which the first has the number ``order``; an array crosses
+    into Python and back as one row.
     """
     types = {c: rows.schema[c].dataType.simpleString() for c in (key, order)}
     block = re.compile(rules.FILE_BLOCK)
+    tokens_of = F.col(token) if rows.schema[token].dataType.typeName() == "array" else F.array(token)
 
     def step(_, frames, state: GroupState):
         buffer = state.get[0] if state.exists else ""
         batch = _batch(frames, [order])
         shown, names, bodies = [], [], []
-        for t in batch[token]:
-            buffer += t
-            display, name, body = t, None, None
-            if OPENER in buffer:
-                display = ""
-                found = block.search(buffer) if "<<<" in buffer else None
-                if found:
-                    name, body, buffer = found.group(1).strip(), found.group(2), ""
-            else:
-                buffer = buffer[-(len(OPENER) - 1) :]
-            shown.append(display)
-            names.append(name)
-            bodies.append(body)
+        for toks in batch["_tokens"]:
+            displays, found_names, found_bodies = [], [], []
+            for t in toks if toks is not None else ():
+                buffer += t
+                display, name, body = t, None, None
+                if OPENER in buffer:
+                    display = ""
+                    found = block.search(buffer) if "<<<" in buffer else None
+                    if found:
+                        name, body, buffer = found.group(1).strip(), found.group(2), ""
+                else:
+                    buffer = buffer[-(len(OPENER) - 1) :]
+                displays.append(display)
+                found_names.append(name)
+                found_bodies.append(body)
+            shown.append(displays)
+            names.append(found_names)
+            bodies.append(found_bodies)
         state.update((buffer,))
-        yield batch[[key, order]].assign(display=shown, filename=names, content=bodies)
+        yield pd.DataFrame({key: batch[key], order: batch[order], "display": shown, "filename": names, "content": bodies})
 
-    return (
-        rows.select(key, order, token)
+    judged = (
+        rows.select(key, order, tokens_of.alias("_tokens"))
         .groupBy(key)
         .applyInPandasWithState(
             step,
-            f"{key} {types[key]}, {order} {types[order]}, display string, filename string, content string",
+            f"{key} {types[key]}, {order} {types[order]}, display array<string>, filename array<string>, content array<string>",
             "buffer string",
             "append",
             GroupStateTimeout.NoTimeout,
         )
     )
+    single = judged.select(key, order, F.posexplode(F.arrays_zip("display", "filename", "content")).alias("_i", "_t"))
+    return single.select(key, (F.col(order) + F.col("_i")).cast(types[order]).alias(order), "_t.display", "_t.filename", "_t.content")
 
 
 def stream_prefixes(rows: DataFrame, key: str, order: str, token: str = "token") -> DataFrame:
@@ -177,6 +188,12 @@ def token_rows(df: DataFrame, key: Column, text: Column) -> DataFrame:
     ).filter(F.length("token") > 0)
 
 
+def token_arrays(df: DataFrame, key: Column, text: Column) -> DataFrame:
+    """``key, pos, token``: all tokens of a text in one row, as :func:`token_rows` has them one by one."""
+    toks = F.filter(F.regexp_extract_all(text, F.lit(r"\S*\s*"), F.lit(0)), lambda t: F.length(t) > 0)
+    return df.select(key.alias("key"), F.lit(0).alias("pos"), toks.alias("token"))
+
+
 def bare_token_rows(df: DataFrame, key: Column, text: Column) -> DataFrame:
     """``key, pos, token`` rows of white-space tokens."""
     return df.select(key.alias("key"), F.posexplode(tokens(text)).alias("pos", "token"))

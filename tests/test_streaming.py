@@ -77,3 +77,23 @@ def test_prefixes_hand_each_text_on_once(spark, tmp_path):
     assert all(r["prefix"] == " ".join(f"w{i}" for i in range(r["points"][-1])) for r in got)
     grid = spark.range(1).select(prefix_checkpoints(F.lit(700)).alias("p")).first()["p"]
     assert sorted(p for r in got if r["key"] == 1 for p in r["points"]) == grid
+
+
+def test_file_blocks_of_arrays_equal_those_of_tokens(spark, tmp_path):
+    """A text's tokens in one row, or cut over two micro-batches inside a block, give the rows of single tokens."""
+    texts = [(1, "a >>> FILE: x.txt\nbody one\n<<<\nafter that"), (2, "no block here"), (3, ">>> FILE: y.md\nline\n\nline <<< end >>> FILE: z\nb\n<<<")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    singles = stateful.token_rows(df, F.col("id"), F.col("text"))
+    arrays = stateful.token_arrays(df, F.col("id"), F.col("text"))
+    assert arrays.count() == 3 and singles.count() > 15
+    singles.coalesce(1).write.parquet(os.path.join(tmp_path, "single.parquet"))
+    arrays.coalesce(1).write.parquet(os.path.join(tmp_path, "whole.parquet"))
+    for low, n in ((0, 3), (3, 99)):
+        cut = arrays.where(F.size("token") > low).select("key", F.lit(low).alias("pos"), F.slice("token", low + 1, n).alias("token"))
+        cut.coalesce(1).write.mode("append").parquet(os.path.join(tmp_path, "cut.parquet"))
+    got = {
+        name: sorted(map(tuple, drain(stateful.stream_file_blocks(stream_table(spark, str(tmp_path), name, 1), "key", "pos"), name).collect()), key=repr)
+        for name in ("single", "whole", "cut")
+    }
+    assert got["single"] == got["whole"] == got["cut"] and len(got["single"]) == singles.count()
+    assert {r[3] for r in got["whole"]} == {None, "x.txt", "y.md"}
