@@ -22,7 +22,10 @@ from mnemora.operators.levels import as_matrix, level_parameters, to_level
 
 MAX_QUERY_ROWS = 4096
 MAX_BROADCAST_ROWS = 500_000
-CELL_ROWS = 4_000
+CELL_ROWS = 20_000
+# Query rows that are multiplied at a time with the items of a cell, and items that set the first bound for them.
+QUERY_ROWS = 256
+FIRST_ITEMS = 1_000
 
 
 def _unit_rows(rows: np.ndarray) -> np.ndarray:
@@ -42,6 +45,43 @@ def _narrow(sims: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero((sims >= edge).any(axis=0))
 
 
+def _first_copies(rows: np.ndarray, n: int) -> np.ndarray:
+    """Places of the rows without further copies of a row beyond its first n."""
+    _, same = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(same[order]) != 0]))
+    nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(order)]])))
+    return np.sort(order[nth < n])
+
+
+def _best_rows(queries: np.ndarray, items: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query row, item row, similarity)`` of each query's best items; of equal ones the earlier row.
+
+    Single precision with a margin says which items can be among the best, double precision which are.
+    """
+    kept = _first_copies(np.ascontiguousarray(items), depth)
+    items = items[kept]
+    small = items.astype(np.float32)
+    out = []
+    for start in range(0, len(queries), QUERY_ROWS):
+        some = queries[start : start + QUERY_ROWS]
+        rough = some.astype(np.float32) @ small.T
+        if rough.shape[1] > depth:
+            first = rough[:, : max(FIRST_ITEMS, depth)]
+            edge = -np.partition(-first, depth - 1, axis=1)[:, depth - 1 : depth] - 4e-7 * (items.shape[1] + 2)
+            q, i = np.nonzero(~(rough < edge))
+        else:
+            q, i = (x.ravel() for x in np.indices(rough.shape))
+        parts = [np.einsum("ij,ij->i", some[q[p : p + 100_000]], items[i[p : p + 100_000]]) for p in range(0, len(q), 100_000)]
+        sims = np.round(np.concatenate(parts), 12) if parts else np.zeros(0)
+        order = np.lexsort((i, -sims, q))
+        q, i, sims = q[order], i[order], sims[order]
+        starts = np.searchsorted(q, np.arange(len(some)))
+        best = np.arange(len(q)) - starts[q] < depth
+        out.append((q[best] + start, kept[i[best]], sims[best]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def level_depth(k: int, level: int) -> int:
     """Hits taken from one level: three times k on the base level, growing with the level above it."""
     return 3 * k if level == 0 else int(k * (1 + 0.5 * level))
@@ -148,20 +188,22 @@ def blocked_hits(
 ) -> DataFrame:
     """The same hits for a query side of any size.
 
-    Both sides are hashed into slices of about ``cell_rows`` rows; each pair of slices is
+    Both sides are hashed into slices of at most about ``cell_rows`` rows; each pair of slices is
     one group, multiplied as matrices, that hands on its best rows only.
     """
     n_items, n_queries = items.count(), queries.count()
-    item_slices, query_slices = max(1, -(-n_items // cell_rows)), max(1, -(-n_queries // cell_rows))
     spark = items.sparkSession
+    query_slices = max(1, -(-n_queries // cell_rows))
+    # enough cells for all cores
+    item_slices = max(1, -(-n_items // cell_rows), -(-2 * spark.sparkContext.defaultParallelism // query_slices))
     shared = spark.sparkContext.broadcast(level_parameters(dim, max(levels)) if max(levels) > 0 else {})
     qid_type = queries.schema[query_id].dataType.simpleString()
     iid_type = items.schema[item_id].dataType.simpleString()
+    schema = f"query_id {qid_type}, level int, item_id {iid_type}, raw double"
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = (
         items.select(F.col(item_id).alias("i"), F.col(item_vec).alias("v"))
         .filter(F.size("v") > 0)
-        .withColumn("v", resize(F.col("v"), dim))
         .withColumn("is", F.pmod(F.xxhash64("i"), F.lit(item_slices)).cast("int"))
         .withColumn("qs", cells(query_slices))
     )
@@ -173,31 +215,28 @@ def blocked_hits(
         .withColumn("is", cells(item_slices))
     )
 
-    def cell(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+    def cell(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        mine = mine.sort_by("i")
+        ids, qids = mine.column("i").combine_chunks(), theirs.column("q").combine_chunks()
         out = []
-        if len(mine) and len(theirs):
-            iv = _unit_rows(np.array(mine["v"].tolist(), dtype=np.float64))
-            qv = _unit_rows(np.array(theirs["w"].tolist(), dtype=np.float64))
-            ids, qids = mine["i"].to_numpy(), theirs["q"].to_numpy()
+        if len(ids) and len(qids):
+            iv = _unit_rows(as_matrix(mine.column("v").combine_chunks(), dim)[0])
+            qv = _unit_rows(as_matrix(theirs.column("w").combine_chunks(), dim)[0])
             for lv in levels:
-                sims = _similarities(_unit_rows(to_level(qv, lv, shared.value)), to_level(iv, lv, shared.value))
-                depth = level_depth(k, lv)
-                for row in range(len(qids)):
-                    near = _narrow(sims[row : row + 1], depth)
-                    pick = near[np.lexsort((ids[near], -sims[row, near]))[:depth]]
-                    out.append(
-                        pd.DataFrame(
-                            {"query_id": qids[row], "level": np.int32(lv), "item_id": ids[pick], "raw": sims[row, pick]}
-                        )
-                    )
+                q, i, sims = _best_rows(_unit_rows(to_level(qv, lv, shared.value)), to_level(iv, lv, shared.value), level_depth(k, lv))
+                out.append((qids.take(pa.array(q)), pa.array(np.full(len(q), lv, dtype=np.int32)), ids.take(pa.array(i)), pa.array(sims)))
         names = ["query_id", "level", "item_id", "raw"]
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({n: [] for n in names})
+        if not out:
+            return pa.table([qids.slice(0, 0), pa.array([], pa.int32()), ids.slice(0, 0), pa.array([], pa.float64())], names=names)
+        return pa.concat_tables([pa.table(list(columns), names=names) for columns in out])
 
+    # a cell is heavy on the processor and light in bytes: partitions by number are not joined by their bytes
+    n = item_slices * query_slices
     local = (
-        left.groupBy("qs", "is")
-        .cogroup(right.groupBy("qs", "is"))
-        .applyInPandas(cell, f"query_id {qid_type}, level int, item_id {iid_type}, raw double")
-    )
+        left.repartition(n, "qs", "is").groupBy("qs", "is")
+        .cogroup(right.repartition(n, "qs", "is").groupBy("qs", "is"))
+        .applyInArrow(cell, schema)
+    )
     return _cut(local, k, levels)
 
 

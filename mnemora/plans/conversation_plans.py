@@ -137,14 +137,20 @@ def _judged(spark: SparkSession, folder: str) -> DataFrame:
     taken in turn; what supports the answer is searched in the store with that vector."""
     vectors = inputs.embeddings(spark, folder).select("id", "embedding")
     n = max(vectors.count(), 1)
-    rows = inputs.answers(spark, folder).withColumn("_v", F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(n)))
-    asked = vectors.join(rows.select(F.col("_v").alias("id")).distinct(), "id", "left_semi")
+    number = F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(n))
+    rows = inputs.answers(spark, folder).withColumn("_v", number)
+    # every assistant turn is an answer; their numbers need no look at the turns before
+    wanted = inputs.turns(spark, folder).where("role = 'assistant'").select(number.alias("id")).distinct()
+    asked = vectors.join(wanted, "id", "left_semi")
     support = _supported(vectors, inputs.item_flags(spark, folder), asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec")))
     told = F.transform(
         F.sequence(F.lit(1), F.col("tokens_generated")),
         lambda i: F.lit(1.0) - F.abs(F.get("embedding", (i - 1) % F.size("embedding"))).cast("double") * 1.3,
     )
     rows = rows.join(vectors.select(F.col("id").alias("_v"), "embedding"), "_v", "left").join(support, "_v", "left")
+    # what follows is heavy on the processor and light in bytes, so that few partitions would be left after the joins
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(width)
     rows = rows.withColumn("_pattern", confidence_pattern(F.when((F.col("tokens_generated") > 0) & (F.size("embedding") > 0), told)))
     return V.judge_answers(
         rows.select(

@@ -179,3 +179,25 @@ def test_vectors_of_other_lengths_are_fitted():
     rows, mask = as_matrix(pa.array([[1.0], None, [1.0, 2.0, 3.0], [4.0, 5.0], []], pa.list_(pa.float32())), 2)
     assert mask.tolist() == [True, False, True, True, False]
     assert np.array_equal(rows, [[1, 0], [1, 2], [4, 5]])
+
+
+def test_best_rows_of_a_cell_with_copies(monkeypatch):
+    """Ties, copies and near ties below single precision, in several chunks, equal a full sort in double precision."""
+    import numpy as np
+
+    monkeypatch.setattr(search, "QUERY_ROWS", 7)
+    monkeypatch.setattr(search, "FIRST_ITEMS", 20)
+    draw = np.random.RandomState(8)
+    items = unit(draw.randn(400, 16))
+    items[100:160] = items[3]
+    items[200:260] = unit(items[5] + draw.randn(60, 16) * 1e-9)
+    q = unit(np.concatenate([draw.randn(30, 16), items[[3, 5, 250]]]))
+    sims = np.round(np.einsum("qd,id->qid", q, items).sum(axis=2), 12)
+    for depth in (1, 3, 50, 500):
+        rows, found, values = search._best_rows(q, items, depth)
+        for r in range(len(q)):
+            want = np.lexsort((np.arange(400), -sims[r]))[:depth]
+            mine = found[rows == r]
+            assert len(mine) == min(depth, 400) and np.allclose(values[rows == r], sims[r][want], atol=2e-12)
+            assert len(set(mine)) == len(mine) and np.allclose(sims[r][mine], values[rows == r], atol=2e-12)
+        assert found[rows == 30][:depth].tolist()[:3] == [3, 100, 101][:depth]
