@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 # The White_Space characters, and a string that the vocabulary holds as one token.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -27,17 +27,27 @@ OTHER_SPACES = "\t\v-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 UNUSUAL = re.compile(f"[{OTHER_SPACES}{BARE}]")
 # Chunks that are encoded together, a line feed between each two.
 TOGETHER = 256
+# Signs at a word's end, after a letter or digit: the vocabulary's own splitting parts them there, so a word is encoded
+# once whatever stands after it. The characters below LATIN have had their class since Unicode 6.
+LATIN = "\u0250"
+SIGNS = r"!-&(-/:-@\[-`{-~"
+END = re.compile(rf"[{SIGNS}](?<=[0-9A-Za-zªµºÀ-ÖØ-öø-\u024f][{SIGNS}])[{SIGNS}]*+(?![^ \n])")
 
 
 def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def is_word(chunk: str) -> bool:
+    """Whether the chunk is letters only, which the vocabulary's own splitting leaves in one."""
+    return chunk.isalpha() and (chunk.isascii() or max(chunk) < LATIN)
+
+
 class Encoder:
     """Ids of texts, with the ids of frequent chunks kept between texts.
 
     The cache takes the first chunks a worker meets, which hold the frequent ones, until its bytes are used up; it saves
-    time and changes no result.
+    time and changes no result. Signs at a word's end are a chunk by themselves.
     """
 
     _open: dict[str, Encoder] = {}
@@ -48,6 +58,10 @@ class Encoder:
         # Ids of a vocabulary up to 65,536 entries fit two bytes.
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        # Splitting by the vocabulary's pattern, and the same for texts of words with line feeds between them.
+        self.pattern = self.tokenizer.pre_tokenizer
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.feeds = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), level])
         self.cache: dict[str, bytes] = {}
         self.bytes = 0
 
@@ -81,7 +95,14 @@ class Encoder:
     def _encoded(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of chunks by key: after ``BARE`` the chunk as it is, a line feed, else the chunk without its blank."""
         plain = [k for k in keys if k and k != "\n" and k[0] != BARE]
-        found = dict(zip(plain, self._spaced([" " + k for k in plain]), strict=True)) if plain else {}
+        words = [k for k in plain if is_word(k)]
+        self.tokenizer.pre_tokenizer = self.feeds
+        try:
+            found = dict(zip(words, self._spaced([" " + k for k in words]), strict=True))
+        finally:
+            self.tokenizer.pre_tokenizer = self.pattern
+        mixed = [k for k in plain if k not in found]
+        found |= dict(zip(mixed, self._spaced([" " + k for k in mixed]), strict=True))
         other = [k for k in keys if k not in found]
         texts = [k[1:] if k[:1] == BARE else k or " " for k in other]
         return found | dict(zip(other, self._raw(texts), strict=True))
@@ -106,7 +127,7 @@ class Encoder:
                 c[1:] if c[0] == " " and not c.isspace() and c[1] != BARE else c if c == "\n" else BARE + c
                 for c in CHUNK.findall(text)
             ]
-        return (BARE + text.replace("\n", f" \n {BARE}")).split(" ")
+        return (BARE + END.sub(f" {BARE}\\g<0>", text).replace("\n", f" \n {BARE}")).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from mnemora.llm import best_fit, byte_bpe, common, cutting_stock, graph, identifiers, licenses, near_duplicates, quality
+from mnemora.llm import best_fit, byte_bpe, common, cutting_stock, graph, identifiers, licenses, near_duplicates, quality, tokens
 from mnemora.llm.common import prepared
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -244,6 +244,26 @@ def test_packing_is_lossless(docs, pack):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_a_word_is_encoded_once_whatever_ends_it(monkeypatch):
+    encoder, encoded = tokens.Encoder(tokens.default_path()), []
+    plain = encoder._encoded
+    monkeypatch.setattr(encoder, "_encoded", lambda keys: (encoded.extend(keys), plain(keys))[1])
+    words = [f"zqu{a}{b}ß" for a in "bcdfg" for b in "hjklm"]
+    text = "\n".join(f"and {w} {w}, {w}. {w}!! {w}.$$$ {w}9)" for w in words)
+    assert encoder.encode([text])[0] == np.array(encoder.tokenizer.encode(text).ids, encoder.dtype).tobytes()
+    assert len(encoded) <= 2 * len(words) + 10
+
+
+def test_chunks_have_the_ids_of_the_whole_text():
+    encoder, rng = tokens.Encoder(tokens.default_path()), random.Random(6)
+    parts = ["don't", "'s", "'", ",", ".$", "--", "_", "×", "÷", "²", "ª", "中", "ǆ", "ɐ", "Ж", "é", "ab", "Z9", "7", "!", "~`", "\x1c", "\0"]
+    parts += [" ", " ", " ", "\n", "\n", "  ", "\t", "\xa0", "<|endoftext|>", "\u0301", "😀", "we'll,"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(6000)]
+    texts += ["".join(rng.choices(parts[:-11] + [" ", " "], k=rng.randrange(1, 14))) for _ in range(6000)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, encoder.dtype).tobytes(), text
+
+
 def test_patterns_cover_the_demand_and_waste_little():
     rng = np.random.default_rng(3)
     demand = np.bincount(rng.integers(1, 200, 5000), minlength=257)[1:257]
