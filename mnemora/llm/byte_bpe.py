@@ -2,7 +2,7 @@
 
 A token is written as one character, ``FIRST`` + its rank, so a word's pieces are a string and the order of
 characters is the order of ranks. The rank map is a literal: for each pair of tokens the token they
-merge to. Words that whole corpora share are folded once; other words are folded where they stand.
+merge to, written into short strings that are sent to a task once. Words that whole corpora share are folded once; other words are folded where they stand.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -28,6 +29,8 @@ from mnemora.llm.tokens import SPACES as _SPACES
 FIRST = 0x800  # 50,256 ranks from here stay below the surrogates
 NONE = "\uffff"  # no merge; also the place of a word that is folded later
 BUCKETS = 16_384
+# Marks before and after a key; neither is a token or a byte.
+KEY, VALUE = "\ue000", "\ue001"
 # Frequent words folded once and sent to all tasks; other words are folded in place.
 SHARED_WORDS = 400_000
 # Longer words are merged by a heap, since a fold copies its state in each step.
@@ -48,43 +51,60 @@ def _char(rank: int) -> str:
     return chr(FIRST + rank)
 
 
-def _bucketed(entries: dict[str, str]) -> str:
-    """A JSON array of small maps, by checksum of the key: a Spark map is searched entry by entry."""
-    rows: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+def _bucketed(entries: dict[str, str]) -> Column:
+    """An array of strings that hold key and value of some entries each, by checksum of the key.
+
+    Behind the start of a string, where a missing key is found, stands ``NONE``.
+    """
+    rows = [[VALUE + VALUE + NONE] for _ in range(BUCKETS)]
     for key, value in entries.items():
-        rows[zlib.crc32(key.encode()) % BUCKETS][key] = value
-    return json.dumps(rows)
+        rows[zlib.crc32(key.encode()) % BUCKETS].append(KEY + key + value)
+    return F.from_json(F.lit(json.dumps(["".join(r) for r in rows])), "array<string>")
 
 
 class Fold:
     """The literals of one vocabulary, and the fold as a Column expression."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        kind = "array<map<string,string>>"
-        pairs = {
-            _char(ranks[t[:i]]) + _char(ranks[t[i:]]): _char(r)
-            for t, r in ranks.items()
-            for i in range(1, len(t))
-            if t[:i] in ranks and t[i:] in ranks
-        }
-        self.pairs = F.from_json(F.lit(_bucketed(pairs)), kind)
-        self.tokens = F.from_json(F.lit(_bucketed({t.decode("latin-1"): _char(r) for t, r in ranks.items()})), kind)
+        self.pairs = _bucketed(
+            {
+                _char(ranks[t[:i]]) + _char(ranks[t[i:]]): _char(r)
+                for t, r in ranks.items()
+                for i in range(1, len(t))
+                if t[:i] in ranks and t[i:] in ranks
+            }
+        )
+        self.tokens = _bucketed({t.decode("latin-1") + VALUE: _char(r) for t, r in ranks.items()})
         self.bytes = "".join(chr(b) for b in range(256))
         self.byte_tokens = "".join(_char(ranks[bytes([b])]) for b in range(256))
 
     @staticmethod
-    def _get(literal: Column, key: Column) -> Column:
-        return F.coalesce(F.element_at(F.get(literal, (F.crc32(key) % BUCKETS).cast("int")), key), F.lit(NONE))
+    def _get(literal: Column, key: Column, size: Column | None = None) -> Column:
+        """The value of a key of ``size`` characters, two if not given, or ``NONE``."""
+        bucket = F.get(literal, (F.crc32(key) % BUCKETS).cast("int"))
+        at = lambda b: F.instr(b, F.concat(F.lit(KEY), key))
+        if size is None:  # a missing key is at 0, and NONE at 3
+            return let(bucket, lambda b: F.substring(b, at(b) + 3, F.lit(1)))
+        return let(bucket, lambda b: let(at(b), lambda i: F.when(i > 0, F.substring(b, i + size + 1, F.lit(1))).otherwise(NONE)))
 
     def __call__(self, word: Column) -> Column:
         """The tokens of a word as characters."""
         raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        return let(raw, lambda r: let(self._get(self.tokens, r), lambda t: F.when(t != NONE, t).otherwise(self._merge(r))))
 
-    def _merge(self, raw: Column) -> Column:
+        def found(r: Column) -> Column:
+            whole = self._get(self.tokens, F.concat(r, F.lit(VALUE)), F.length(r) + 1)
+            # The pairs are bound once: a literal is sent with each place that names it.
+            return let(whole, lambda t: F.when(t != NONE, t).otherwise(let(self.pairs, lambda pairs: self._merge(r, pairs))))
+
+        return let(raw, found)
+
+    def _merge(self, raw: Column, literal: Column) -> Column:
+        def pair(key: Column) -> Column:
+            return self._get(literal, key)
+
         def next_to(pieces: Column) -> Column:
             pairs = F.sequence(F.lit(1), F.length(pieces) - 1)
-            return F.array_join(F.transform(pairs, lambda i: self._get(self.pairs, F.substring(pieces, i, F.lit(2)))), "")
+            return F.array_join(F.transform(pairs, lambda i: pair(F.substring(pieces, i, F.lit(2)))), "")
 
         def step(acc: Column, _: Column) -> Column:
             return let(
@@ -96,10 +116,8 @@ class Fold:
 
         def merge(pieces: Column, following: Column, best: Column, i: Column) -> Column:
             """Put ``best`` in the place of pieces i and i + 1 and look up its new neighbours."""
-            before = F.when(i > 1, self._get(self.pairs, F.concat(F.substring(pieces, i - 1, F.lit(1)), best))).otherwise("")
-            after = F.when(
-                i < F.length(following), self._get(self.pairs, F.concat(best, F.substring(pieces, i + 2, F.lit(1))))
-            ).otherwise("")
+            before = F.when(i > 1, pair(F.concat(F.substring(pieces, i - 1, F.lit(1)), best))).otherwise("")
+            after = F.when(i < F.length(following), pair(F.concat(best, F.substring(pieces, i + 2, F.lit(1))))).otherwise("")
             gone = F.lit(1) + (i > 1).cast("int") + (i < F.length(following)).cast("int")
             return F.struct(
                 F.overlay(pieces, best, i, F.lit(2)).alias("pieces"),
@@ -260,6 +278,8 @@ def token_ids(tokens: Column) -> Column:
     )
 
 
+# Texts whose ids are looked up together.
+DIGESTED = 128
 DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -268,17 +288,29 @@ def bpe_report(docs: DataFrame, path: str | None = None, limit: int = SHARED_WOR
     ranks = read_ranks(path or default_path())
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {_char(r): str(r) for r in ranks.values()}
-        piece = {_char(r): t for t, r in ranks.items()}
-        sha = lambda x: hashlib.sha256(x).hexdigest()
+        size = max(ranks.values()) + 1
+        piece = {r: t for t, r in ranks.items()}
+        numbers = pa.array([f"{r},".encode() for r in range(size)], pa.binary())
+        pieces = pa.array([piece.get(r) for r in range(size)], pa.binary())
+
+        def hashes(values: pa.Array, ids: pa.Array, ends: np.ndarray, cut: int) -> pa.Array:
+            """Digests of the values of ids, joined per text; the last ``cut`` bytes of a text are left out."""
+            taken = values.take(ids)
+            at = np.frombuffer(taken.buffers()[1], np.int32, len(ids) + 1)[ends].tolist()
+            joined = memoryview(taken.buffers()[2])
+            sums = [hashlib.sha256(joined[a : max(a, b - cut)]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
+            return pa.array(sums, pa.string())
+
         for batch in batches:
-            tokens = batch.column("tokens").to_pylist()
-            ids = [sha(",".join(map(number.__getitem__, t)).encode()) for t in tokens]
-            decoded = [sha(b"".join(map(piece.__getitem__, t))) for t in tokens]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, tokens), pa.int64()), pa.array(ids, pa.string())]
-                + [pa.array(decoded, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for start in range(0, len(batch), DIGESTED):
+                part = batch.slice(start, DIGESTED)
+                tokens = part.column("tokens").to_pylist()
+                sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                ids = pa.array(np.frombuffer("".join(tokens).encode("utf-16-le"), "<u2") - np.uint16(FIRST))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(sizes), hashes(numbers, ids, ends, 1), hashes(pieces, ids, ends, 0)],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return encoded(docs, path, limit).mapInArrow(digested, DIGEST)

@@ -406,6 +406,17 @@ def test_byte_bpe_matches_the_library(docs, limit):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_byte_bpe_sends_its_pairs_once(spark):
+    """Each place that names the literal would send it again with every task."""
+    fold = byte_bpe.Fold(byte_bpe.read_ranks(byte_bpe.default_path()))
+    words = prepared(spark).createDataFrame([(w,) for w in ["zquß", "a", "\ue000\ue001", "中中", " \x00\x01", "x" * 70]], "word string")
+    frame = words.select("word", fold(common.F.col("word")).alias("t"))
+    plan = frame._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json") == 2
+    ranks = byte_bpe.read_ranks(byte_bpe.default_path())
+    assert all(r["t"] == byte_bpe.heap_merged(r["word"].encode(), ranks) for r in frame.collect())
+
+
 def test_words_split_alike():
     import public_tokenizers
     import regex
