@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
 # The White_Space characters, and a string that the vocabulary holds as one token.
@@ -17,37 +19,78 @@ SPECIAL = "<|endoftext|>"
 # does as well: each chunk can be encoded by itself.
 CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 # Bytes that the cached chunks of one worker may take, and the longest chunk that is kept between batches.
-CACHE_BYTES, CACHED_LENGTH = 48 * 1024 * 1024, 64
-# What a chunk takes besides its characters and ids: two objects and its place in the table.
-ENTRY_BYTES = 200
+CACHE_BYTES, CACHED_LENGTH = 24 * 1024 * 1024, 64
+# Texts that are encoded together: a chunk that several of them hold is looked up once.
+TEXTS = 2048
+# What a chunk takes besides its characters and ids: two offsets, and its place in the table of a lookup.
+ENTRY_BYTES = 40
 # A chunk without a leading blank is kept under this mark; other chunks are kept without their blank.
 BARE = "\0"
 # White space other than blanks and line feeds, and the mark.
 OTHER_SPACES = "\t\v-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-UNUSUAL = re.compile(f"[{OTHER_SPACES}{BARE}]")
+# White space that is not split into single characters needs the pattern.
+GROUPED = rf"[{OTHER_SPACES}\x00]|  | \n|\n |\n\n\n|\n\n\z"
 # Chunks that are encoded together, a line feed between each two.
 TOGETHER = 256
+# A vocabulary without such a token merges nothing across a line feed that stands between a word and a blank.
+ACROSS = re.compile("[^\u010a]\u010a|\u010a\u0120")
+# Letters that have had their class since Unicode 6, below U+0250.
+LATIN = "A-Za-zªµºÀ-ÖØ-öø-\u024f"
+# Letters only, which the vocabulary's own splitting leaves in one.
+WORD = rf"\A[{LATIN}]+\z"
 # Signs at a word's end, after a letter or digit: the vocabulary's own splitting parts them there, so a word is encoded
-# once whatever stands after it. The characters below LATIN have had their class since Unicode 6.
-LATIN = "\u0250"
+# once whatever stands after it.
 SIGNS = r"!-&(-/:-@\[-`{-~"
-END = re.compile(rf"[{SIGNS}](?<=[0-9A-Za-zªµºÀ-ÖØ-öø-\u024f][{SIGNS}])[{SIGNS}]*+(?![^ \n])")
+END = rf"([0-9{LATIN}])([{SIGNS}]+)( |\z)"
 
 
 def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def is_word(chunk: str) -> bool:
-    """Whether the chunk is letters only, which the vocabulary's own splitting leaves in one."""
-    return chunk.isalpha() and (chunk.isascii() or max(chunk) < LATIN)
+def chunk_keys(text: str) -> list[str]:
+    """Keys of a text's chunks, in order."""
+    return [
+        c[1:] if c[0] == " " and not c.isspace() and c[1] != BARE else c if c == "\n" else BARE + c for c in CHUNK.findall(text)
+    ]
+
+
+def chunk_of(key: str) -> str:
+    return key[1:] if key[:1] == BARE else key if key == "\n" else " " + key
+
+
+def chunked(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """Keys of the chunks of all texts, each distinct key once, and where the keys of each text start and end.
+
+    Texts whose white space is single blanks and line feeds are split in Arrow columns, and signs at a word's end are a
+    chunk by themselves there; others are split by the pattern.
+    """
+    grouped = pc.match_substring_regex(texts, GROUPED)
+    fed = pc.replace_substring(texts.filter(pc.invert(grouped)), "\n", f" \n {BARE}")
+    signed = pc.replace_substring_regex(fed, END, rf"\1 {BARE}\2\3")
+    single = pc.split_pattern(pc.binary_join_element_wise(BARE, signed, ""), " ")
+    rows = [chunk_keys(t) for t in texts.filter(grouped).to_pylist()]
+    keys = pa.concat_arrays([single.flatten(), pa.array([k for row in rows for k in row], pa.string())])
+    sizes = np.concatenate([np.diff(np.asarray(single.offsets)), np.array([len(row) for row in rows], np.int64)])
+    # The texts in the order of their keys.
+    order = np.argsort(np.asarray(grouped), kind="stable")
+    starts, ends = np.empty((2, len(texts)), np.int64)
+    ends[order] = np.cumsum(sizes)
+    starts[order] = ends[order] - sizes
+    return keys.dictionary_encode(), starts, ends
+
+
+def _binaries(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Parts of an array of ids as binary values; ``ends`` counts ids."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * ids.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
 
 class Encoder:
     """Ids of texts, with the ids of frequent chunks kept between texts.
 
-    The cache takes the first chunks a worker meets, which hold the frequent ones, until its bytes are used up; it saves
-    time and changes no result. Signs at a word's end are a chunk by themselves.
+    The cache takes chunks that a batch holds more than once, until its bytes are used up; it saves time and changes no
+    result. Chunks and their ids stay in Arrow columns.
     """
 
     _open: dict[str, Encoder] = {}
@@ -58,11 +101,13 @@ class Encoder:
         # Ids of a vocabulary up to 65,536 entries fit two bytes.
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        # Splitting by the vocabulary's pattern, and the same for texts of words with line feeds between them.
+        # Splitting by the vocabulary's pattern, and the same for texts of words with line feeds between them: not split
+        # at all if no merge can cross a line feed there, which spares the library most of its work on a word.
         self.pattern = self.tokenizer.pre_tokenizer
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.feeds = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), level])
-        self.cache: dict[str, bytes] = {}
+        split = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), level])
+        self.feeds = split if any(map(ACROSS.search, self.tokenizer.get_vocab())) else level
+        self.known, self.known_ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
         self.bytes = 0
 
     @classmethod
@@ -72,71 +117,76 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    @property
+    def cache(self) -> dict[str, bytes]:
+        """The kept chunks and their ids."""
+        return dict(zip(self.known.to_pylist(), self.known_ids.to_pylist(), strict=True))
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
-    def _spaced(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that start with a blank and hold no other white space, many in one text.
+    def _spaced(self, chunks: pa.Array) -> pa.Array:
+        """Ids of chunks without their leading blank that hold no other white space, many in one text.
 
-        The line feed between two chunks is a token by itself, and no other token holds its byte.
+        The line feed between two chunks is a token by itself: it is split off, or no merge can cross it.
         """
-        joined = ["\n".join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)]
-        out: list[bytes] = []
-        for found in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.array(found.ids, dtype=self.dtype)
-            raw, at = ids.tobytes(), 0
-            for cut in (np.flatnonzero(ids == self.feed) * ids.itemsize).tolist():
-                out.append(raw[at:cut])
-                at = cut + ids.itemsize
-            out.append(raw[at:])
-        return out
-
-    def _encoded(self, keys: list[str]) -> dict[str, bytes]:
+        cuts = pa.array([*range(0, len(chunks), TOGETHER), len(chunks)], pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(cuts, chunks), "\n ").to_pylist() if len(chunks) else []
+        found = self.tokenizer.encode_batch_fast([" " + x for x in joined], add_special_tokens=False)
+        ids = np.concatenate([np.array([*x.ids, self.feed], self.dtype) for x in found] or [np.array([], self.dtype)])
+        feeds = ids == self.feed
+        return _binaries(ids[~feeds], np.flatnonzero(feeds) - np.arange(len(chunks)))
+
+    def _encoded(self, keys: pa.Array) -> pa.Array:
         """Ids of chunks by key: after ``BARE`` the chunk as it is, a line feed, else the chunk without its blank."""
-        plain = [k for k in keys if k and k != "\n" and k[0] != BARE]
-        words = [k for k in plain if is_word(k)]
+        word = pc.match_substring_regex(keys, WORD)
+        raw = pc.or_(pc.is_in(keys, pa.array(["", "\n"])), pc.starts_with(keys, BARE))
+        mixed = pc.invert(pc.or_(word, raw))
         self.tokenizer.pre_tokenizer = self.feeds
         try:
-            found = dict(zip(words, self._spaced([" " + k for k in words]), strict=True))
+            words = self._spaced(keys.filter(word))
         finally:
             self.tokenizer.pre_tokenizer = self.pattern
-        mixed = [k for k in plain if k not in found]
-        found |= dict(zip(mixed, self._spaced([" " + k for k in mixed]), strict=True))
-        other = [k for k in keys if k not in found]
-        texts = [k[1:] if k[:1] == BARE else k or " " for k in other]
-        return found | dict(zip(other, self._raw(texts), strict=True))
-
-    def _known(self, chunks: set[str]) -> list[str]:
-        """Put these chunks into the cache; returns those that cannot stay."""
-        missing = chunks.difference(self.cache)
-        passing = []
-        for c, ids in self._encoded(list(missing)).items():
-            self.cache[c] = ids
-            if len(c) > CACHED_LENGTH or self.bytes > CACHE_BYTES:
-                passing.append(c)
-            else:
-                self.bytes += len(c) + len(ids) + ENTRY_BYTES
-        return passing
-
-    def _chunks(self, text: str) -> list[str]:
-        """Keys of a text's chunks, in order."""
-        # White space that is not split into single characters needs the pattern.
-        if text.endswith("\n\n") or "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or UNUSUAL.search(text):
-            return [
-                c[1:] if c[0] == " " and not c.isspace() and c[1] != BARE else c if c == "\n" else BARE + c
-                for c in CHUNK.findall(text)
-            ]
-        return (BARE + END.sub(f" {BARE}\\g<0>", text).replace("\n", f" \n {BARE}")).split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``dtype``."""
-        chunks = [[] if SPECIAL in t else self._chunks(t) for t in texts]
-        passing = self._known(set().union(*chunks))
-        out = [b"".join(map(self.cache.__getitem__, row)) for row in chunks]
-        for c in passing:
-            del self.cache[c]
-        whole = [i for i, t in enumerate(texts) if SPECIAL in t]
-        for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        other = pa.array(self._raw([chunk_of(k) for k in keys.filter(raw).to_pylist()]), pa.large_binary())
+        places = np.concatenate([np.flatnonzero(np.asarray(x)) for x in (word, mixed, raw)])
+        return pa.concat_arrays([words, self._spaced(keys.filter(mixed)), other]).take(pa.array(np.argsort(places)))
+
+    def _keep(self, keys: pa.Array, ids: pa.Array) -> None:
+        """Take the first of these chunks into the cache, as far as its bytes go."""
+        sizes = pc.add(pc.binary_length(keys).cast(pa.int64()), pc.binary_length(ids))
+        total = self.bytes + np.cumsum(np.asarray(sizes) + ENTRY_BYTES)
+        n = int(np.searchsorted(total, CACHE_BYTES, "right"))
+        if n:
+            self.known = pa.concat_arrays([self.known, keys[:n]])
+            self.known_ids = pa.concat_arrays([self.known_ids, ids[:n]])
+            self.bytes = int(total[n - 1])
+
+    def _ids(self, keys: pa.Array, counts: np.ndarray) -> pa.Array:
+        """Ids of distinct keys; keys that are counted more than once go to the cache."""
+        place = pc.index_in(keys, self.known)
+        missing = np.asarray(place.is_null())
+        new = keys.filter(pa.array(missing))
+        found = self._encoded(new)
+        at = np.array(place.fill_null(0), np.int64)
+        at[missing] = len(self.known) + np.arange(len(new))
+        out = pa.concat_arrays([self.known_ids, found]).take(pa.array(at))
+        kept = pa.array((counts[missing] > 1) & (np.asarray(pc.utf8_length(new)) <= CACHED_LENGTH))
+        self._keep(new.filter(kept), found.filter(kept))
+        return out
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian integers of ``dtype``; the texts hold no null."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        special = pc.match_substring(texts, SPECIAL)
+        keys, starts, ends = chunked(pc.if_else(special, "", texts))
+        counts = np.bincount(np.asarray(keys.indices), minlength=len(keys.dictionary))
+        ids = self._ids(keys.dictionary, counts).take(keys.indices)
+        # Where the ids of each chunk start, and of the last one end.
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
+        raw = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(raw[a:b]) for a, b in zip(at[starts].tolist(), at[ends].tolist(), strict=True)]
+        whole = np.flatnonzero(np.asarray(special)).tolist()
+        for i, found in zip(whole, self._raw([texts[i].as_py() for i in whole]), strict=True):
+            out[i] = found
         return out

@@ -264,6 +264,34 @@ def test_chunks_have_the_ids_of_the_whole_text():
         assert ids == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, encoder.dtype).tobytes(), text
 
 
+def test_encoder_takes_columns_and_keeps_repeated_chunks_only():
+    import pyarrow as pa
+
+    encoder = tokens.Encoder(tokens.default_path())
+    once = [f"zq{a}{b}v" for a in "bcdfghjklm" for b in "npqrstvwxz"]
+    texts = [" ".join(["the cat", *once[at : at + 10], "sat,"]) for at in range(0, 100, 10)]
+    texts += ["the\n\n\ncat  sat", "", "the <|endoftext|> cat", "中 the\tcat\n"]
+    plain = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for column in (pa.array(["x", *texts]).slice(1), pa.array(texts)):
+        assert encoder.encode(column) == [np.array(x.ids, encoder.dtype).tobytes() for x in plain]
+        assert {"cat", "sat"} < set(encoder.cache) and not set(once) & set(encoder.cache)
+    assert encoder.encode(pa.array([], pa.string())) == []
+
+
+def test_merges_across_line_feeds_do_not_join_words(tmp_path):
+    import json
+
+    own = json.load(open(tokens.default_path()))
+    merges = own["model"]["merges"]
+    merges.insert(0, ["a", "\u010a"] if isinstance(merges[0], list) else "a \u010a")
+    own["model"]["vocab"]["a\u010a"] = len(own["model"]["vocab"]) + 1
+    path = str(tmp_path / "own.json")
+    json.dump(own, open(path, "w"))
+    text = " ".join(f"zq{x}va" for x in "bcdfghjklm")
+    for encoder in map(tokens.Encoder, (tokens.default_path(), path)):
+        assert encoder.encode([text])[0] == np.array(encoder.tokenizer.encode(text).ids, encoder.dtype).tobytes()
+
+
 def test_patterns_cover_the_demand_and_waste_little():
     rng = np.random.default_rng(3)
     demand = np.bincount(rng.integers(1, 200, 5000), minlength=257)[1:257]
