@@ -12,19 +12,20 @@ import hashlib
 import json
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.llm.common import let, saved
 from mnemora.llm.tokens import SPACES as _SPACES
+from mnemora.llm.tokens import WORD, chunk_of, chunked
 
 FIRST = 0x800  # 50,256 ranks from here stay below the surrogates
 NONE = "\uffff"  # no merge; also the place of a word that is folded later
@@ -35,7 +36,10 @@ KEY, VALUE = "\ue000", "\ue001"
 SHARED_WORDS = 400_000
 # Longer words are merged by a heap, since a fold copies its state in each step.
 FOLDED_BYTES = 256
-FLUSH_WORDS = 500_000
+# Texts that are split together: each of their distinct chunks is looked at once.
+TEXTS = 512
+# Counted words that a task holds before it hands them on, and rows that go in one batch then.
+FLUSH_WORDS, FLUSHED_ROWS = 500_000, 100_000
 
 
 def default_path() -> str:
@@ -177,29 +181,52 @@ def split_words(text: str) -> list[str]:
     return (_FAST if plain else _SLOW).findall(text)
 
 
-def _long(word: str) -> bool:
-    return len(word) * 4 > FOLDED_BYTES and len(word.encode()) > FOLDED_BYTES
+def _parts(values: pa.Array, cuts: np.ndarray) -> pa.Array:
+    """Strings joined between each two cuts, or lists of what lies there."""
+    if pa.types.is_list(values.type):
+        return pa.ListArray.from_arrays(pa.array(np.asarray(values.offsets)[cuts], pa.int32()), values.values)
+    at = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1)[cuts]
+    return pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(at), values.buffers()[2]])
+
+
+def chunk_words(keys: pa.Array) -> pa.ListArray:
+    """The words of each chunk by its key; only chunks that are not of letters alone need the pattern."""
+    lettered = pc.match_substring_regex(keys, WORD)
+    rows = [split_words(chunk_of(k)) for k in keys.filter(pc.invert(lettered)).to_pylist()]
+    single = pc.binary_join_element_wise(" ", keys.filter(lettered), "")
+    words = pa.concat_arrays([single, pa.array([w for row in rows for w in row], pa.string())])
+    sizes = np.concatenate([np.ones(len(single), np.int64), np.array([len(row) for row in rows], np.int64)])
+    cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    order = np.argsort(~np.asarray(lettered), kind="stable")
+    return pa.ListArray.from_arrays(cuts, words).take(pa.array(np.argsort(order)))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents, added up in the tasks before the shuffle; long words are left out."""
+    """(word, n) over all documents, added up in the tasks before the shuffle; long words are left out.
+
+    A batch's words are counted by its distinct chunks, in Arrow columns.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        pending: list[pa.Table] = []
 
-        def flush() -> pa.RecordBatch:
-            rows = [(w, n) for w, n in counts.items() if not _long(w)]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"]
-            )
+        def added() -> pa.Table:
+            return pa.concat_tables(pending).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                counts.update(split_words(text.as_py() or ""))
-            if len(counts) > FLUSH_WORDS:
-                yield flush()
-        yield flush()
+            for at in range(0, len(batch), TEXTS):
+                keys, _, _ = chunked(batch.column("text").slice(at, TEXTS).fill_null(""))
+                counts = np.bincount(np.asarray(keys.indices), minlength=len(keys.dictionary))
+                words = chunk_words(keys.dictionary)
+                counts = np.repeat(counts, np.diff(np.asarray(words.offsets)))
+                rows = pa.table({"word": words.flatten(), "n": pa.array(counts, pa.int64())})
+                pending.append(rows.filter(pc.less_equal(pc.binary_length(rows["word"]), FOLDED_BYTES)))
+                if sum(map(len, pending)) > FLUSH_WORDS:
+                    pending[:] = [added()]
+                    if len(pending[0]) > FLUSH_WORDS // 2:
+                        yield from pending.pop().to_batches(FLUSHED_ROWS)
+        if pending:
+            yield from added().to_batches(FLUSHED_ROWS)
 
     rows = docs.select("text").mapInArrow(counted, "word string, n bigint")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -238,26 +265,30 @@ def encoded(docs: DataFrame, path: str | None = None, limit: int = SHARED_WORDS)
     shared = docs.sparkSession.sparkContext.broadcast(shared_words(docs, fold, limit))
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(zip(*(c.to_pylist() for c in shared.value.columns), strict=True))
+        table = shared.value.combine_chunks()
+        known, tokens = (table[c].combine_chunks().cast(pa.string()) for c in ("word", "t"))
+        tokens = pa.concat_arrays([tokens, pa.array([NONE])])
         for batch in batches:
-            tokens, rare = [], []
-            for text in batch.column("text"):
-                words = split_words(text.as_py() or "")
-                found = [known.get(w, NONE) for w in words]
-                rest = []
-                if NONE in found:
-                    for i, w in enumerate(words):
-                        if found[i] == NONE:
-                            if _long(w):
-                                found[i] = heap_merged(w.encode(), ranks)
-                            else:
-                                rest.append(w)
-                tokens.append("".join(found))
-                rare.append(rest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(tokens, pa.string()), pa.array(rare, pa.list_(pa.string()))],
-                names=["doc_id", "tokens", "rare"],
-            )
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
+                keys, starts, ends = chunked(part.column("text").fill_null(""))
+                words = chunk_words(keys.dictionary)
+                cuts, flat = np.asarray(words.offsets), words.flatten()
+                place = np.array(pc.index_in(flat, known).fill_null(len(known)), np.int64)
+                long = np.flatnonzero((place == len(known)) & (np.asarray(pc.binary_length(flat)) > FOLDED_BYTES))
+                merged = [heap_merged(flat[i].as_py().encode(), ranks) for i in long.tolist()]
+                place[long] = len(tokens) + np.arange(len(long))
+                found = pa.concat_arrays([tokens, pa.array(merged, pa.string())]).take(pa.array(place))
+                rare = place == len(known)
+                rest = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(rare)])[cuts], pa.int32()), flat.filter(pa.array(rare))
+                )
+                # From chunks to texts, which stand in the order of their chunks first.
+                order = np.argsort(starts)
+                bounds = np.concatenate([[0], ends[order]])
+                back = pa.array(np.argsort(order))
+                columns = [_parts(x.take(keys.indices), bounds).take(back) for x in (_parts(found, cuts), rest)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "tokens", "rare"])
 
     rows = docs.select("doc_id", "text").mapInArrow(looked_up, "doc_id bigint, tokens string, rare array<string>")
     # Before each rare word stands the text of known words up to its place.

@@ -434,6 +434,24 @@ def test_byte_bpe_matches_the_library(docs, limit):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_distinct_chunks_are_split_once_and_give_the_words_of_the_text(monkeypatch):
+    import pyarrow as pa
+
+    split, plain = [], byte_bpe.split_words
+    monkeypatch.setattr(byte_bpe, "split_words", lambda t: (split.append(t), plain(t))[1])
+    rng = random.Random(9)
+    parts = ["don't", "'s", "we'll,", ",", ".$", "_", "²", "中", "ɐ", "Ж", "é", "ab", "Z9", "7", "!", "\0", "\u0301", "😀"]
+    parts += [" ", " ", " ", "\n", "\n", "  ", "\t", "\xa0"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(4000)]
+    texts += ["".join(rng.choices(parts[:-4], k=rng.randrange(14))) for _ in range(4000)]
+    texts += ["", "\n", " ", "ab\n\n", *[" ".join(["it is, so", *["don't"] * 500])] * 100]
+    keys, starts, ends = tokens.chunked(pa.array(texts))
+    words, codes = byte_bpe.chunk_words(keys.dictionary).to_pylist(), keys.indices.to_pylist()
+    assert len(split) <= len(keys.dictionary) < len(codes) / 4
+    for text, a, b in zip(texts, starts.tolist(), ends.tolist(), strict=True):
+        assert [w for code in codes[a:b] for w in words[code]] == plain(text), text
+
+
 def test_byte_bpe_sends_its_pairs_once(spark):
     """Each place that names the literal would send it again with every task."""
     fold = byte_bpe.Fold(byte_bpe.read_ranks(byte_bpe.default_path()))
