@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.llm.common import saved
-from mnemora.llm.tokens import TEXTS, Encoder, default_path
+from mnemora.llm.tokens import Encoder, default_path, together
 
 CAPACITY = 2048
 END, PAD = 1, 0
@@ -79,8 +79,7 @@ def token_rows(docs: DataFrame, path: str) -> DataFrame:
         end = np.array([END], dtype=encoder.dtype).tobytes()
         width = len(end)
         for batch in batches:
-            for at in range(0, len(batch), TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in together(batch):
                 ids, texts = part.column("doc_id").to_pylist(), part.column("text").fill_null("")
                 rows = [
                     (doc_id, start // width, min(len(raw) - start, width * CAPACITY) // width, raw[start : start + width * CAPACITY])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemora.llm.common import saved
-from mnemora.llm.tokens import TEXTS, Encoder, default_path
+from mnemora.llm.tokens import Encoder, default_path, together
 
 CAPACITY, UNIT = 2048, 8
 CLASSES = CAPACITY // UNIT
@@ -147,8 +147,7 @@ def cut_pieces(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:
-            for at in range(0, len(batch), TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in together(batch):
                 ids, texts = part.column("doc_id").to_pylist(), part.column("text").fill_null("")
                 rows = []
                 for doc_id, raw in zip(ids, encoder.encode(texts), strict=True):

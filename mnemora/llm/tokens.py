@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -20,8 +21,9 @@ SPECIAL = "<|endoftext|>"
 CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 # Bytes that the cached chunks of one worker may take, and the longest chunk that is kept between batches.
 CACHE_BYTES, CACHED_LENGTH = 24 * 1024 * 1024, 64
-# Texts that are encoded together: a chunk that several of them hold is looked up once.
-TEXTS = 2048
+# Texts that are encoded together: a chunk that several of them hold is looked up once. Their chunks take many times
+# their bytes in a worker, so both are bounded.
+TEXTS, TEXT_BYTES = 512, 1024 * 1024
 # What a chunk takes besides its characters and ids: two offsets, and its place in the table of a lookup.
 ENTRY_BYTES = 40
 # A chunk without a leading blank is kept under this mark; other chunks are kept without their blank.
@@ -48,6 +50,21 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``TEXTS`` rows whose texts take ``TEXT_BYTES``; a longer text is a slice by itself.
+
+    What a slice took goes back before the next one, so a worker that waits holds little.
+    """
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text")).fill_null(0), np.int64))
+    at = 0
+    while at < len(batch):
+        room = (ends[at - 1] if at else 0) + TEXT_BYTES
+        end = min(at + TEXTS, max(at + 1, int(np.searchsorted(ends, room, "right"))))
+        yield batch.slice(at, end - at)
+        pa.default_memory_pool().release_unused()
+        at = end
+
+
 def chunk_keys(text: str) -> list[str]:
     """Keys of a text's chunks, in order."""
     return [

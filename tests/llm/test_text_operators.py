@@ -278,6 +278,33 @@ def test_encoder_takes_columns_and_keeps_repeated_chunks_only():
     assert encoder.encode(pa.array([], pa.string())) == []
 
 
+def test_texts_are_encoded_in_slices_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "TEXTS", 4)
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 100)
+    rows = ["a" * 60, None, "b b " * 15, "é c" * 125, "", *["d"] * 9, "e" * 101]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["doc_id", "text"])
+    seen, encode = [], tokens.Encoder.encode
+
+    def noted(self, texts):
+        seen.append([len(t.encode()) for t in texts.to_pylist()])
+        return encode(self, texts)
+
+    class Docs:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, task, _: task
+
+    monkeypatch.setattr(tokens.Encoder, "encode", noted)
+    for step in (cutting_stock.cut_pieces, best_fit.token_rows):
+        seen.clear()
+        out = pa.Table.from_batches(step(Docs(), tokens.default_path())(iter([batch, batch[:0]])))
+        assert out["doc_id"].to_pylist() == list(range(len(rows)))
+        assert [n for part in seen for n in part] == [len((t or "").encode()) for t in rows]
+        assert all(len(part) == 1 or len(part) <= 4 and sum(part) <= 100 for part in seen)
+        assert len(seen) == 7
+
+
 def test_merges_across_line_feeds_do_not_join_words(tmp_path):
     import json
 
