@@ -29,9 +29,9 @@ from mnemora.llm.tokens import WORD, chunk_of, chunked
 
 FIRST = 0x800  # 50,256 ranks from here stay below the surrogates
 NONE = "\uffff"  # no merge; also the place of a word that is folded later
-BUCKETS = 16_384
-# Marks before and after a key; neither is a token or a byte.
-KEY, VALUE = "\ue000", "\ue001"
+BUCKETS = 32_768
+# Marks at a word's ends and around a value; neither is a token or a byte.
+EDGE, VALUE = "\ue000", "\ue001"
 # Frequent words folded once and sent to all tasks; other words are folded in place.
 SHARED_WORDS = 400_000
 # Longer words are merged by a heap, since a fold copies its state in each step.
@@ -55,14 +55,21 @@ def _char(rank: int) -> str:
     return chr(FIRST + rank)
 
 
+def _is_text(token: bytes) -> bool:
+    try:
+        return bool(token.decode())
+    except UnicodeDecodeError:
+        return False
+
+
 def _bucketed(entries: dict[str, str]) -> Column:
     """An array of strings that hold key and value of some entries each, by checksum of the key.
 
-    Behind the start of a string, where a missing key is found, stands ``NONE``.
+    Each value stands between two marks behind its key, and ``NONE`` so at the start of a string.
     """
-    rows = [[VALUE + VALUE + NONE] for _ in range(BUCKETS)]
+    rows = [[VALUE + NONE + VALUE] for _ in range(BUCKETS)]
     for key, value in entries.items():
-        rows[zlib.crc32(key.encode()) % BUCKETS].append(KEY + key + value)
+        rows[zlib.crc32(key.encode()) % BUCKETS].append(key + VALUE + value + VALUE)
     return F.from_json(F.lit(json.dumps(["".join(r) for r in rows])), "array<string>")
 
 
@@ -78,61 +85,67 @@ class Fold:
                 if t[:i] in ranks and t[i:] in ranks
             }
         )
-        self.tokens = _bucketed({t.decode("latin-1") + VALUE: _char(r) for t, r in ranks.items()})
+        self.tokens = _bucketed({EDGE + t.decode("latin-1") + EDGE: _char(r) for t, r in ranks.items()})
         self.bytes = "".join(chr(b) for b in range(256))
         self.byte_tokens = "".join(_char(ranks[bytes([b])]) for b in range(256))
 
     @staticmethod
-    def _get(literal: Column, key: Column, size: Column | None = None) -> Column:
-        """The value of a key of ``size`` characters, two if not given, or ``NONE``."""
+    def _get(literal: Column, key: Column) -> Column:
+        """The value of a key, or ``NONE``: the second character of what follows the key, or else of the whole string."""
         bucket = F.get(literal, (F.crc32(key) % BUCKETS).cast("int"))
-        at = lambda b: F.instr(b, F.concat(F.lit(KEY), key))
-        if size is None:  # a missing key is at 0, and NONE at 3
-            return let(bucket, lambda b: F.substring(b, at(b) + 3, F.lit(1)))
-        return let(bucket, lambda b: let(at(b), lambda i: F.when(i > 0, F.substring(b, i + size + 1, F.lit(1))).otherwise(NONE)))
+        return F.substring(F.call_function("substring_index", bucket, key, F.lit(-1)), 2, 1)
 
     def __call__(self, word: Column) -> Column:
         """The tokens of a word as characters."""
         raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
+        def merged(r: Column, literal: Column) -> Column:
+            pieces = F.concat(F.lit(EDGE), F.translate(r, self.bytes, self.byte_tokens), F.lit(EDGE))
+            return let(pieces, lambda p: self._merge(p, next_to(p, literal), literal))
+
+        def next_to(pieces: Column, literal: Column) -> Column:
+            pairs = F.sequence(F.lit(1), F.length(pieces) - 1)
+            return F.array_join(F.transform(pairs, lambda i: self._get(literal, F.substring(pieces, i, F.lit(2)))), "")
+
         def found(r: Column) -> Column:
-            whole = self._get(self.tokens, F.concat(r, F.lit(VALUE)), F.length(r) + 1)
+            whole = self._get(self.tokens, F.concat(F.lit(EDGE), r, F.lit(EDGE)))
             # The pairs are bound once: a literal is sent with each place that names it.
-            return let(whole, lambda t: F.when(t != NONE, t).otherwise(let(self.pairs, lambda pairs: self._merge(r, pairs))))
+            return let(whole, lambda t: F.when(t != NONE, t).otherwise(let(self.pairs, lambda pairs: merged(r, pairs))))
 
         return let(raw, found)
 
-    def _merge(self, raw: Column, literal: Column) -> Column:
+    def each(self, words: Column) -> Column:
+        """The tokens of each word of an array of structs of ``pieces`` and ``next``, as ``Starts`` makes them."""
+        return let(self.pairs, lambda pairs: F.transform(words, lambda w: self._merge(w["pieces"], w["next"], pairs)))
+
+    def _merge(self, pieces: Column, following: Column, literal: Column) -> Column:
+        """The fold over a word's pieces between two marks, with what each two neighbours merge to. The marks merge
+        with nothing, so each piece has two neighbours.
+        """
+
         def pair(key: Column) -> Column:
             return self._get(literal, key)
 
-        def next_to(pieces: Column) -> Column:
-            pairs = F.sequence(F.lit(1), F.length(pieces) - 1)
-            return F.array_join(F.transform(pairs, lambda i: pair(F.substring(pieces, i, F.lit(2)))), "")
-
         def step(acc: Column, _: Column) -> Column:
             return let(
                 F.array_min(F.split(acc["next"], "")),
-                lambda best: F.when((best == NONE) | (best == ""), acc).otherwise(
+                lambda best: F.when(best == NONE, acc).otherwise(
                     let(F.instr(acc["next"], best), lambda i: merge(acc["pieces"], acc["next"], best, i))
                 ),
             )
 
         def merge(pieces: Column, following: Column, best: Column, i: Column) -> Column:
             """Put ``best`` in the place of pieces i and i + 1 and look up its new neighbours."""
-            before = F.when(i > 1, pair(F.concat(F.substring(pieces, i - 1, F.lit(1)), best))).otherwise("")
-            after = F.when(i < F.length(following), pair(F.concat(best, F.substring(pieces, i + 2, F.lit(1))))).otherwise("")
-            gone = F.lit(1) + (i > 1).cast("int") + (i < F.length(following)).cast("int")
-            return F.struct(
-                F.overlay(pieces, best, i, F.lit(2)).alias("pieces"),
-                F.overlay(following, F.concat(before, after), F.greatest(i - 1, F.lit(1)), gone).alias("next"),
-            )
 
-        def folded(pieces: Column) -> Column:
-            start = F.struct(pieces.alias("pieces"), next_to(pieces).alias("next"))
-            return F.aggregate(F.sequence(F.lit(2), F.length(pieces)), start, step)["pieces"]
+            def put(merged: Column) -> Column:
+                near = F.concat(pair(F.substring(merged, i - 1, F.lit(2))), pair(F.substring(merged, i, F.lit(2))))
+                return F.struct(merged.alias("pieces"), F.overlay(following, near, i - 1, F.lit(3)).alias("next"))
+
+            return let(F.overlay(pieces, best, i, F.lit(2)), put)
 
-        return let(F.translate(raw, self.bytes, self.byte_tokens), lambda p: F.when(F.length(p) > 1, folded(p)).otherwise(p))
+        start = F.struct(pieces.alias("pieces"), following.alias("next"))
+        merges = F.sequence(F.lit(4), F.greatest(F.length(pieces), F.lit(4)))  # one less than pieces, one at least
+        return F.translate(F.aggregate(merges, start, step)["pieces"], EDGE, "")
 
 
 def heap_merged(word: bytes, ranks: dict[bytes, int]) -> str:
@@ -161,6 +174,38 @@ def heap_merged(word: bytes, ranks: dict[bytes, int]) -> str:
     return "".join(_char(ranks[p]) for p in parts if p is not None)
 
 
+class Starts:
+    """Where the fold of a word starts, for many words at once in Arrow columns: its bytes' tokens between two marks,
+    and what each two neighbours merge to. All of these are characters of three bytes.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        chars = [_char(ranks[bytes([b])]) for b in range(256)] + [EDGE]
+        self.pieces = np.frombuffer("".join(chars).encode(), np.uint8).reshape(257, 3)
+        self.next = np.tile(np.frombuffer(NONE.encode(), np.uint8), (257, 257, 1))
+        for pair, rank in ranks.items():
+            if len(pair) == 2:
+                self.next[pair[0], pair[1]] = np.frombuffer(_char(rank).encode(), np.uint8)
+
+    @staticmethod
+    def _strings(chars: np.ndarray, cuts: np.ndarray) -> pa.Array:
+        ends, raw = (cuts * 3).astype(np.int32), np.ascontiguousarray(chars)
+        return pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+
+    def __call__(self, words: pa.Array) -> pa.StructArray:
+        sizes = np.asarray(pc.binary_length(words), np.int64)
+        cuts, one = np.concatenate([[0], np.cumsum(sizes)]), np.arange(len(words) + 1)
+        edges = np.zeros(cuts[-1] + 2 * len(words), bool)
+        edges[(cuts + 2 * one)[:-1]] = edges[(cuts + 2 * one)[1:] - 1] = True
+        codes = np.full(len(edges), 256)
+        codes[~edges] = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
+        # All neighbours but a word's last mark and the next one's first.
+        left = np.delete(np.arange(len(codes)), (cuts + 2 * one)[1:] - 1)
+        pieces = self._strings(self.pieces[codes], cuts + 2 * one)
+        following = self._strings(self.next[codes[left], codes[left + 1]] if len(left) else self.next[0, :0], cuts + one)
+        return pa.StructArray.from_arrays([pieces, following], names=["pieces", "next"])
+
+
 # Word splitting. Texts of the first Unicode blocks take the standard engine with the same classes written out.
 _PLAIN = 0x250
 
@@ -265,9 +310,13 @@ def encoded(docs: DataFrame, path: str | None = None, limit: int = SHARED_WORDS)
     shared = docs.sparkSession.sparkContext.broadcast(shared_words(docs, fold, limit))
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value.combine_chunks()
-        known, tokens = (table[c].combine_chunks().cast(pa.string()) for c in ("word", "t"))
+        # A word that is a token is that token; the merges need not lead there.
+        whole = pa.table({"word": pa.array(list(ranks), pa.binary()), "t": [_char(r) for r in ranks.values()]})
+        whole = whole.filter(pa.array([_is_text(t) for t in ranks])).cast(pa.schema({"word": pa.string(), "t": pa.string()}))
+        table = pa.concat_tables([shared.value.cast(whole.schema), whole])
+        known, tokens = (table[c].combine_chunks() for c in ("word", "t"))
         tokens = pa.concat_arrays([tokens, pa.array([NONE])])
+        starts_of = Starts(ranks)
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
                 part = batch.slice(at, TEXTS)
@@ -281,7 +330,7 @@ def encoded(docs: DataFrame, path: str | None = None, limit: int = SHARED_WORDS)
                 found = pa.concat_arrays([tokens, pa.array(merged, pa.string())]).take(pa.array(place))
                 rare = place == len(known)
                 rest = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(rare)])[cuts], pa.int32()), flat.filter(pa.array(rare))
+                    pa.array(np.concatenate([[0], np.cumsum(rare)])[cuts], pa.int32()), starts_of(flat.filter(pa.array(rare)))
                 )
                 # From chunks to texts, which stand in the order of their chunks first.
                 order = np.argsort(starts)
@@ -290,12 +339,12 @@ def encoded(docs: DataFrame, path: str | None = None, limit: int = SHARED_WORDS)
                 columns = [_parts(x.take(keys.indices), bounds).take(back) for x in (_parts(found, cuts), rest)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "tokens", "rare"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(looked_up, "doc_id bigint, tokens string, rare array<string>")
+    rows = docs.select("doc_id", "text").mapInArrow(looked_up, "doc_id bigint, tokens string, rare array<struct<pieces:string,next:string>>")
     # Before each rare word stands the text of known words up to its place.
     filled = let(
         F.split("tokens", NONE, -1),
         lambda parts: F.concat(
-            F.array_join(F.flatten(F.transform("rare", lambda w, i: F.array(F.get(parts, i), fold(w)))), ""),
+            F.array_join(F.zip_with(F.slice(parts, 1, F.size("rare")), fold.each(F.col("rare")), lambda p, t: F.concat(p, t)), ""),
             F.element_at(parts, -1),
         ),
     )

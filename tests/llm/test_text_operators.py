@@ -490,6 +490,31 @@ def test_byte_bpe_sends_its_pairs_once(spark):
     assert all(r["t"] == byte_bpe.heap_merged(r["word"].encode(), ranks) for r in frame.collect())
 
 
+def test_fold_goes_on_from_starts_made_in_columns(spark):
+    """Rare words come with their tokens of one byte and the merges of their neighbours; only later pairs are looked up."""
+    import pyarrow as pa
+
+    ranks = byte_bpe.read_ranks(byte_bpe.default_path())
+    chars = {chr(byte_bpe.FIRST + r): t for t, r in ranks.items()}
+    rng = random.Random(4)
+    words = ["".join(rng.choices(" aeinrst'é中😀\0\n$", k=rng.randrange(1, 14))) for _ in range(600)]
+    words += ["a", "\0" * 9, "\ue000\ue001", "aaaaaaa", "x" * 256, "é" * 128]
+    starts = byte_bpe.Starts(ranks)(pa.array(["left out", *words])[1:])
+    for word, start in zip(words, starts.to_pylist(), strict=True):
+        raw = word.encode()
+        edge, *pieces, last = start["pieces"]
+        assert edge == last == byte_bpe.EDGE and [chars[p] for p in pieces] == [raw[i : i + 1] for i in range(len(raw))]
+        pairs = [raw[i : i + 2] if i >= 0 and len(raw) > i + 1 else b"" for i in range(-1, len(raw))]
+        assert [chars.get(n, b"") for n in start["next"]] == [p if p in ranks else b"" for p in pairs]
+        assert len(start["next"]) == len(raw) + 1
+    assert len(byte_bpe.Starts(ranks)(pa.array([], pa.string()))) == 0
+    table = pa.table({"rare": pa.ListArray.from_arrays(pa.array([0, 0, 200, len(words)], pa.int32()), starts)})
+    frame = prepared(spark).createDataFrame(table).select(byte_bpe.Fold(ranks).each(common.F.col("rare")).alias("t"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("from_json") == 1
+    found = [t for r in frame.collect() for t in r["t"]]
+    assert sorted(found) == sorted(byte_bpe.heap_merged(w.encode(), ranks) for w in words)
+
+
 def test_words_split_alike():
     import public_tokenizers
     import regex
