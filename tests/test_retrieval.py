@@ -89,3 +89,57 @@ def test_a_cell_hands_on_one_row_per_answer():
     got = term_join._best_in_cell(answers, memories).to_pylist()
     assert got == [{"id": 7, "score": 0.75, "memory_id": 2}, {"id": 8, "score": 0.2, "memory_id": 1}]
     assert term_join._best_in_cell(answers, memories.slice(0, 0)).num_rows == 0
+
+
+@pytest.mark.parametrize("bitmaps, plane_words", [(0, 8), (3, 1), (4_096, 16_384)])
+def test_a_block_equals_all_pairs(monkeypatch, bitmaps, plane_words):
+    """Terms in bitmaps, in lists and in both, answers of over 255 terms, many equal scores, weights of 0 and over 1, negative fingerprints."""
+    monkeypatch.setattr(term_join, "BITMAPS", bitmaps)
+    monkeypatch.setattr(term_join, "PLANE_WORDS", plane_words)
+    rng = random.Random(bitmaps)
+    words = [rng.randrange(-(2**63), 2**63) for _ in range(700)]
+    text = lambda n: sorted({words[min(int(rng.expovariate(0.02)), 699)] for _ in range(n)})
+    answers = [text(rng.choice([1, 2, 5, 20, 60])) for _ in range(120)] + [words[:300], words[100:600], [], [5]]
+    memories = [text(rng.choice([1, 3, 10, 40, 90])) for _ in range(400)] + [words[:290], words[100:590], *answers[:5] * 3]
+    weights = [rng.choice([0.0, 0.3, 0.7, 1.0, 1.0, 2.5]) for _ in memories]
+    ids = rng.sample(range(-5_000, 5_000), len(memories))
+    table = lambda lists, **more: pa.table({"size": pa.array([len(x) for x in lists], pa.int32()), "known": pa.array(lists, pa.list_(pa.int64())), **more})
+    got = term_join._best_in_cell(table(answers, id=range(len(answers))), table(memories, id=ids, weight=weights)).to_pylist()
+    want = []
+    for i, mine in enumerate(map(set, answers)):
+        shared = [(len(mine & (held := set(m))), len(mine), len(held), w, -key) for m, w, key in zip(memories, weights, ids)]
+        best = max(((both / (n + m - both) * w, key) for both, n, m, w, key in shared if both), default=(0.0, 0))
+        if best[0] > 0:
+            want.append({"id": i, "score": best[0], "memory_id": -best[1]})
+    assert got == want
+
+
+def test_blocks_are_bounded_in_rows_and_terms():
+    sizes = [3, 3, 3, 50, 1, 1, 1, 1, 1, 9, 9, 2]
+    table = pa.table({"id": range(len(sizes)), "size": pa.array(sizes, pa.int32())})
+    blocks = [b.column("size").to_pylist() for b in term_join._blocks(iter(table.to_batches(max_chunksize=5)), 4, 10)]
+    assert blocks == [[3, 3, 3], [50], [1, 1, 1, 1], [1, 9], [9], [2]]
+
+
+def test_no_side_is_copied_for_the_other(spark, monkeypatch, tmp_path):
+    """With many small blocks and chunks each task hands on one row for an answer at most, and no terms are shuffled for the search."""
+    for name, most in (("POSTING_ROWS", 7), ("CHUNK_TERMS", 20), ("SENT_TERMS", 100)):
+        monkeypatch.setattr(term_join, name, most, raising=False)
+    monkeypatch.setattr(term_join, "scratch_dir", lambda spark, name: str(tmp_path / name))
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice(["red", "green", "blue", "grey", "pink", "black", "white"]) for _ in range(5))
+    answers = [(i, text()) for i in range(90)]
+    memories = [(i, text(), 1.0) for i in range(900)]
+    got = term_join.best_text_similarity(
+        spark.createDataFrame(answers, "id bigint, text string"), spark.createDataFrame(memories, "id bigint, text string, similarity double")
+    )
+    plan = got._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "Generate" not in plan
+    found = spark.read.parquet(str(tmp_path / "found"))
+    assert found.count() <= len(answers) * 4 * spark.sparkContext.defaultParallelism
+    assert found.groupBy("id").count().count() == len(answers)
+    terms = lambda t: set(t.split())
+    for r in got.collect():
+        mine = terms(dict(answers)[r["id"]])
+        best = max((len(mine & terms(t)) / len(mine | terms(t)), -m) for m, t, _ in memories)
+        assert (r["text_similarity"], r["memory_id"]) == (pytest.approx(best[0]), -best[1])
