@@ -97,8 +97,10 @@ def test_a_block_equals_all_pairs(monkeypatch, bitmaps, plane_words):
     monkeypatch.setattr(term_join, "BITMAPS", bitmaps)
     monkeypatch.setattr(term_join, "PLANE_WORDS", plane_words)
     rng = random.Random(bitmaps)
-    words = [rng.randrange(-(2**63), 2**63) for _ in range(700)]
-    text = lambda n: sorted({words[min(int(rng.expovariate(0.02)), 699)] for _ in range(n)})
+    near = 1 if bitmaps else 2**44  # fingerprints that differ in their last bits only, and such that do not
+    words = [rng.randrange(-(2**63), 2**63) // near for _ in range(698)] + [-(2**63), 2**63 - 1]
+    words += [w + 1 for w in words[:2]] if bitmaps == 3 else []
+    text = lambda n: sorted({words[min(int(rng.expovariate(0.02)), len(words) - 1)] for _ in range(n)})
     answers = [text(rng.choice([1, 2, 5, 20, 60])) for _ in range(120)] + [words[:300], words[100:600], [], [5]]
     memories = [text(rng.choice([1, 3, 10, 40, 90])) for _ in range(400)] + [words[:290], words[100:590], *answers[:5] * 3]
     weights = [rng.choice([0.0, 0.3, 0.7, 1.0, 1.0, 2.5]) for _ in memories]
